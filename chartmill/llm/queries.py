@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, htmltext, langid, licenses, minhash, packing
+from . import bpe, gif, htmltext, langid, licenses, minhash, packing, spotsigs, warc
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_gif_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digests(gif.store(table(spark, sf_dir, "documents")))
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -50,3 +55,13 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_host_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edit_likeness(table(prepare(spark), sf_dir, "documents"))
