@@ -25,9 +25,9 @@ from .words import byte_table, chain, mix, word_hashes, word_spans
 SPACES = byte_table(b"\x20\x09\x0a\x0b\x0c\x0d")
 COMPONENTS, ORDERS, DEPTH = 64, 16, 8
 #: Regions of so many rows or fewer are compared whole and emit every pair that passes.
-SMALL = 32
+SMALL = 8
 #: Larger ones are compared whole up to this size; each row keeps its best partners and the hub.
-BLOCK, BEST = 512, 4
+BLOCK, BEST = 512, 2
 #: A screen 4.6 standard deviations below a similarity of 0.75.
 SCREEN = 0.5
 FILTER_BITS = 1 << 23
