@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, prepare, slices
 
@@ -202,8 +203,18 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     lang_pred is the language of the shortest code, `und` with score 0 where a text is null or has
     no letter, or where there is no model; ties go to the first name. score is that language's
-    posterior chance under equal priors. Only text is looked at.
+    posterior chance under equal priors. Only text is looked at; repeated rows repeat.
     """
+    return _identify_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, "doc_id")
+
+
+def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of docs whose text has a language, with all their columns and without a join on ids."""
+    rows = _identify_rows(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, "row")
+    return rows.filter(F.col("lang_pred") != UNKNOWN).select("row.*") if model is not None else docs
+
+
+def _identify_rows(docs: DataFrame, model: Model | None, passed: str) -> DataFrame:
     spark = prepare(docs.sparkSession)
     held = spark.sparkContext.broadcast(model)
 
@@ -217,12 +228,13 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 best = bits.argmin(axis=1)
                 least = bits[np.arange(n), best]
                 chance = 1 / np.exp2(np.minimum(0, least[:, None] - bits)).sum(axis=1)
-                known = has_letters(rows.column("text").to_pylist())
+                known = has_letters(rows.column(rows.schema.get_field_index("text")).to_pylist())
                 pred = [own.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
                 score, rate = np.where(known, chance, 0.0), np.where(known, least / np.maximum(size, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], ["doc_id", "lang_pred", "score", "bits_per_symbol"])
+            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(passed)), pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], [passed, "lang_pred", "score", "bits_per_symbol"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_symbol double")
+    kinds = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("bits_per_symbol", T.DoubleType())]
+    return docs.mapInArrow(run, T.StructType([docs.schema[passed], *(T.StructField(n, k) for n, k in kinds)]))
 
 
 def held_out() -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, htmltext, langid, licenses, minhash, packing, spotsigs, warc
+from . import bpe, gif, htmltext, kneser, langid, licenses, minhash, packing, spotsigs, warc
 from .common import prepare, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,11 @@ def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
 
+@query
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser.classify(table(prepare(spark), sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edit_likeness(table(prepare(spark), sf_dir, "documents"))
