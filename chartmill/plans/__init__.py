@@ -1,0 +1,3 @@
+"""Named plans over the tables."""
+
+from . import queries as queries
