@@ -3,8 +3,10 @@
 Every template is a short stretch of licence words with mandatory key phrases. The index maps a
 word to its postings (template, position). In a file the licence words of highest inverse
 document frequency are looked up; each occurrence votes for the place where the template would
-begin, and the places whose votes agree are verified by the key phrases. All files of a batch
-are worked on at once; document frequencies come from the whole corpus.
+begin, and the places whose votes agree are verified by the key phrases. Only the rarest words of
+each template are indexed, so that what a file looks up is rare by construction and no cap on
+its words is needed. All files of a batch are worked on at once; document frequencies come from
+the whole corpus.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ from .common import prepare, slices
 from .words import byte_table, word_hash, word_hashes, word_spans
 
 SEPARATORS = byte_table(bytes(c for c in range(128) if not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122)))
-#: Highest-IDF licence words of a file that are looked up; all occurrences of each.
-RARE_WORDS = 12
-#: Share of a template's indexed words that must vote for one place.
+#: Words of highest IDF by which a template is indexed, beside the rarest of each key phrase.
+INDEXED_WORDS = 4
+#: Share of a template's looked-up words that must vote for one place.
 VOTES = 0.5
 
 
@@ -64,9 +66,13 @@ TEMPLATES = [
 
 
 class Index:
-    """Postings of all templates as arrays, sorted by word."""
+    """Postings of all templates as arrays, sorted by word.
 
-    def __init__(self, templates: list[Template]):
+    Without frequencies every word is indexed; with them (idf by word hash) only each template's
+    INDEXED_WORDS rarest words and the rarest of each of its key phrases.
+    """
+
+    def __init__(self, templates: list[Template], idf: dict[int, float] | None = None):
         self.templates = templates
         self.words = [[word_hash(w.encode()) for w in t.words.split()] for t in templates]
         self.keys = []
@@ -77,7 +83,7 @@ class Index:
                 at = next(i for i in range(len(words)) if words[i : i + len(k)] == k)
                 keys.append((at, [word_hash(w.encode()) for w in k]))
             self.keys.append(keys)
-        posting = sorted((h, t, q) for t, words in enumerate(self.words) for q, h in enumerate(words))
+        posting = sorted((h, t, q) for t, words in enumerate(self.words) for q, h in enumerate(words) if idf is None or h in self._rare(t, idf))
         self.vocabulary = np.array(sorted({p[0] for p in posting}), np.uint64)
         word = np.array([p[0] for p in posting], np.uint64)
         self.first = np.searchsorted(word, self.vocabulary)
@@ -87,6 +93,15 @@ class Index:
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
 
+        # Words of a template that a text looks up bound the votes it can get.
+        self.could = np.zeros((len(templates), len(self.vocabulary)), np.int64)
+        for h, t, _ in posting:
+            self.could[t, np.searchsorted(self.vocabulary, np.uint64(h))] += 1
+
+    def _rare(self, t: int, idf: dict[int, float]) -> set[int]:
+        rank = lambda h: (-idf[h], h)
+        return set(sorted(set(self.words[t]), key=rank)[:INDEXED_WORDS]) | {min(k, key=rank) for _, k in self.keys[t]}
+
     def lookup(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, vocabulary numbers) of the licence words among word hashes."""
         at = np.flatnonzero(self.maybe.take((words & np.uint64(0xFFFF)).astype(np.intp)))
@@ -96,21 +111,13 @@ class Index:
         good = self.vocabulary[i] == words[at]
         return at[good], i[good]
 
-    def match(self, words: np.ndarray, first: np.ndarray, idf: np.ndarray) -> list[tuple[int, int, int, float]]:
+    def match(self, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, float]]:
         """Verified (text, template, first word, share of the template's words in place)."""
         at, vocab = self.lookup(words)
         if not len(at):
             return []
         doc = np.searchsorted(first, at, side="right") - 1
-        # Keep the occurrences of each text's RARE_WORDS words of highest IDF.
-        pair = np.unique(doc * len(self.vocabulary) + vocab)
-        d, v = pair // len(self.vocabulary), pair % len(self.vocabulary)
-        order = np.lexsort((v, -idf[v], d))
-        d, v = d[order], v[order]
-        rank = np.arange(len(d)) - np.searchsorted(d, d)
-        chosen = np.sort(pair[order][rank < RARE_WORDS])
-        keep = np.isin(doc * len(self.vocabulary) + vocab, chosen)
-        at, vocab, doc = at[keep], vocab[keep], doc[keep]
+        held = np.unique(doc * len(self.vocabulary) + vocab)
         # Each occurrence votes for (text, template, begin).
         n = self.count[vocab]
         which = np.repeat(self.first[vocab], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -118,15 +125,10 @@ class Index:
         template, doc = self.template[which], np.repeat(doc, n)
         inside = (begin >= first[doc]) & (begin + np.array([len(w) for w in self.words])[template] <= first[doc + 1])
         votes, count = np.unique(np.stack([doc[inside], template[inside], begin[inside]]), axis=1, return_counts=True)
-        # Words of a template that this text looked up bound the votes it can get.
-        could = np.zeros((len(self.templates), len(self.vocabulary)), np.int64)
-        for t, own in enumerate(self.words):
-            for h in own:
-                could[t, np.searchsorted(self.vocabulary, np.uint64(h))] += 1
         out = []
         for (i, t, b), c in zip(votes.T.tolist(), count.tolist(), strict=True):
-            looked = chosen[np.searchsorted(chosen, i * len(self.vocabulary)) : np.searchsorted(chosen, (i + 1) * len(self.vocabulary))] % len(self.vocabulary)
-            if c < VOTES * could[t, looked].sum():
+            looked = held[np.searchsorted(held, i * len(self.vocabulary)) : np.searchsorted(held, (i + 1) * len(self.vocabulary))] % len(self.vocabulary)
+            if c < VOTES * self.could[t, looked].sum():
                 continue
             if all(np.array_equal(words[b + q : b + q + len(k)], np.array(k, np.uint64)) for q, k in self.keys[t]):
                 own = np.array(self.words[t], np.uint64)
@@ -172,14 +174,14 @@ def scan(docs: DataFrame, templates: list[Template] | None = None) -> DataFrame:
     """
     prepare(docs.sparkSession)
     rest = TEMPLATES if templates is None else templates
-    every = BASE + rest
+    every = rest
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     df = document_frequencies(docs, every)
     texts = df.get(-1, 0)
-    idf = np.array([math.log((texts + 1) / (df.get(i, 0) + 1)) for i in range(len(Index(every).vocabulary))])
+    known = {int(h): math.log((texts + 1) / (df.get(i, 0) + 1)) for i, h in enumerate(Index(every).vocabulary)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(every)
+        index = Index(every, known)
         for rows, data, offs in slices(batches, "text"):
             starts, ends, first = word_spans(data, offs, SEPARATORS)
             words = word_hashes(data, starts, ends)
@@ -193,7 +195,7 @@ def scan(docs: DataFrame, templates: list[Template] | None = None) -> DataFrame:
                     i = int(np.searchsorted(first, p, side="right")) - 1
                     places[i].append(p - int(first[i]))
                     base[i].add(t.label)
-            for i, t, _, share in index.match(words, first, idf):
+            for i, t, _, share in index.match(words, first):
                 labels[i].add(every[t].label)
                 score[i] = max(score[i], share)
             for i, b in enumerate(base):
