@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
@@ -57,6 +56,12 @@ def overlap(gold: DataFrame, pred: DataFrame, by: list[str]) -> DataFrame:
     return both.groupBy(*by).agg(F.sum("gold_n").alias("gold_n"), F.sum("pred_n").alias("pred_n")).withColumn("tp", F.least("gold_n", "pred_n"))
 
 
+def joint(items: DataFrame, by: list[str], side: str = "side") -> DataFrame:
+    """What overlap gives, from one relation of single items with a side, gold or pred: one pass."""
+    counted = items.groupBy(*by).agg(F.count_if(F.col(side) == "gold").alias("gold_n"), F.count_if(F.col(side) == "pred").alias("pred_n"))
+    return counted.withColumn("tp", F.least("gold_n", "pred_n"))
+
+
 def counts(joint: DataFrame, by: list[str]) -> DataFrame:
     """by + (tp, fp, fn) from rows of (tp, gold_n, pred_n)."""
     return joint.groupBy(*by).agg(F.sum("tp").alias("tp"), (F.sum("pred_n") - F.sum("tp")).alias("fp"), (F.sum("gold_n") - F.sum("tp")).alias("fn"))
@@ -75,6 +80,9 @@ def best_assignment(score: np.ndarray) -> np.ndarray:
     padded[:, :m] = score
     cost = padded.max() - padded
     width = cost.shape[1]
+    nearest = cost.argmin(axis=1)
+    if len(set(nearest.tolist())) == n:  # no two rows meet, so no path is ever longer than one step
+        return nearest
     row_price, column_price, owner = np.zeros(n, np.int64), np.zeros(width, np.int64), np.full(width, -1)
     far = np.iinfo(np.int64).max // 4
     for begin in range(n):
@@ -102,21 +110,22 @@ def best_assignment(score: np.ndarray) -> np.ndarray:
     return out
 
 
-def _label_pairs(gold: Counter, pred: Counter) -> int:
+def _label_pairs(gold: dict, pred: dict) -> int:
     """Most diagnosis units that can be paired where the predicted one refines the other."""
-    g, p = list(gold.elements()), list(pred.elements())
+    g, p = ([a for a, k in side.items() for _ in range(k)] for side in (gold, pred))
     fit = np.array([[int(refines_text(b[1], a[1])) for b in p] for a in g], np.int64).reshape(len(g), len(p))
     chosen = best_assignment(fit)
     return int(sum(fit[i, j] for i, j in enumerate(chosen) if 0 <= j < len(p)))
 
 
-def key_matches(key: str, gold: Counter, pred: Counter, hierarchical: bool) -> int:
+def key_matches(key: str, gold: dict, pred: dict, hierarchical: bool) -> int:
+    """Size of the bag intersection of two {atom: n}, or of the best pairing by refinement."""
     if hierarchical and key == DIAGNOSIS:
         return _label_pairs(gold, pred)
-    return sum((gold & pred).values())
+    return sum([min(k, pred[a]) for a, k in gold.items() if a in pred])
 
 
-def match_document(gold: list[dict[str, Counter]], pred: list[dict[str, Counter]], hierarchical: bool = False) -> dict[str, list[int]]:
+def match_document(gold: list[dict[str, dict]], pred: list[dict[str, dict]], hierarchical: bool = False) -> dict[str, list[int]]:
     """tp, fp, fn per key of one document, its events aligned by the best assignment."""
     out: dict[str, list[int]] = {}
 
@@ -138,20 +147,21 @@ def match_document(gold: list[dict[str, Counter]], pred: list[dict[str, Counter]
         p = pred[j] if 0 <= j < len(pred) else {}
         left.discard(j)
         for k in gold[i].keys() | p.keys():
-            add(k, shared.get((i, j), {}).get(k, 0), sum(gold[i].get(k, Counter()).values()), sum(p.get(k, Counter()).values()))
+            add(k, shared.get((i, j), {}).get(k, 0), sum(gold[i].get(k, {}).values()), sum(p.get(k, {}).values()))
     for j in left:
         for k, atoms in pred[j].items():
             add(k, 0, 0, sum(atoms.values()))
     return out
 
 
-def _multisets(events: Iterable) -> list[dict[str, Counter]]:
-    """Event multisets by key, in event order; events without items keep their place."""
-    out: list[dict[str, Counter]] = []
-    for ev in sorted(events, key=lambda e: e["ord"]):
-        held: dict[str, Counter] = {}
-        for a in ev["atoms"]:
-            held.setdefault(a["key"], Counter())[(a["tag"], a["atom"])] += 1
+def _multisets(events: Iterable) -> list[dict[str, dict]]:
+    """Event multisets {key: {(tag, atom): n}} in event order; events without items keep their place."""
+    out: list[dict[str, dict]] = []
+    for _, atoms in sorted(events, key=lambda e: e[0]):
+        held: dict[str, dict] = {}
+        for key, tag, atom in atoms:
+            own = held.setdefault(key, {})
+            own[tag, atom] = own.get((tag, atom), 0) + 1
         out.append(held)
     return out
 
@@ -170,12 +180,13 @@ def matched_counts(gold: DataFrame, pred: DataFrame, hierarchical: bool = False)
     """id, key, tp, fp, fn of the documents on both sides.
 
     gold and pred are items (id, ord, key, tag, atom, n), gathered per document: a document's own
-    size bounds each array.
+    size bounds each array. Each side is dealt by id once; both groupings and the join reuse that.
     """
+    parts = int(gold.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def gathered(df: DataFrame, name: str) -> DataFrame:
         one = F.flatten(F.collect_list(F.array_repeat(F.struct("key", "tag", "atom"), F.col("n").cast("int"))))
-        events = df.groupBy("id", "ord").agg(one.alias("atoms"))
+        events = df.repartition(parts, "id").groupBy("id", "ord").agg(one.alias("atoms"))
         return events.groupBy("id").agg(F.collect_list(F.struct("ord", "atoms")).alias(name))
 
     joined = gathered(gold, "g").join(gathered(pred, "p"), "id")

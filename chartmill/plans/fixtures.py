@@ -21,6 +21,16 @@ ITEMS = (
     "union all select doc_id, ord, 'TumorSize', cast(cast(l_quantity as bigint) + case when l_suppkey % 5 = 0 then 1 else 0 end as varchar(10)), 'pred' from li where l_discount > 0.01 "
     "union all select doc_id, ord, 'Recurrence', case when l_linenumber % 3 = 0 then 'なし' else case l_returnflag when 'R' then 'あり' else 'なし' end end, 'pred' from li where l_discount > 0.01"
 )
+#: The same relation for Spark, from one pass over the lines.
+EXPLODED_ITEMS = (
+    "select doc_id, ord, x.key, x.atom, x.side from (select doc_id, ord, l_discount, explode(array("
+    "named_struct('key', 'Timestamp', 'atom', substr(cast(l_shipdate as varchar(30)), 1, 10), 'side', 'gold'), "
+    "named_struct('key', 'TumorSize', 'atom', cast(cast(l_quantity as bigint) as string), 'side', 'gold'), "
+    "named_struct('key', 'Recurrence', 'atom', case l_returnflag when 'R' then 'あり' else 'なし' end, 'side', 'gold'), "
+    "named_struct('key', 'Timestamp', 'atom', substr(cast(l_shipdate as varchar(30)), 1, 10), 'side', 'pred'), "
+    "named_struct('key', 'TumorSize', 'atom', cast(cast(l_quantity as bigint) + case when l_suppkey % 5 = 0 then 1 else 0 end as string), 'side', 'pred'), "
+    "named_struct('key', 'Recurrence', 'atom', case when l_linenumber % 3 = 0 then 'なし' else case l_returnflag when 'R' then 'あり' else 'なし' end end, 'side', 'pred'))) as x from li) where x.side = 'gold' or l_discount > 0.01"
+)
 COUNTED = f"with li as ({LINES}), it as ({ITEMS}) select doc_id, ord, key, atom, count_if(side = 'gold') as gold_n, count_if(side = 'pred') as pred_n from it group by doc_id, ord, key, atom"
 EVENT_TEXTS = (
     f"with li as ({LINES}) select doc_id, ord, concat('{{{{\"Timestamp\": \"', substr(cast(l_shipdate as varchar(30)), 1, 10), '\", \"TumorSize\": ', cast(cast(l_quantity as bigint) as varchar(10)), "

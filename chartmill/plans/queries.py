@@ -55,9 +55,18 @@ _TOTALS = "cast(sum(tp) as bigint) as tp, cast(sum(pred_n) - sum(tp) as bigint)
 
 def _joint(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, ord, key, tp, gold_n, pred_n per distinct atom, from the two multisets."""
-    it = fx.spark_sql(spark, d, f"with li as ({fx.LINES}) {fx.ITEMS}")
+    return scoring.joint(fx.spark_sql(spark, d, f"with li as ({fx.LINES}) {fx.EXPLODED_ITEMS}"), ["doc_id", "ord", "key", "atom"])
+
+
+def _two_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    it = fx.spark_sql(spark, d, f"with li as ({fx.LINES}) {fx.EXPLODED_ITEMS}")
     side = lambda s: it.filter(F.col("side") == s).groupBy("doc_id", "ord", "key", "atom").agg(F.count(F.lit(1)).alias("n"))
-    return scoring.overlap(side("gold"), side("pred"), ["doc_id", "ord", "key", "atom"])
+    return side("gold"), side("pred")
+
+
+@query(f"select * from ({_JOINT.replace('select doc_id, ord, key,', 'select doc_id, ord, key, atom,')})")
+def score_overlap(spark, d):
+    return scoring.overlap(*_two_sides(spark, d), ["doc_id", "ord", "key", "atom"])
 
 
 @query(f"with c as (select key, {_TOTALS} from ({_JOINT}) group by key) select *, {_prf()}, tp + fn as gold_items, tp + fp as pred_items from c")
@@ -128,7 +137,7 @@ def id_sets(spark, d):
 
 def _event_items(spark, d):
     """Items of two sides; predicted events are in another order than the reference ones."""
-    it = fx.spark_sql(spark, d, f"with li as ({fx.LINES}) {fx.ITEMS}")
+    it = fx.spark_sql(spark, d, f"with li as ({fx.LINES}) {fx.EXPLODED_ITEMS}")
     shaped = it.select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("side") == "pred", -F.col("ord")).otherwise(F.col("ord")).alias("ord"), "key", F.lit("str").alias("tag"), "atom", "side")
     each = shaped.groupBy("id", "ord", "key", "tag", "atom", "side").agg(F.count(F.lit(1)).alias("n"))
     return each.filter("side = 'gold'").drop("side"), each.filter("side = 'pred'").drop("side")
@@ -276,12 +285,17 @@ def permutation_test(spark, d):
 
 
 # ---- event lists ------------------------------------------------------------------------------
+def _spread(df: DataFrame) -> DataFrame:
+    """Texts dealt over all tasks, as files would be: parsing them costs far more than moving them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def _annotations(spark, d):
-    return fx.spark_sql(spark, d, fx.ANNOTATIONS["spark"])
+    return _spread(fx.spark_sql(spark, d, fx.ANNOTATIONS["spark"]))
 
 
 def _damaged(spark, d):
-    return fx.spark_sql(spark, d, f"{fx.DAMAGE} ({fx.ANNOTATIONS['spark']})")
+    return _spread(fx.spark_sql(spark, d, f"{fx.DAMAGE} ({fx.ANNOTATIONS['spark']})"))
 
 
 def _clean_stages(spark, d):
