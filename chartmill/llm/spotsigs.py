@@ -14,10 +14,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import materialise, prepare, slices
 from .licenses import SEPARATORS
 from .words import chain, mix, word_hash, word_hashes, word_spans
 
@@ -102,14 +102,6 @@ def pruned_jaccard(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> floa
     return both / (len(a) + len(b) - both)
 
 
-def partition_bounds(threshold: float, longest: int) -> list[int]:
-    """Least sizes of length partitions: sets in partitions that are not neighbours cannot reach the threshold."""
-    out = [1]
-    while out[-1] <= longest:
-        out.append(max(out[-1] + 1, int(out[-1] / threshold) + 1))
-    return out
-
-
 def encode(values: np.ndarray) -> str:
     return base64.b64encode(values.astype("<u4").tobytes()).decode()
 
@@ -128,8 +120,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .common import slices
-
         for rows, data, offs in slices(batches, "text"):
             v, first = signatures(data, offs)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([encode(v[a:b]) for a, b in zip(first, first[1:], strict=False)], pa.string()), pa.array(np.diff(first))], ["doc_id", "fingerprint", "n_signatures"])
@@ -137,6 +127,51 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string, n_signatures long")
 
 
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [decode(f) for f in batch.column("fingerprint").to_pylist()]
+        n = np.array([len(s) for s in sets], np.int64)
+        ids = np.repeat(batch.column("doc_id").to_numpy(), n)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.repeat(n, n)), pa.array(np.concatenate([*sets, np.zeros(0, np.uint32)]).astype(np.int64))], ["doc_id", "n", "sig"])
+
+
+def near_pairs(prints: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members) of (doc_id, fingerprint): pairs (u, v, likeness) of alike classes with u < v, and
+    members (doc_id, class_id), where equal fingerprints are one class named by its smallest doc_id.
+
+    A set meets others only in its own length partition and the next, by a signature among its
+    rarest n - ceil(threshold n) + 1, as any set that reaches the threshold must share one of them;
+    signatures that many documents hold are thus hardly ever joined on. Empty fingerprints and null
+    ids form no class. Likeness is confirmed on the whole sets.
+    """
+    prepare(prints.sparkSession)
+    held = prints.filter("fingerprint <> '' and doc_id is not null").select("doc_id", "fingerprint")
+    classes = materialise(held.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")), "fingerprint-classes")
+    members = held.join(classes, "fingerprint").select("doc_id", "class_id")
+    sets = classes.select(F.col("class_id").alias("doc_id"), "fingerprint")
+    each = materialise(sets.mapInArrow(_explode, "doc_id long, n long, sig long"), "signatures")
+    common = each.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "sig"))
+    kept = each.join(common, "sig").withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
+    # Partition k holds sets of at least g^k signatures with g = 1 / threshold.
+    part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9) if threshold < 1 else F.col("n")
+    rows = kept.withColumn("part", part.cast("long")).select("doc_id", "n", "sig", "part")
+    left = rows.select(F.col("doc_id").alias("a"), F.col("n").alias("an"), "sig", F.col("part").alias("own"), F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+    right = rows.select(F.col("doc_id").alias("b"), F.col("n").alias("bn"), "sig", "part")
+    fits = (F.least("an", "bn") >= F.lit(threshold) * F.greatest("an", "bn") - 1e-9) & ((F.col("own") < F.col("part")) | (F.col("a") < F.col("b")))
+    pairs = left.join(right, ["sig", "part"]).filter(fits).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    one, two = (sets.select(F.col("doc_id").alias(x), F.col("fingerprint").alias(f"f{x}")) for x in "uv")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [pruned_jaccard(decode(x), decode(y), threshold) for x, y in zip(batch.column("fu").to_pylist(), batch.column("fv").to_pylist(), strict=True)]
+            out = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v"), pa.array(near, pa.float64())], ["u", "v", "likeness"])
+            yield out.filter(pa.array([x >= threshold for x in near], pa.bool_()))
+
+    joined = pairs.join(one, "u").join(two, "v").select("u", "v", "fu", "fv")
+    return joined.mapInArrow(confirm, "u long, v long, likeness double"), members
+
+
 def edited(text: str, following: str) -> str:
     """The text with its last half replaced by as much of the beginning of another."""
     half = len(text) // 2

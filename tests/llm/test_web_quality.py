@@ -170,8 +170,34 @@ def test_pruned_jaccard():
         assert spotsigs.pruned_jaccard(a, b) == pytest.approx(want)
         got = spotsigs.pruned_jaccard(a, b, 0.5)
         assert got == pytest.approx(want) if want >= 0.5 else got in (-1.0, pytest.approx(want))
-    bounds = spotsigs.partition_bounds(0.5, 1000)
-    assert all(hi / 0.5 <= after or hi > 1000 for hi, after in zip(bounds[1:], bounds[2:] + [10**9]))
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.75, 1.0])
+def test_near_pairs(spark, threshold):
+    rnd = random.Random(3)
+    words = "river house stone water bridge cloud field garden window paper".split()
+    texts = []
+    for i in range(120):
+        if i % 3 and texts:
+            own = rnd.choice(texts).split()
+            for _ in range(rnd.randint(0, 4)):
+                own[rnd.randrange(len(own))] = rnd.choice(words)
+            texts.append(" ".join(own))
+        else:
+            texts.append(" ".join(f"the {rnd.choice(words)} {rnd.choice(words)}" for _ in range(rnd.randint(2, 25))))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", None])], "doc_id long, text string")
+    prints = spotsigs.fingerprints(docs)
+    sets = {r["doc_id"]: frozenset(spotsigs.decode(r["fingerprint"]).tolist()) for r in prints.collect()}
+    pairs, members = spotsigs.near_pairs(prints, threshold)
+    first = {}
+    for i in sorted(sets):
+        if sets[i]:
+            first.setdefault(sets[i], i)
+    assert {(r["doc_id"], r["class_id"]) for r in members.collect()} == {(i, first[x]) for i, x in sets.items() if x}
+    reps = sorted(first.values())
+    want = {(a, b) for k, a in enumerate(reps) for b in reps[k + 1 :] if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+    got = [(r["u"], r["v"]) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_edited_texts(spark):
