@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import prepare, slices
+from .common import claim, prepare, slices
 
 # Character classes, with what must be known of the characters to the right.
 LETTER, NUMBER, OTHER, QUOTE_1, QUOTE_2, SPACE_LAST, SPACE_MORE, WHITE_LAST, WHITE_MORE = range(9)
@@ -300,6 +300,7 @@ def encode_documents(docs: DataFrame, path: str, cache_pieces: int = CACHE_PIECE
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", codec.cache_clear)
         own = codec(path, cache_pieces)
         for rows, data, offs in slices(batches, "text"):
             ids = own.encode(data, offs)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,20 @@ ARROW_ROWS = 1000
 SLICE_BYTES = 1 << 20
 
 
+_holder: list = ["", None]
+
+
+def claim(owner: str, release: Callable[[], object] | None = None) -> None:
+    """Called in a Python worker before an operator fills memory: what another operator cached there goes.
+
+    Spark reuses workers from stage to stage; without this they would hold the caches of all.
+    """
+    if _holder[0] != owner:
+        if _holder[1]:
+            _holder[1]()
+        _holder[:] = [owner, release]
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Keep Arrow batches small enough for long texts unless the user chose a size."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, prepare, slices
+from .common import claim, materialise, prepare, slices
 
 ORDER, BITS = 4, 6
 SYMBOLS = 1 << BITS
@@ -59,9 +59,10 @@ def grams(data: np.ndarray, offs: np.ndarray, order: int = ORDER) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << BITS * ORDER, np.int32)
-    for _, data, offs in slices(batches, "text", 1 << 22):
-        total += np.bincount(grams(data, offs), minlength=len(total)).astype(np.int32)
+    claim("kneser")
+    total = np.zeros(1 << BITS * ORDER, np.int32)  # 64 MB, counted in place
+    for _, data, offs in slices(batches, "text"):
+        np.add.at(total, grams(data, offs).astype(np.intp), 1)
     seen = np.flatnonzero(total)
     for a in range(0, len(seen), 100_000):
         part = seen[a : a + 100_000]
@@ -146,6 +147,7 @@ def _score_rows(rows: DataFrame, bits: np.ndarray | None, passed: list[str]) ->
     held = spark.sparkContext.broadcast(None if bits is None else bits.astype(np.float16))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("kneser")
         table = held.value
         for batch, data, offs in slices(batches, "text"):
             n = np.diff(offs)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, prepare, slices
+from .common import claim, materialise, prepare, slices
 
 MAX_ORDER = 3
 #: Training texts of a language, chosen by hash of doc_id: about so many, however many there are.
@@ -58,7 +58,8 @@ def has_letters(texts: list[str | None]) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (lang, context and symbol as one number, order, n): one partition's n-grams."""
-    held: dict[tuple[str, int], dict] = {}
+    claim("langid")
+    held: dict[tuple[str, int], list] = {}
     for rows, data, offs in slices(batches, "text", 1 << 22):
         langs = np.array(rows.column("lang").to_pylist(), object)
         x, at = folded(data, offs)
@@ -219,6 +220,7 @@ def _identify_rows(docs: DataFrame, model: Model | None, passed: str) -> DataFra
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid")
         own = held.value
         for rows, data, offs in slices(batches, "text"):
             n = rows.num_rows

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, prepare, slices
+from .common import claim, materialise, prepare, slices
 from .components import components
 from .words import byte_table, chain, mix, word_hashes, word_spans
 
@@ -72,6 +72,7 @@ def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("minhash")
     for rows, data, offs in slices(batches, "text"):
         h, first = shingle_sets(data, offs)
         n = np.diff(first)
@@ -144,6 +145,7 @@ def _regions(edges: np.ndarray, key, sketch, size, depth: int, out: list) -> Non
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of one sorted partition; a region that a batch cuts is carried on."""
     factors = (mix(np.arange(7, 7 + COMPONENTS, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
+    claim("minhash")
     held: list[pa.RecordBatch] = []
 
     def work(last: bool) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import pieces
-from .common import materialise, prepare, slices
+from .common import claim, materialise, prepare, slices
 
 SEQUENCE = 1024
 #: Sequences that one window's worth of tokens fills.
@@ -58,6 +58,7 @@ def _tokenise(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim("packing", _tokenizer.cache_clear)
         part, sent = TaskContext.get().partitionId(), {}
         for rows, data, offs in slices(batches, "text"):
             ids = _encode(path, data, offs)
@@ -175,6 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict[str, float] | None = Non
     plan, window = schedule.plan, schedule.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pieces")
         yield from _pieces(Schedule(plan, window), sequence)(batches)
 
     return queued.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
