@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,15 +73,17 @@ def with_rank(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
     kind = dict(df.dtypes)[order]
     if kind in ("bigint", "int", "double"):
         edges = sorted(set(cuts.approxQuantile("_k", [i / int(parts) for i in range(1, int(parts))], 0.01)))
-        bucket = F.lit(0)
-        for e in edges:
-            bucket = bucket + F.when(F.col(order) >= e, 1).otherwise(0)
+        dealt = df.withColumn("_b", F.lit(0))
+        if edges:  # a binary search per row
+            cuts = Bucketizer(splits=[-float("inf"), *map(float, edges), float("inf")], inputCol="_k", outputCol="_b")
+            dealt = cuts.transform(df.withColumn("_k", F.col(order).cast("double"))).drop("_k")
     else:
         edges = [r["q"] for r in cuts.select(F.substring("_k", 1, 2).alias("q")).distinct().orderBy("q").limit(4096).collect()]
         bucket = F.lit(0)
         for e in edges[1 :: max(1, len(edges) // int(parts))]:
             bucket = bucket + F.when(F.col(order) >= e, 1).otherwise(0)
-    dealt = df.withColumn("_b", bucket)
+        dealt = df.withColumn("_b", bucket)
+    dealt = dealt.withColumn("_b", F.coalesce(F.col("_b"), F.lit(-1)).cast("int"))  # nulls come first
     sizes = {r["_b"]: r["n"] for r in dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per range
     before, total = {}, 0
     for b in sorted(sizes):
