@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -191,10 +192,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     key = F.coalesce("doc_id", F.lit(least))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.select(key.alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
-    cuts = sorted({int(c) for c in cuts if c > -9.2e18})
-    # Ids are cut at c: those of at least c come before those below it.
-    bucket = F.expr(f"size(filter(array({','.join(f'{c}L' for c in cuts)}), c -> c > coalesce(doc_id, {least}L + 1L)))") if cuts else F.lit(0)
-    keyed = docs.withColumn("bucket", bucket)
+    cuts = sorted({float(c) for c in cuts if c > -9.2e18})
+    keyed = docs.withColumn("bucket", F.lit(0))
+    if cuts:  # those of at least a cut come before those below it; a binary search per row
+        found = Bucketizer(splits=[-float("inf"), *(float(c) for c in cuts), float("inf")], inputCol="_k", outputCol="_b").transform(docs.withColumn("_k", key.cast("double")))
+        keyed = found.withColumn("bucket", (F.lit(len(cuts)) - F.col("_b")).cast("int")).drop("_k", "_b")
     heads = {r["bucket"]: r["head"] for r in keyed.groupBy("bucket").agg(F.max(key).alias("head")).collect()}
     order = sorted(heads)
     before = {heads[b]: order[i - 1] for i, b in enumerate(order)}
