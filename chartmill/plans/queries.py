@@ -11,6 +11,7 @@ from ..functions import hierarchy, schema
 from ..functions import lenient_json as lj
 from ..functions import text as tx
 from ..operators import align, analytics, cleaning, generation, resampling, scoring, splits
+from ..sources import files
 from . import fixtures as fx
 from .registry import ORACLE_SQL, QUERIES
 
@@ -652,6 +653,40 @@ def epoch_mix(spark, d):
     return spark.createDataFrame(rows, "epoch int, pos bigint, place bigint")
 
 
+# ---- files ------------------------------------------------------------------------------------
+@query("select doc_id, text, lang from {documents}")
+def jsonl_roundtrip(spark, d):
+    path = files.scratch(spark, "jsonl")
+    files.write_jsonl(_table(spark, d, "documents").select("doc_id", "text", "lang"), path)
+    return files.read_jsonl(spark, path, "doc_id long, text string, lang string")
+
+
+@query("select n_nationkey, n_name, case when n_regionkey = 0 then '' else cast(n_regionkey as varchar) end as region from {nation}")
+def tsv_roundtrip(spark, d):
+    path = files.scratch(spark, "tsv")
+    region = F.when(F.col("n_regionkey") == 0, "").otherwise(F.col("n_regionkey").cast("string"))
+    files.write_tsv(_table(spark, d, "nation").select("n_nationkey", "n_name", region.alias("region")), path)
+    return files.read_tsv(spark, path, "n_nationkey int, n_name string, region string", ("region",))
+
+
+@query(f"select cast(seed as int) as seed, cast(fold as int) as fold, cast(count(*) as bigint) as n, cast(sum(tp) as bigint) as tp from ({fx.DOC_KEYS}) group by 1, 2")
+def partition_discovery(spark, d):
+    path = files.scratch(spark, "runs")
+    _doc_keys(spark, d).write.partitionBy("seed", "fold").json(path)
+    rows = files.read_partitions(spark, path, "seed=*/fold=*", schema="doc_id string, key string, tp bigint")
+    return rows.groupBy(F.col("seed").cast("int").alias("seed"), F.col("fold").cast("int").alias("fold")).agg(F.count(F.lit(1)).alias("n"), F.sum("tp").alias("tp"))
+
+
+@query("select doc_id as id from {documents} where doc_id not in (select doc_id from {labels})")
+def append_and_resume(spark, d):
+    """Ids still to do after the labelled ones were appended in two commits."""
+    path, docs = files.scratch(spark, "done"), _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"))
+    done = _table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), "quality")
+    for quality in (0, 1):
+        files.write_jsonl(done.filter(F.col("quality") == quality), path, "append")
+    return align.unmatched(docs, files.read_done_ids(spark, path)).select(F.col("id").cast("bigint").alias("id"))
+
+
 # ---- generation -------------------------------------------------------------------------------
 @query("select cast(doc_id as varchar) as id, '[{{\"Stage\": \"' || substr(md5('### Note:' || chr(10) || text || chr(10) || '### Events:'), 1, 4) || '\"}}]' as pred_annotation, true as final_channel_found from {documents} where text is not null")
 def generate_stub(spark, d):

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 import tomllib
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,12 @@ class Prompt(NamedTuple):
     user: str
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir, the folder that all machines share; local only if unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chartmill-")
+    return f"{base.rstrip('/')}/chartmill/{name}-{uuid.uuid4().hex}"
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
