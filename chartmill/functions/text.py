@@ -9,7 +9,7 @@ from . import schema
 from .lenient_json import tenth
 
 # White space that is trimmed, separators and digits that are folded.
-SPACE = r"[\s\x1c-\x1f\x85\xa0  -     　]"
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 FOLD_FROM, FOLD_TO = "、，＋､", ",,+,"
 DIGITS = "０１２３４５６７８９"
 SPECIAL_TOKEN = r"<\|(?:start|end|message|channel|return|call|constrain|endoftext)\|>"
