@@ -24,7 +24,8 @@ from .common import claim, materialise, prepare, slices
 SEQUENCE = 1024
 #: Sequences that one window's worth of tokens fills.
 WINDOW_SEQUENCES = 64
-CACHE_PIECES = 1_000_000
+#: Distinct pieces a worker remembers, about 200 bytes each; it starts anew when full.
+CACHE_PIECES = 400_000
 
 
 @lru_cache(maxsize=1)
