@@ -7,6 +7,9 @@ the next component, and what is still crowded at the last is compared with its n
 longest common prefix and with the region's hub. A byte sketch of the signature screens the
 candidates; surviving pairs are confirmed on the full shingle sets. Rows with equal sets are
 one class, so groups of copies cost one row each.
+
+What that first pass links is contracted. A second pass screens every remaining pair, of rows
+not yet linked, that agree in the first two components of any order.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ SMALL = 8
 BLOCK, BEST = 512, 2
 #: A screen 4.6 standard deviations below a similarity of 0.75.
 SCREEN = 0.5
+#: In the second pass regions of so many rows or fewer are screened together.
+FEW = 32
 FILTER_BITS = 1 << 23
 
 
@@ -190,6 +195,77 @@ def candidates(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_neighbours, "u long, v long").distinct()
 
 
+def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of unlike labels that pass the screen, region by region; regions arrive sorted and whole."""
+    factors = (mix(np.arange(7, 7 + COMPONENTS, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
+    claim("minhash")
+    held: list[pa.RecordBatch] = []
+
+    def work(last: bool) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        cell = rows.column("region").to_numpy()
+        new = np.ones(len(cell) + 1, bool)
+        new[1:-1] = cell[1:] != cell[:-1]
+        edges = np.flatnonzero(new)
+        held.clear()
+        if not last:  # the last region may go on
+            held.append(rows.slice(edges[-2]))
+            edges = edges[:-1]
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), ">u4").reshape(-1, COMPONENTS).astype(np.uint32)
+        sketch = ((sig * factors) >> np.uint32(24)).astype(np.uint8)
+        doc, size, label = (rows.column(c).to_numpy() for c in ("doc_id", "n_shingles", "label"))
+        width = np.diff(edges)
+        few = (width > 1) & (width <= FEW)
+        at, left = edges[:-1][few], width[few]
+        rank = np.concatenate([np.arange(w) for w in left]) if len(left) else np.zeros(0, np.int64)
+        each, more = np.repeat(at, left) + rank, np.repeat(left, left) - rank
+        out = [np.zeros((2, 0), np.int64)]
+        for d in range(1, int(left.max(initial=1))):
+            a = each[more > d]
+            a = a[label[a] != label[a + d]]
+            out.append(_close(sketch, size, a, a + d))
+        for i in np.flatnonzero(width > FEW):
+            out.extend(_across(np.arange(edges[i], edges[i + 1]), sketch, size, label))
+        a, b = np.concatenate(out, axis=1)
+        pairs = np.unique(np.stack([np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+
+    count = 0
+    for batch in batches:
+        held.append(batch)
+        count += batch.num_rows
+        if count >= 16384:
+            yield from work(False)
+            count = sum(x.num_rows for x in held)
+    if held:
+        yield from work(True)
+
+
+def _across(rows: np.ndarray, sketch: np.ndarray, size: np.ndarray, label: np.ndarray) -> Iterator[np.ndarray]:
+    """The pairs of unlike labels among `rows` that pass the screen, a strip at a time."""
+    columns = np.ascontiguousarray(sketch[rows].T)
+    for at in range(0, len(rows), BLOCK):
+        strip, rest = rows[at : at + BLOCK], rows[at:]
+        agree = np.zeros((len(strip), len(rest)), np.uint8)
+        for c in columns:
+            agree += c[at : at + BLOCK][:, None] == c[at:][None, :]
+        a, b = np.nonzero((agree >= SCREEN * COMPONENTS) & (label[strip][:, None] != label[rest][None, :]))
+        a, b = a[a < b], b[a < b]
+        yield _close(sketch, size, strip[a], rest[b])
+
+
+def rest(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Distinct (u, v) with u < v of unlike labels that share a region of two components and pass the screen."""
+    step = 4 * COMPONENTS // ORDERS
+    trees = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    trees = trees.select("h1", "h2", "label", "sig", F.explode(F.array(*(F.lit(i) for i in range(ORDERS)))).alias("tree"))
+    keyed = materialise(trees.select("h1", "h2", "label", F.expr(f"xxhash64(tree, substring(sig, tree * {step} + 1, 8))").alias("region")), "regions")
+    mixed = keyed.groupBy("region").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("region")
+    dealt = keyed.join(mixed, "region").join(classes.select("h1", "h2", "doc_id", "n_shingles", "sig"), ["h1", "h2"])
+    dealt = dealt.select("region", "doc_id", "n_shingles", "label", "sig").repartition("region").sortWithinPartitions("region")
+    return dealt.mapInArrow(_rest, "u long, v long").distinct()
+
+
 def _id_filter(ids: DataFrame) -> bytes:
     """A bitmap of fixed size with the hashed ids: at most FILTER_BITS / 64 rows reach the driver."""
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
@@ -227,6 +303,28 @@ def _confirm(similarity_percent: int) -> object:
     return run
 
 
+def _confirmed(docs: DataFrame, pairs: DataFrame, similarity_percent: int, more: DataFrame | None = None) -> DataFrame:
+    """The pairs (u, v) whose full sets have the similarity, and the links in `more`."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    held = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
+    slotted = docs.filter("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
+    sets = materialise(slotted.mapInArrow(_sets(held), "doc_id long, members binary"), "sets")
+    left = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("members").alias("one")), "u")
+    joined = left.join(sets.select(F.col("doc_id").alias("v"), F.col("members").alias("two")), "v").select("u", "v", "one", "two")
+    links = joined.mapInArrow(_confirm(similarity_percent), "u long, v long")
+    return materialise(links.union(more) if more is not None else links, "links")
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, label) once more links between nodes, some of them not labelled yet, hold."""
+    both = links.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    all_labels = labels.join(both, "node", "full_outer").select("node", F.coalesce("label", "node").alias("label"))
+    at = lambda end: all_labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+    heads = links.join(at("u"), "u").join(at("v"), "v").select(F.col("u_label").alias("u"), F.col("v_label").alias("v"))
+    further = components(heads).select(F.col("node").alias("label"), F.col("label").alias("far"))
+    return materialise(all_labels.join(further, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "labels")
+
+
 def near_duplicates(docs: DataFrame, similarity_percent: int = 75) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -235,20 +333,17 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = 75) -> DataFrame:
     Repeated rows are copies of each other; rows that share a doc_id are one node. A null doc_id
     gives a null component_id and is not kept. Other columns are ignored.
     """
-    spark = prepare(docs.sparkSession)
+    prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = materialise(docs.mapInArrow(_describe, "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "signatures")
     filled = described.filter("n_shingles > 0 and doc_id is not null")
     classes = materialise(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.min_by("sig", "doc_id").alias("sig"), F.count(F.lit(1)).alias("copies")), "classes")
-    pairs = materialise(candidates(classes.select("doc_id", "n_shingles", "sig")), "pairs")
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    held = spark.sparkContext.broadcast(_id_filter(ids))
-    slotted = docs.filter("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
-    sets = materialise(slotted.mapInArrow(_sets(held), "doc_id long, members binary"), "sets")
-    left = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("members").alias("one")), "u")
-    joined = left.join(sets.select(F.col("doc_id").alias("v"), F.col("members").alias("two")), "v").select("u", "v", "one", "two")
-    links = materialise(joined.mapInArrow(_confirm(similarity_percent), "u long, v long").union(_same_id(filled)), "links")
+    links = _confirmed(docs, materialise(candidates(classes.select("doc_id", "n_shingles", "sig")), "pairs"), similarity_percent, _same_id(filled))
     labels = components(links)
+    missed = materialise(rest(classes, labels), "pairs")
+    if not missed.isEmpty():
+        found = _confirmed(docs, missed, similarity_percent)
+        labels = _joined(labels, found)
     # A class of several rows points at its smallest id, which the links may lead further.
     heads = classes.filter("copies > 1").select("h1", "h2", F.col("doc_id").alias("head"))
     with_head = described.select("doc_id", "n_shingles", "h1", "h2").join(heads, ["h1", "h2"], "left").withColumn("head", F.when(F.col("n_shingles") > 0, F.coalesce("head", "doc_id")).otherwise(F.col("doc_id")))

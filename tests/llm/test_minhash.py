@@ -101,3 +101,25 @@ def test_components_of_a_path(spark):
     got = {r["node"]: r["label"] for r in components(edges).collect()}
     assert got == {i: 0 for i in range(201)} | {900: 900, 901: 900, 902: 900}
     assert components(edges.filter("false")).count() == 0
+
+
+def test_links_within_a_crowd(spark):
+    """Near copies among rows that share a long passage, and one bridge between two tight clusters of over 8 rows."""
+    rnd = random.Random(3)
+    own = lambda n: [f"o{rnd.random()}" for _ in range(n)]
+    passage, rows = [f"p{i}" for i in range(174)], []
+    for i in range(80):  # 0.73 from each other, and 0.77 from the one near copy
+        mine = own(32)
+        rows.append((i, " ".join(passage + mine)))
+        rows.append((500 + i, " ".join(passage + mine[:6] + own(26))))
+    base = [f"b{i}" for i in range(200)]
+    left, bridge = base[:172] + own(28), base[:186] + own(14)
+    for i in range(12):
+        for k, side in ((1000, left), (2000, base)):
+            words = list(side)
+            words[3 * i] = f"e{rnd.random()}"
+            rows.append((k + i, " ".join(words)))
+    rows.append((3000, " ".join(bridge)))
+    want = {i: c for i, (_, c) in brute(rows).items()}
+    got = {r["doc_id"]: r["component_id"] for r in found(spark, rows).collect()}
+    assert got == want and [want[500 + i] for i in range(80)] == list(range(80))
