@@ -9,7 +9,8 @@ candidates; surviving pairs are confirmed on the full shingle sets. Rows with eq
 one class, so groups of copies cost one row each.
 
 What that first pass links is contracted. A second pass screens every remaining pair, of rows
-not yet linked, that agree in the first two components of any order.
+not yet linked, that agree in the first two components of any order; large regions are dealt as
+pairs of blocks, so none is cut.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ SMALL = 8
 BLOCK, BEST = 512, 2
 #: A screen 4.6 standard deviations below a similarity of 0.75.
 SCREEN = 0.5
-#: In the second pass regions of so many rows or fewer are screened together.
+#: In the second pass cells of so many rows or fewer are screened together.
 FEW = 32
+#: Larger ones are dealt as pairs of blocks of about so many rows.
+WIDE = 2048
 FILTER_BITS = 1 << 23
 
 
@@ -196,19 +199,23 @@ def candidates(classes: DataFrame) -> DataFrame:
 
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of unlike labels that pass the screen, region by region; regions arrive sorted and whole."""
+    """All pairs of unlike labels that pass the screen, cell by cell; cells arrive sorted and whole.
+
+    A cell is two blocks of a region; rows of one block meet each other only in its cell with itself.
+    """
     factors = (mix(np.arange(7, 7 + COMPONENTS, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
     claim("minhash")
     held: list[pa.RecordBatch] = []
 
     def work(last: bool) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        cell = rows.column("region").to_numpy()
-        new = np.ones(len(cell) + 1, bool)
-        new[1:-1] = cell[1:] != cell[:-1]
+        cell = np.stack([rows.column(c).to_numpy() for c in ("region", "lo", "hi")])
+        block, alone = rows.column("block").to_numpy(), cell[1] == cell[2]
+        new = np.ones(cell.shape[1] + 1, bool)
+        new[1:-1] = (cell[:, 1:] != cell[:, :-1]).any(axis=0)
         edges = np.flatnonzero(new)
         held.clear()
-        if not last:  # the last region may go on
+        if not last:  # the last cell may go on
             held.append(rows.slice(edges[-2]))
             edges = edges[:-1]
         sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), ">u4").reshape(-1, COMPONENTS).astype(np.uint32)
@@ -222,10 +229,13 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [np.zeros((2, 0), np.int64)]
         for d in range(1, int(left.max(initial=1))):
             a = each[more > d]
-            a = a[label[a] != label[a + d]]
+            a = a[(label[a] != label[a + d]) & (alone[a] | (block[a] != block[a + d]))]
             out.append(_close(sketch, size, a, a + d))
         for i in np.flatnonzero(width > FEW):
-            out.extend(_across(np.arange(edges[i], edges[i + 1]), sketch, size, label))
+            inside = np.arange(edges[i], edges[i + 1])
+            first = inside[block[inside] == cell[1, edges[i]]]
+            second = None if alone[edges[i]] else inside[block[inside] == cell[2, edges[i]]]
+            out.extend(_across(first, second, sketch, size, label))
         a, b = np.concatenate(out, axis=1)
         pairs = np.unique(np.stack([np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])]), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
@@ -241,17 +251,18 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from work(True)
 
 
-def _across(rows: np.ndarray, sketch: np.ndarray, size: np.ndarray, label: np.ndarray) -> Iterator[np.ndarray]:
-    """The pairs of unlike labels among `rows` that pass the screen, a strip at a time."""
-    columns = np.ascontiguousarray(sketch[rows].T)
-    for at in range(0, len(rows), BLOCK):
-        strip, rest = rows[at : at + BLOCK], rows[at:]
-        agree = np.zeros((len(strip), len(rest)), np.uint8)
-        for c in columns:
-            agree += c[at : at + BLOCK][:, None] == c[at:][None, :]
-        a, b = np.nonzero((agree >= SCREEN * COMPONENTS) & (label[strip][:, None] != label[rest][None, :]))
-        a, b = a[a < b], b[a < b]
-        yield _close(sketch, size, strip[a], rest[b])
+def _across(one: np.ndarray, two: np.ndarray | None, sketch: np.ndarray, size: np.ndarray, label: np.ndarray) -> Iterator[np.ndarray]:
+    """The pairs of unlike labels between two blocks, or within one, that pass the screen; a strip at a time."""
+    across = one if two is None else two
+    columns = np.ascontiguousarray(sketch[across].T)
+    for at in range(0, len(one), BLOCK):
+        strip = one[at : at + BLOCK]
+        agree = np.zeros((len(strip), len(across)), np.uint8)
+        for own, c in zip(sketch[strip].T, columns, strict=True):
+            agree += own[:, None] == c[None, :]
+        a, b = np.nonzero((agree >= SCREEN * COMPONENTS) & (label[strip][:, None] != label[across][None, :]))
+        a, b = strip[a], across[b]
+        yield _close(sketch, size, *((a, b) if two is not None else (a[a < b], b[a < b])))
 
 
 def rest(classes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -260,9 +271,12 @@ def rest(classes: DataFrame, labels: DataFrame) -> DataFrame:
     trees = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     trees = trees.select("h1", "h2", "label", "sig", F.explode(F.array(*(F.lit(i) for i in range(ORDERS)))).alias("tree"))
     keyed = materialise(trees.select("h1", "h2", "label", F.expr(f"xxhash64(tree, substring(sig, tree * {step} + 1, 8))").alias("region")), "regions")
-    mixed = keyed.groupBy("region").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("region")
-    dealt = keyed.join(mixed, "region").join(classes.select("h1", "h2", "doc_id", "n_shingles", "sig"), ["h1", "h2"])
-    dealt = dealt.select("region", "doc_id", "n_shingles", "label", "sig").repartition("region").sortWithinPartitions("region")
+    mixed = keyed.groupBy("region").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.ceil(F.count(F.lit(1)) / WIDE).alias("blocks"))
+    # A region of several blocks is dealt as the cells of all pairs of them.
+    blocked = keyed.join(mixed.filter("least < most").select("region", "blocks"), "region").withColumn("block", F.pmod(F.xxhash64("h1", "h2", "region"), "blocks"))
+    celled = blocked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    dealt = celled.join(classes.select("h1", "h2", "doc_id", "n_shingles", "sig"), ["h1", "h2"])
+    dealt = dealt.select("region", "lo", "hi", "block", "doc_id", "n_shingles", "label", "sig").repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi")
     return dealt.mapInArrow(_rest, "u long, v long").distinct()
 
 

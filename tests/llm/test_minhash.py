@@ -123,3 +123,31 @@ def test_links_within_a_crowd(spark):
     want = {i: c for i, (_, c) in brute(rows).items()}
     got = {r["doc_id"]: r["component_id"] for r in found(spark, rows).collect()}
     assert got == want and [want[500 + i] for i in range(80)] == list(range(80))
+
+
+def signed(spark, n, far):
+    """Classes whose signatures agree in the first two components only, but for `far` pairs, which also agree in every other one but not in one that would deepen the run."""
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    sig = rnd.integers(1, 1 << 32, (n, 64), dtype=np.uint64).astype(">u4")
+    sig[:, :2] = 7
+    for a, b in far:
+        for k in (1, 3):
+            sig[b, k::4] = sig[a, k::4]
+    return spark.createDataFrame([(i, -i, i, 100, sig[i].tobytes()) for i in range(n)], "h1 long, h2 long, doc_id long, n_shingles long, sig binary")
+
+
+def test_large_region_is_not_cut(spark, monkeypatch):
+    """Pairs far apart in one region of many blocks, at any place of it, meet in the second pass."""
+    far = [(i, 2999 - i) for i in range(0, 1400, 7)]
+    classes = signed(spark, 3000, far)
+    first = {(r["u"], r["v"]) for r in minhash.candidates(classes.select("doc_id", "n_shingles", "sig")).collect()}
+    assert len(first & set(far)) < len(far)  # what the first pass loses
+    none = spark.createDataFrame([], "node long, label long")
+    for wide in (2048, 100, 16):
+        monkeypatch.setattr(minhash, "WIDE", wide)
+        got = sorted((r["u"], r["v"]) for r in minhash.rest(classes, none).collect())
+        assert got == far
+    linked = spark.createDataFrame([(2999 - i, i) for i in range(0, 700, 7)], "node long, label long")
+    assert sorted((r["u"], r["v"]) for r in minhash.rest(classes, linked).collect()) == far[100:]
