@@ -2,8 +2,9 @@
 
 Every page scores its containers by the text they hold outside of boilerplate. The path of the
 best one, generalised to tags and classes without numbers, is the page's vote; votes are summed
-per host in Spark, and each page is read again along its host's winning path. A page on which
-that path holds little of the text keeps its own best container.
+per host in Spark, and each page is read again along its host's winning path. Where a page's own
+best container holds more, that is kept as well, but for containers beside the path that most
+pages of the host have: those belong to the host's layout.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ class Page:
         words = {w for n in names for w in re.split(r"[^a-z]+", n.lower()) if w}
         whole = {w for n in names for w in n.lower().split()}
         if tag in CONTAINERS or tag in BLOCK:
-            kind = tag + "".join("." + re.sub(r"\d+", "#", x) for x in sorted(whole)[:3])
+            kind = tag + "".join("." + re.sub(r"\d+", "#", x) for x in sorted(whole))
             path = f"{path}>{kind}"
         inside = any(s[0] in ("article", "main") for s in self._stack)
         boiler = tag in BOILER_TAGS or bool(words & BOILER_WORDS and tag not in ("body", "html", "article", "main")) or (not inside and (tag == "header" or bool(whole & HEADER_WORDS and tag not in ("body", "html"))))
@@ -155,23 +156,33 @@ class Page:
         i = max(range(len(s)), key=lambda k: (s[k], -k))
         return (i, s[i]) if s[i] > 0 else (-1, 0.0)
 
-    def text(self, path: str | None) -> str:
-        """Blocks along the path, or of the page's own best container where the path holds little."""
+    def own_paths(self) -> set[str]:
+        """Paths of the containers that blocks stand in."""
+        return {self.paths[c] for c in self.owner}
+
+    def text(self, path: str | None, usual: list[str] | None = None) -> str:
+        """Blocks along the path, and those of the page's own best container unless they stand in a `usual` one.
+
+        Where the path holds little, the own best container keeps all of its blocks.
+        """
         i, score = self.best()
         if i < 0:
             return "\n".join(self.blocks)
-        chosen = {i}
-        if path is not None and path != self.paths[i]:
-            s = self.scores()
-            along = {k for k, p in enumerate(self.paths) if p == path}
-            if sum(s[k] for k in along) >= 0.5 * score:
-                chosen = along
+        if path is None or path == self.paths[i]:
+            along = own = self._under(self.paths[i])
+            left_out = set()
         else:
-            chosen = {k for k, p in enumerate(self.paths) if p == self.paths[i]}
+            along, own, left_out = self._under(path), self._under(only=i), set(usual or ())
+            if sum(s for s, p in zip(self.scores(), self.paths, strict=True) if p == path) < 0.5 * score:
+                left_out = set()
+        return "\n".join(b for b, o in zip(self.blocks, self.owner, strict=True) if along[o] or (own[o] and self.paths[o] not in left_out))
+
+    def _under(self, path: str | None = None, only: int = -1) -> list[bool]:
+        """For each container whether it is, or stands in, one of that path or that number."""
         under = [False] * len(self.paths)
         for k, up in enumerate(self.parent):
-            under[k] = k in chosen or (up >= 0 and under[up])
-        return "\n".join(b for b, o in zip(self.blocks, self.owner, strict=True) if under[o])
+            under[k] = self.paths[k] == path or k == only or (up >= 0 and under[up])
+        return under
 
 
 def host(url: str | None) -> str:
@@ -185,16 +196,19 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         keys, sums = list(votes), list(votes.values())
         votes.clear()
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64())], ["host", "path", "votes", "weight"])
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()), pa.array([s[2] for s in sums], pa.int64())], ["host", "path", "votes", "weight", "seen"])
 
     for batch in batches:
         for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             page = Page(html or "")
             i, score = page.best()
             if i >= 0:
-                held = votes.setdefault((host(url), page.paths[i]), [0, 0])
+                at = host(url)
+                held = votes.setdefault((at, page.paths[i]), [0, 0, 0])
                 held[0] += 1
                 held[1] += int(score)
+                for path in page.own_paths():
+                    votes.setdefault((at, path), [0, 0, 0])[2] += 1
         if len(votes) > 20_000:
             yield out()
     if votes:
@@ -203,15 +217,22 @@ def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [Page(h or "").text(p) for h, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+        texts = [Page(h or "").text(p, u) for h, p, u in zip(*(batch.column(c).to_pylist() for c in ("html", "path", "usual")), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path most pages of a host vote for; ties go to more text, then by name."""
-    votes = pages.mapInArrow(_vote, "host string, path string, votes long, weight long")
-    summed = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("weight").alias("weight"))
-    return summed.groupBy("host").agg(F.max(F.struct("votes", "weight", "path")).alias("w")).select("host", F.col("w.path").alias("path"))
+    """(host, path, usual): the path most pages of a host vote for; ties go to more text, then by name.
+
+    usual are the paths outside of it that hold text on more than half of the host's pages; they are
+    fewer than twice the containers of a mean page.
+    """
+    votes = pages.mapInArrow(_vote, "host string, path string, votes long, weight long, seen long")
+    summed = materialise(votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("weight").alias("weight"), F.sum("seen").alias("seen")), "host-votes")
+    won = summed.groupBy("host").agg(F.max(F.struct("votes", "weight", "path")).alias("w"), F.sum("votes").alias("pages")).select("host", F.col("w.path").alias("path"), "pages")
+    beside = ~F.col("path").startswith(F.concat("other", F.lit(">"))) & ~F.col("other").startswith(F.concat("path", F.lit(">"))) & (F.col("path") != F.col("other"))
+    usual = summed.filter("seen > 1").select("host", F.col("path").alias("other"), "seen").join(won, "host").filter((2 * F.col("seen") > F.col("pages")) & beside)
+    return won.select("host", "path").join(usual.groupBy("host").agg(F.sort_array(F.collect_list("other")).alias("usual")), "host", "left")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -225,5 +246,5 @@ def main_text(pages: DataFrame) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     winners = materialise(host_paths(pages.select("url", "html")), "host-paths")
     key = F.lower(F.coalesce(F.regexp_extract("url", HOST.pattern, 1), F.lit("")))
-    joined = pages.withColumn("host", key).join(winners, "host", "left").select("page_id", "url", "html", "path")
+    joined = pages.withColumn("host", key).join(winners, "host", "left").select("page_id", "url", "html", "path", "usual")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

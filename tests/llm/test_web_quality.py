@@ -44,6 +44,17 @@ def test_host_paths(spark):
     assert htmltext.main_text(pages.filter("false")).count() == 0
 
 
+def test_page_that_continues_beside_the_path(spark):
+    one = "<body><div class='wrap'><div class='content'><p>{}</p></div></div></body>"
+    two = "<body><div class='wrap'><div class='content'><p>{}</p></div><div class='more'><p>{}</p></div></div></body>"
+    rows = [(i, "http://h/a", one.format("the text of one page " * 9)) for i in range(6)] + [(6, "http://h/b", two.format("first " * 35, "second " * 55))]
+    by = {r["page_id"]: r["text"] for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert by[0] == ("the text of one page " * 9).strip()
+    assert by[6] == ("first " * 35).strip() + "\n" + ("second " * 55).strip()
+    a, b = (htmltext.Page(f"<div class='a b c {x}'><p>t</p></div>").paths[-1] for x in "yz")
+    assert a != b
+
+
 def test_warc(spark):
     big, other = "x" * 1500, "é" * 600
     rows = [(1, "u", big), (2, "u", big), (9, None, big), (3, "u", other), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "a\r\nb", "\r\n\r\nWARC/1.1\r\n"), (8, "u", other), (8, "u", other), (None, "u", big), (2, "u", other)]
