@@ -123,16 +123,18 @@ class Index:
         which = np.repeat(self.first[vocab], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         begin = np.repeat(at, n) - self.position[which]
         template, doc = self.template[which], np.repeat(doc, n)
-        inside = (begin >= first[doc]) & (begin + np.array([len(w) for w in self.words])[template] <= first[doc + 1])
-        votes, count = np.unique(np.stack([doc[inside], template[inside], begin[inside]]), axis=1, return_counts=True)
+        # A template may begin before its text or end after it; its key phrases may not.
+        votes, count = np.unique(np.stack([doc, template, begin]), axis=1, return_counts=True)
         out = []
         for (i, t, b), c in zip(votes.T.tolist(), count.tolist(), strict=True):
             looked = held[np.searchsorted(held, i * len(self.vocabulary)) : np.searchsorted(held, (i + 1) * len(self.vocabulary))] % len(self.vocabulary)
             if c < VOTES * self.could[t, looked].sum():
                 continue
-            if all(np.array_equal(words[b + q : b + q + len(k)], np.array(k, np.uint64)) for q, k in self.keys[t]):
+            lo, hi = int(first[i]), int(first[i + 1])
+            if all(lo <= b + q and b + q + len(k) <= hi and np.array_equal(words[b + q : b + q + len(k)], np.array(k, np.uint64)) for q, k in self.keys[t]):
                 own = np.array(self.words[t], np.uint64)
-                out.append((i, t, b, float((words[b : b + len(own)] == own).mean())))
+                a, z = max(b, lo), min(b + len(own), hi)
+                out.append((i, t, b, float((words[a:z] == own[a - b : z - b]).sum() / len(own))))
         return out
 
 

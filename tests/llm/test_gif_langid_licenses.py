@@ -201,3 +201,10 @@ def test_licence_index_against_brute_force(spark):
         words = text.split()
         whole = {t.label for t in licenses.TEMPLATES for b in range(len(words)) if words[b : b + len(t.words.split())] == t.words.split()}
         assert whole <= set(out[i].split(","))
+
+
+def test_key_phrases_at_the_edges_of_a_text(spark):
+    texts = ["MIT License", "Apache License Version 2.0", "some words and at last CC BY-NC", "and then MIT", "License of none"]
+    out = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert "mit" in out[0] and "apache-2.0" in out[1] and "cc-by-nc" in out[2]
+    assert "mit" not in out[3] + out[4]
