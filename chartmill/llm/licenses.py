@@ -138,17 +138,6 @@ class Index:
         return out
 
 
-def phrase_places(words: np.ndarray, first: np.ndarray, phrase: str) -> np.ndarray:
-    """Places of the first word where a phrase's words stand consecutively within one text."""
-    own = [word_hash(w.encode()) for w in phrase.split()]
-    if len(words) < len(own):
-        return np.zeros(0, np.int64)
-    at = np.flatnonzero(words[: len(words) - len(own) + 1] == np.uint64(own[0]))
-    for q, h in enumerate(own):
-        at = at[words[at + q] == np.uint64(h)]
-    return at[np.searchsorted(first, at, side="right") == np.searchsorted(first, at + len(own) - 1, side="right")]
-
-
 def document_frequencies(docs: DataFrame, templates: list[Template]) -> dict[int, int]:
     """Texts that hold each licence word, over all documents; key -1 counts the texts."""
 
@@ -176,7 +165,7 @@ def scan(docs: DataFrame, templates: list[Template] | None = None) -> DataFrame:
     """
     prepare(docs.sparkSession)
     rest = TEMPLATES if templates is None else templates
-    every = rest
+    every = BASE + rest
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     df = document_frequencies(docs, every)
     texts = df.get(-1, 0)
@@ -192,14 +181,12 @@ def scan(docs: DataFrame, templates: list[Template] | None = None) -> DataFrame:
             base: list[set[str]] = [set() for _ in range(n)]
             labels: list[set[str]] = [set() for _ in range(n)]
             score = np.zeros(n)
-            for t in BASE:
-                for p in phrase_places(words, first, t.words).tolist():
-                    i = int(np.searchsorted(first, p, side="right")) - 1
-                    places[i].append(p - int(first[i]))
-                    base[i].add(t.label)
-            for i, t, _, share in index.match(words, first):
+            for i, t, b, share in index.match(words, first):
                 labels[i].add(every[t].label)
                 score[i] = max(score[i], share)
+                if t < len(BASE):
+                    places[i].append(b - int(first[i]))
+                    base[i].add(every[t].label)
             for i, b in enumerate(base):
                 if b:
                     labels[i] |= b

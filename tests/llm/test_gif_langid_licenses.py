@@ -208,3 +208,13 @@ def test_key_phrases_at_the_edges_of_a_text(spark):
     out = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert "mit" in out[0] and "apache-2.0" in out[1] and "cc-by-nc" in out[2]
     assert "mit" not in out[3] + out[4]
+
+
+def test_base_phrases_come_from_the_index(spark, monkeypatch):
+    texts = ["cc by and cc by, all rights reserved", "general public license", "by cc"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    frequencies = licenses.document_frequencies
+    monkeypatch.setattr(licenses, "document_frequencies", lambda d, templates: seen.extend(templates) or frequencies(d, templates))
+    out = {r["doc_id"]: (r["n_base"], r["first_word"], r["last_word"]) for r in licenses.scan(docs, []).collect()}
+    assert set(licenses.BASE) <= set(seen) and out == {0: (3, 0, 5), 1: (1, 0, 0), 2: (0, None, None)}
