@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch from the JVM, unless the session sets its own number.
 ARROW_ROWS = 1000
+#: Bytes in one Arrow batch from the JVM, unless the session sets its own number.
+ARROW_BYTES = 16 << 20
 #: Bytes of text worked on at once; a single longer text is still taken whole.
 SLICE_BYTES = 1 << 20
 
@@ -34,16 +36,20 @@ def claim(owner: str, release: Callable[[], object] | None = None) -> None:
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Keep Arrow batches small enough for long texts unless the user chose a size."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(ARROW_ROWS))
+    for key, usual, ours in (("maxRecordsPerBatch", "10000", ARROW_ROWS), ("maxBytesPerBatch", str(64 << 20), ARROW_BYTES)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", usual).removesuffix("b") in (usual, str((1 << 31) - 1)):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(ours))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir; unset is an error but where all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        import tempfile
+
         found = tempfile.mkdtemp(prefix="chartmill-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -101,3 +107,28 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             b = max(a + 1, int(np.searchsorted(offs, offs[a] + limit, side="right")) - 1)
             yield batch.slice(a, b - a), data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
             a = b
+
+
+#: Bits of a bitmap over ids: eight an id, within these bounds. Beyond the larger it passes more rows, never fewer.
+FEWEST_BITS, MOST_BITS = 1 << 16, 1 << 27
+
+
+class IdFilter:
+    """A bitmap of hashed ids, at most 16 MB: what it lets through holds all rows with one of the ids."""
+
+    def __init__(self, ids: DataFrame):
+        spark = ids.sparkSession
+        n = 8 * ids.count()
+        self.bits = min(max(FEWEST_BITS, 1 << n.bit_length()), MOST_BITS)
+        rows = ids.groupBy(F.shiftright(self.slot(), 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {self.bits}) & 63 as int))")).alias("bits")).toArrow()
+        filled = np.zeros(self.bits // 64, np.int64)
+        filled[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+        self.held = spark.sparkContext.broadcast(filled.tobytes())
+
+    def slot(self) -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.bits))
+
+    def __call__(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The rows of a batch with a column `slot` that may have one of the ids."""
+        words, slot = np.frombuffer(self.held.value, np.int64), batch.column("slot").to_numpy()
+        return batch.filter(pa.array((words[slot >> 6] >> (slot & 63)) & 1 == 1))

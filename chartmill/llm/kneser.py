@@ -1,9 +1,12 @@
-"""Quality by an interpolated modified Kneser-Ney model of byte 4-grams over trusted text.
+"""Quality by an interpolated modified Kneser-Ney model of byte 5-grams over trusted text.
 
-Bytes are folded to 64 symbols, so an n-gram is a number of 6 n bits and no table of the model
-can outgrow 2^24 entries, whatever the corpus. Counts of the trusted texts are summed by n-gram,
-continuation counts follow from the distinct n-grams, and joins on contexts, sharded by key,
-give each seen n-gram its chance and each context its weight for the next lower order.
+Counts of the trusted texts are summed by n-gram, continuation counts follow from the distinct
+n-grams, and joins on contexts, sharded by key, give each seen n-gram its chance and each context
+its weight for the next lower order. The model is a set of tables that grows with the text.
+
+Documents meet it the same way. Their rows are packed into parts of bounded size; a part's distinct
+n-grams are joined with the model, sharded by n-gram, and come back to the part as its own table,
+along which its texts are scored. Neither the driver nor any task holds the model.
 """
 
 from __future__ import annotations
@@ -13,82 +16,141 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import claim, materialise, prepare, slices
+from .common import IdFilter, claim, materialise, prepare, slices
 
-ORDER, BITS = 4, 6
-SYMBOLS = 1 << BITS
-#: Share of a language's trusted texts whose perplexity lies under its threshold.
+ORDER = 5
+SYMBOLS = 256
+#: Bytes of text in a part; a single longer text is a part of its own.
+PART_BYTES = 8 << 20
+#: Share of a language's trusted texts, and of those held out, whose perplexity lies under its threshold.
 QUANTILE = 0.999
+#: Trusted texts kept from training, one in so many by hash of doc_id: they show what unseen texts cost.
+HELD_OUT = 4
+#: Bits a symbol that a text may cost beyond the quantile, as few held-out texts show it only roughly.
+SLACK_BITS = 0.4
 #: Symbols of the language's median cost that every text is judged with; they settle short texts.
 PRIOR_SYMBOLS = 32
-FILTER_BITS = 1 << 25
-
-
-def symbol_table() -> np.ndarray:
-    """Symbol of each byte: letters a-z apart; capitals, digits and rare marks by kind."""
-    out = np.full(256, 63, np.uint8)
-    for i in range(26):
-        out[97 + i] = i
-        out[65 + i] = 26
-    out[48:58] = 27
-    for i, c in enumerate(b" \n.,!?|*#%&$'\"-:;@/=+()_"):
-        out[c] = 28 + i
-    for c in range(128, 192):  # continuation bytes
-        out[c] = 52 + c % 10
-    out[192:] = 62
-    return out
+#: A symbol's cost travels beside its n-gram in one number: under 64 bits, in steps of 2^-17.
+COST_BITS, COST_STEPS = 23, 1 << 17
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def grams(data: np.ndarray, offs: np.ndarray, order: int = ORDER) -> np.ndarray:
-    """The n-gram that ends at each byte; a text begins as if after new lines."""
-    x = symbol_table().take(data).astype(np.int32)
-    out = x.copy()
-    begin = np.repeat(offs[:-1], np.diff(offs))
-    place = np.arange(len(x)) - begin
-    line = np.int32(symbol_table()[10])
-    for k in range(1, order):
-        before = np.full(len(x), line, np.int32)
-        before[k:] = x[:-k] if k < len(x) else before[k:]
-        before[place < k] = line
-        out |= before << (BITS * k)
-    return out
+    """The n-gram that ends at each byte, as a number; a text begins as if after new lines."""
+    n = len(data)
+    padded = np.full(n + order + 8, 10, np.uint8)
+    padded[order - 1 : order - 1 + n] = data
+    out = np.ndarray((n,), "<u8", padded, 0, (1,)).byteswap() >> np.uint64(64 - 8 * order)
+    for j in range(order - 1):  # what came before a text's first bytes is not its own
+        at = offs[:-1][np.diff(offs) > j] + j
+        own = np.uint64((1 << 8 * (j + 1)) - 1)
+        lines = np.uint64(sum(10 << 8 * i for i in range(j + 1, order)))
+        out[at] = (out[at] & own) | lines
+    return out.view(np.int64)
+
+
+def distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, counts) of the distinct n-grams, in order."""
+    g = np.sort(g)
+    new = np.ones(len(g) + 1, bool)
+    new[1:-1] = g[1:] != g[:-1]
+    at = np.flatnonzero(new)
+    return g[at[:-1]], np.diff(at)
+
+
+class GramTable:
+    """A number for each of many distinct n-grams, in an open-addressed table at most a quarter full."""
+
+    def __init__(self, bits: int = 16):
+        self.n, self.bits = 0, bits
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.number = np.zeros(1 << bits, np.int64)
+
+    def _slot(self, g: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (g.view(np.uint64) * _ODD >> np.uint64(64 - self.bits)).view(np.int64)
+
+    def find(self, g: np.ndarray) -> np.ndarray:
+        """The number of each n-gram, -1 where it is not held."""
+        slot = self._slot(g)
+        out = self.number.take(slot)
+        rest = np.flatnonzero(self.keys.take(slot) != g)
+        slot = slot[rest]
+        while len(rest):
+            at, own = self.keys.take(slot), g[rest]
+            out[rest] = np.where(at == own, self.number.take(slot), -1)
+            go = (at != own) & (at >= 0)
+            rest, slot = rest[go], slot[go] + 1 & (1 << self.bits) - 1
+        return out
+
+    def _place(self, new: np.ndarray, numbers: np.ndarray) -> None:
+        slot = self._slot(new)
+        while len(new):
+            free = self.keys.take(slot) < 0
+            self.keys[slot[free]] = new[free]
+            lost = self.keys.take(slot) != new
+            self.number[slot[~lost]] = numbers[~lost]
+            new, numbers, slot = new[lost], numbers[lost], slot[lost] + 1 & (1 << self.bits) - 1
+
+    def add(self, g: np.ndarray) -> np.ndarray:
+        """The number of each of distinct n-grams; those not met before get the next ones."""
+        if 4 * (self.n + len(g)) > 1 << self.bits:
+            held = self.keys >= 0
+            keys, numbers = self.keys[held], self.number[held]
+            more = GramTable(int(8 * (self.n + len(g))).bit_length())
+            self.bits, self.keys, self.number = more.bits, more.keys, more.number
+            self._place(keys, numbers)
+        out = self.find(g)
+        fresh = out < 0
+        out[fresh] = np.arange(self.n, self.n + int(fresh.sum()))
+        self._place(g[fresh], out[fresh])
+        self.n += int(fresh.sum())
+        return out
+
+    def all(self) -> np.ndarray:
+        """The n-grams by their numbers."""
+        held, out = self.keys >= 0, np.empty(self.n, np.int64)
+        out[self.number[held]] = self.keys[held]
+        return out
+
+
+#: Distinct n-grams a counting task holds before it hands its counts on.
+MOST_HELD = 1 << 22
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     claim("kneser")
-    total = np.zeros(1 << BITS * ORDER, np.int32)  # 64 MB, counted in place
-    for _, data, offs in slices(batches, "text"):
-        np.add.at(total, grams(data, offs).astype(np.intp), 1)
-    seen = np.flatnonzero(total)
-    for a in range(0, len(seen), 100_000):
-        part = seen[a : a + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.array(total[part].astype(np.int64))], ["gram", "n"])
 
+    def out() -> Iterator[pa.RecordBatch]:
+        keys = held.all()
+        for a in range(0, held.n, 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), pa.array(total[a : a + 100_000])], ["gram", "n"])
 
-def _slot() -> Column:
-    return F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    held, total = GramTable(), np.zeros(0, np.int64)
+    for _, data, offs in slices(batches, "text"):
+        g, n = distinct(grams(data, offs))
+        at = held.add(g)
+        total = np.concatenate([total, np.zeros(held.n - len(total), np.int64)])
+        total[at] += n
+        if held.n > MOST_HELD:
+            yield from out()
+            held, total = GramTable(), np.zeros(0, np.int64)
+    yield from out()
 
 
 def select_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids; a bitmap of fixed size spares most others the shuffle."""
-    spark = docs.sparkSession
-    bits = ids.groupBy(F.shiftright(_slot(), 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) & 63 as int))")).alias("bits"))
-    words = bits.toArrow()
-    filled = np.zeros(FILTER_BITS // 64, np.int64)
-    filled[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    held = spark.sparkContext.broadcast(filled.tobytes())
+    """Rows (doc_id, text) of docs whose doc_id is in ids; a bitmap spares most others the shuffle."""
+    kept = IdFilter(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.frombuffer(held.value, np.int64)
         for batch in batches:
-            slot = batch.column("slot").to_numpy()
-            yield batch.filter(pa.array((words[slot >> 6] >> (slot & 63)) & 1 == 1)).select(["doc_id", "text"])
+            yield kept(batch).select(["doc_id", "text"])
 
-    maybe = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", _slot().alias("slot")).mapInArrow(run, "doc_id long, text string")
+    maybe = docs.filter("doc_id is not null and text is not null").select("doc_id", "text", kept.slot().alias("slot")).mapInArrow(run, "doc_id long, text string")
     return maybe.join(ids, "doc_id", "left_semi")
 
 
@@ -100,76 +162,146 @@ def _discounts(counts: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
 
 
-def train(texts: DataFrame) -> np.ndarray | None:
-    """Bits that each of the 2^24 n-grams costs, from all the texts; None where there are none.
+class Level(NamedTuple):
+    """One order of the model: chances (gram, p) of seen n-grams, weights (context, weight) of seen contexts."""
 
-    counts of order k below the highest are the numbers of distinct symbols seen before.
+    chances: DataFrame
+    weights: DataFrame
+
+
+def train(texts: DataFrame) -> list[Level]:
+    """Levels of order 1, 2, ..., ORDER from all the texts; no levels where there are none.
+
+    Counts of an order below the highest are the numbers of distinct symbols seen before. A context
+    has at most 256 n-grams, so no window holds more.
     """
     counts = materialise(texts.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "kn-counts")
-    tables = {ORDER: counts}
+    if counts.isEmpty():
+        return []
+    tables = [counts]
     for k in range(ORDER - 1, 0, -1):
-        tables[k] = tables[k + 1].groupBy((F.col("gram") % F.lit(1 << BITS * k)).alias("gram")).agg(F.count(F.lit(1)).alias("n"))
-    dense = np.full(1, 1 / SYMBOLS)
-    chances: DataFrame | None = None
-    for k in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(tables[k])
+        tables.insert(0, materialise(tables[0].groupBy((F.col("gram") % F.lit(1 << 8 * k)).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "kn-counts"))
+    out: list[Level] = []
+    for k, table in enumerate(tables, 1):
+        d1, d2, d3 = _discounts(table)
         discount = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        keyed = tables[k].withColumn("context", F.shiftright("gram", BITS))
-        contexts = keyed.groupBy("context").agg(F.sum("n").alias("total"), F.sum(discount).alias("held"))
-        weighted = contexts.select("context", "total", (F.col("held") / F.col("total")).alias("weight"))
-        joined = keyed.join(weighted, "context")
-        if chances is None:
-            lower = F.lit(1 / SYMBOLS)
+        alike = Window.partitionBy("context")
+        held = table.withColumn("context", F.shiftright("gram", 8)).withColumns({"total": F.sum("n").over(alike), "weight": F.sum(discount).over(alike)}).withColumn("weight", F.col("weight") / F.col("total"))
+        if k == 1:
+            held = held.withColumn("below", F.lit(1 / SYMBOLS))
         else:
-            joined = joined.withColumn("suffix", F.col("gram") % F.lit(1 << BITS * (k - 1))).join(chances.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
-            lower = F.col("below")
-        found = ((F.col("n") - discount) / F.col("total") + F.col("weight") * lower).alias("p")
-        chances = materialise(joined.select("gram", found), "kn-chances")
-        seen, weights = chances.toArrow(), weighted.toArrow()  # at most 2^24 rows by construction
-        if not seen.num_rows:
-            return None
-        back = np.ones(1 << BITS * (k - 1))
-        back[weights.column("context").to_numpy()] = weights.column("weight").to_numpy()
-        # An unseen n-gram has its context's weight times the chance of its suffix.
-        dense = (back[:, None] * dense.reshape(-1, SYMBOLS)[np.arange(len(back)) % max(1, len(dense) // SYMBOLS)] if k > 1 else back[:, None] * np.full((1, SYMBOLS), 1 / SYMBOLS)).ravel()
-        dense[seen.column("gram").to_numpy()] = seen.column("p").to_numpy()
-    return -np.log2(dense).astype(np.float32)
-
-
-def score(docs: DataFrame, bits: np.ndarray | None) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity per row; null for a null or empty text, or without a model."""
-    return _score_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")), bits, ["doc_id", "lang"])
-
-
-def _score_rows(rows: DataFrame, bits: np.ndarray | None, passed: list[str]) -> DataFrame:
-    spark = prepare(rows.sparkSession)
-    # At most 2^24 half floats, 32 MB, however large the corpus.
-    held = spark.sparkContext.broadcast(None if bits is None else bits.astype(np.float16))
+            held = held.withColumn("suffix", F.col("gram") % F.lit(1 << 8 * (k - 1))).join(out[-1].chances.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
+        p = (F.col("n") - discount) / F.col("total") + F.col("weight") * F.col("below")
+        level = materialise(held.select("gram", "context", "weight", p.alias("p")), "kn-chances")
+        out.append(Level(level.select("gram", "p"), level.groupBy("context").agg(F.first("weight").alias("weight"))))
+    return out
+
+
+def chances(wanted: DataFrame, levels: list[Level]) -> DataFrame:
+    """(gram, p) of distinct n-grams of the order that levels end with: the seen ones from their table,
+    the others by their context's weight and the chance of their suffix."""
+    if not levels:
+        return wanted.select("gram", F.lit(1 / SYMBOLS).alias("p"))
+    k, top = len(levels), levels[-1]
+    found = materialise(wanted.join(top.chances, "gram", "left"), "kn-found")
+    unseen = found.filter("p is null").select("gram", F.shiftright("gram", 8).alias("context"), (F.col("gram") % F.lit(1 << 8 * (k - 1))).alias("suffix"))
+    weighted = unseen.join(top.weights, "context", "left")
+    if k == 1:
+        rest = weighted.withColumn("below", F.lit(1 / SYMBOLS))
+    else:
+        below = chances(unseen.select(F.col("suffix").alias("gram")).distinct(), levels[:-1])
+        rest = weighted.join(below.select(F.col("gram").alias("suffix"), F.col("p").alias("below")), "suffix")
+    return found.filter("p is not null").union(rest.select("gram", (F.coalesce("weight", F.lit(1.0)) * F.col("below")).alias("p")))
+
+
+def _pack(own: pa.Schema) -> object:
+    """Rows (part, grams, held): parts of the rows, which are kept as a compressed Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         claim("kneser")
-        table = held.value
-        for batch, data, offs in slices(batches, "text"):
-            n = np.diff(offs)
-            if table is None or not len(data):
-                perplexity = [None] * len(n)
-            else:
-                total = np.concatenate([[0], np.cumsum(table.take(grams(data, offs)), dtype=np.float64)])[offs]
-                perplexity = [2.0 ** (b / k) if k else None for b, k in zip(np.diff(total).tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in passed), pa.array(n, pa.int64()), pa.array(perplexity, pa.float64())], [*passed, "n_symbols", "perplexity"])
+        task, count, size = TaskContext.get().partitionId(), 0, 0
+        seen, rows = GramTable(), []
 
-    fields = [rows.schema[c] for c in passed]
-    schema = T.StructType([*fields, T.StructField("n_symbols", T.LongType()), T.StructField("perplexity", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                for r in rows:
+                    to.write_batch(r)
+            each = pa.array([np.sort(seen.all())], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | count]), each, pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "grams", "held"])
 
+        for batch, data, offs in slices(batches, "_text"):
+            if rows and size + len(data) > PART_BYTES:
+                yield out()
+                count, size, seen, rows = count + 1, 0, GramTable(), []
+            seen.add(distinct(grams(data, offs))[0])
+            rows.append(batch)
+            size += len(data)
+        if rows:
+            yield out()
 
-class Judge(NamedTuple):
-    """A fitted model: the n-gram table, and median and limit of trusted texts by language.
+    return run
 
-    The entries under the key () hold for languages without trusted texts.
+
+def _along(passed: int) -> object:
+    """The rows of each part with n_symbols and perplexity, by the part's own table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("kneser")
+        for batch in batches:
+            for held, costs in zip(batch.column("held"), batch.column("costs"), strict=True):
+                known, bits = GramTable(), np.zeros(0)
+                if costs.is_valid and len(costs.values):
+                    packed = costs.values.to_numpy()
+                    bits = (packed & (1 << COST_BITS) - 1) / COST_STEPS
+                    known.add(packed >> COST_BITS)  # numbered in order
+                for rows in pa.ipc.open_stream(held.as_buffer()):
+                    for own, data, offs in slices(iter([rows]), "_text"):
+                        n = np.diff(offs)
+                        if known.n and len(data):
+                            total = np.concatenate([[0], np.cumsum(bits.take(known.find(grams(data, offs))))])[offs]
+                            cost = [2.0 ** (b / k) if k else None for b, k in zip(np.diff(total).tolist(), n.tolist(), strict=True)]
+                        else:
+                            cost = [None] * len(n)
+                        columns = [own.column(i) for i in range(passed)]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(cost, pa.float64())], [*(f"_{i}" for i in range(passed)), "_n", "_perplexity"])
+
+    return run
+
+
+def score(docs: DataFrame, levels: list[Level]) -> DataFrame:
+    """The rows of docs, whose columns may have any names, with n_symbols and perplexity behind them.
+
+    n_symbols is the length of `text` in bytes; the perplexity of a null or empty text, or without a
+    model, is null.
     """
+    return _scored(docs, levels).toDF(*docs.columns, "n_symbols", "perplexity")
+
+
+def _scored(docs: DataFrame, levels: list[Level]) -> DataFrame:
+    """As score, but columns are named _0, _1, ... by their places, then _n and _perplexity."""
+    prepare(docs.sparkSession)
+    names = docs.columns
+    plain = docs.withColumn("_text", F.col("text").cast("string")) if "text" in names else docs.withColumn("_text", F.lit(None).cast("string"))
+    plain = plain.toDF(*(f"_{i}" for i in range(len(names))), "_text")
+    packed = materialise(plain.mapInArrow(_pack(None), "part long, grams array<long>, held binary"), "kn-parts")
+    if levels:
+        each = packed.select("part", F.explode("grams").alias("gram"))
+        cost = F.least(F.round(-F.log2("p") * COST_STEPS), F.lit((1 << COST_BITS) - 1)).cast("long")
+        known = materialise(chances(each.select("gram").distinct(), levels).select("gram", F.shiftleft("gram", COST_BITS).bitwiseOR(cost).alias("cost")), "kn-costs")
+        tables = each.join(known, "gram").groupBy("part").agg(F.collect_list("cost").alias("costs"))
+        joined = packed.select("part", "held").join(tables, "part", "left").select("held", "costs")
+    else:
+        joined = packed.select("held", F.lit(None).cast("array<bigint>").alias("costs"))
+    schema = T.StructType([*plain.schema.fields[:-1], T.StructField("_n", T.LongType()), T.StructField("_perplexity", T.DoubleType())])
+    return joined.mapInArrow(_along(len(names)), schema)
+
+
+class Judge(NamedTuple):
+    """Median and limit of trusted texts by language; entries under () hold for all other languages."""
 
-    bits: np.ndarray | None
     medians: dict
     limits: dict
 
@@ -179,37 +311,60 @@ class Judge(NamedTuple):
 
     def limit(self, lang: str | None) -> float:
         found = self.limits.get(lang, self.limits.get(()))
-        return float("inf") if found is None else found
+        return float("inf") if found is None else found * 2**SLACK_BITS
 
 
-def judged(judge: Judge) -> Column:
+def judged(judge: Judge, lang: Column) -> Column:
     """The perplexity of a scored row with PRIOR_SYMBOLS more symbols at its language's median."""
-    usual = F.log2(_by_language(judge.medians, judge.usual))
-    return F.pow(F.lit(2.0), (F.col("n_symbols") * F.log2("perplexity") + PRIOR_SYMBOLS * usual) / (F.col("n_symbols") + PRIOR_SYMBOLS))
+    usual = F.log2(_by_language(judge.medians, judge.usual, lang))
+    return F.pow(F.lit(2.0), (F.col("_n") * F.log2("_perplexity") + PRIOR_SYMBOLS * usual) / (F.col("_n") + PRIOR_SYMBOLS))
 
 
-def _by_language(known: dict, value) -> Column:
+def _by_language(known: dict, value, lang: Column) -> Column:
     langs = [x for x in known if isinstance(x, str)]
     table = F.create_map(*(F.lit(y) for x in langs for y in (x, float(value(x))))) if langs else None
-    other = F.when(F.col("lang").isNull(), F.lit(float(value(None)))).otherwise(F.lit(float(value(()))))
-    return F.coalesce(table[F.coalesce("lang", F.lit(""))], other) if langs else other
+    other = F.when(lang.isNull(), F.lit(float(value(None)))).otherwise(F.lit(float(value(()))))
+    return F.coalesce(table[F.coalesce(lang, F.lit(""))], other) if langs else other
+
+
+def _held_out() -> Column:
+    return F.pmod(F.xxhash64(F.lit("held out"), "doc_id"), F.lit(HELD_OUT)) == 0
+
+
+def _named(docs: DataFrame, name: str, kind: str) -> Column:
+    """A column of scored rows by its name in docs; null where docs lack it."""
+    return (F.col(f"_{docs.columns.index(name)}") if name in docs.columns else F.lit(None)).cast(kind)
+
 
+def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, without: tuple[str, ...] = ()) -> tuple[Judge, DataFrame]:
+    """The limits from trusted texts, and the rows of docs by places with _n and _perplexity (see
+    _scored), written once and without the columns `without`.
 
-def fit(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> tuple[Judge, DataFrame]:
-    """The model and limits from all trusted texts, and the scores of all rows of docs."""
+    Trained on are the trusted texts but for one in HELD_OUT. A threshold is the larger of the
+    quantiles over those and over all trusted texts of a language.
+    """
+    prepare(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter("doc_id is not null")
     trusted = materialise(known.groupBy("doc_id").agg(F.min("quality").alias("q")).filter("q = 1").select("doc_id"), "trusted")
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    bits = train(select_texts(own, trusted))
-    scored = materialise(score(own, bits), "perplexities")
-    sample = scored.join(trusted, "doc_id", "left_semi").filter("perplexity is not null")
+    texts = select_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), trusted)
+    scored = materialise(_scored(docs, train(texts.filter(~_held_out()))).drop(*(f"_{docs.columns.index(x)}" for x in without)), "perplexities")
+    # One slim pass over the scores; the texts stay where they are.
+    slim = scored.select(_named(docs, "doc_id", "long").alias("doc_id"), _named(docs, "lang", "string").alias("lang"), "_n", "_perplexity").filter("_perplexity is not null")
+    sample = materialise(slim.join(trusted, "doc_id", "left_semi").withColumn("held_out", _held_out()), "trusted-scores")
 
     def quantiles(rows: DataFrame, value: str, share: float) -> dict:
         at = F.percentile_approx(value, share, 10_000).alias("q")
         return {r["lang"]: r["q"] for r in rows.groupBy("lang").agg(at).collect()} | {(): rows.agg(at).first()["q"]}
 
-    judge = Judge(bits, quantiles(sample, "perplexity", 0.5), {})
-    return judge._replace(limits=quantiles(sample.withColumn("judged", judged(judge)), "judged", quantile)), scored
+    fresh = sample.filter("held_out")
+    judge = Judge(quantiles(fresh, "_perplexity", 0.5) if not fresh.isEmpty() else quantiles(sample, "_perplexity", 0.5), {})
+    with_prior = sample.withColumn("judged", judged(judge, F.col("lang")))
+    every, new = quantiles(with_prior, "judged", quantile), quantiles(with_prior.filter("held_out"), "judged", quantile)
+    return judge._replace(limits={k: q if new.get(k) is None else max(q, new[k]) for k, q in every.items() if q is not None}), scored
+
+
+def _within(judge: Judge, lang: Column) -> Column:
+    return (F.col("_n") > 0) & F.coalesce(judged(judge, lang) <= _by_language(judge.limits, judge.limit, lang), F.lit(True))
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -217,19 +372,21 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
 
     Trusted are the documents that labels give quality 1; a document labelled both ways is not.
     judged is the perplexity with PRIOR_SYMBOLS more symbols at the median cost of the language's
-    trusted texts; kept is whether it is at most the threshold, the quantile over those texts, or
-    over all trusted texts where the language has none. Null and empty texts are not kept; without
-    trusted texts all others are. Repeated rows repeat; null ids match no label.
+    held-out trusted texts; kept is whether it is at most the threshold, SLACK_BITS a symbol above
+    the quantile over the language's trusted texts, or over all of them where it has none. Null and
+    empty texts are not kept; without trusted texts all others are. Repeated rows repeat; null ids
+    match no label; other columns are ignored.
     """
-    judge, scored = fit(docs, labels, quantile)
-    out = scored.withColumn("judged", judged(judge)).withColumn("threshold", _by_language(judge.limits, judge.limit))
-    return out.withColumn("kept", (F.col("n_symbols") > 0) & F.coalesce(F.col("judged") <= F.col("threshold"), F.lit(True)))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
+    judge, scored = fit(own, labels, quantile, ("text",))
+    out = scored.withColumnsRenamed({"_0": "doc_id", "_2": "lang"}).withColumn("judged", judged(judge, F.col("lang"))).withColumn("threshold", _by_language(judge.limits, judge.limit, F.col("lang")))
+    return out.select("doc_id", "lang", F.col("_n").alias("n_symbols"), F.col("_perplexity").alias("perplexity"), "judged", "threshold", _within(judge, F.col("lang")).alias("kept"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """The rows of docs that classify keeps, with all their columns and without a join on ids."""
-    judge, _ = fit(docs, labels, quantile)
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text", F.col("lang").cast("string").alias("lang"))
-    rows = _score_rows(whole, judge.bits, ["row", "lang"])
-    within = F.coalesce(judged(judge) <= _by_language(judge.limits, judge.limit), F.lit(True))
-    return rows.filter((F.col("n_symbols") > 0) & within).select("row.*")
+    """The rows of docs that classify keeps, with all their columns, scored once and without a join on ids.
+
+    Columns may have any names; a missing `lang` counts as null.
+    """
+    judge, scored = fit(docs, labels, quantile)
+    return scored.filter(_within(judge, _named(docs, "lang", "string"))).drop("_n", "_perplexity").toDF(*docs.columns)

@@ -90,12 +90,11 @@ def test_seekable_bundles():
         warc.BundleReader(bundle[:-1] + b"x")
 
 
-def brute_kneser(texts, order=3):
-    """Modified Kneser-Ney on symbol tuples, as defined, with the module's limits on discounts."""
-    table, line = kneser.symbol_table(), int(kneser.symbol_table()[10])
+def brute_kneser(texts):
+    """Modified Kneser-Ney on tuples of bytes, as defined, with the module's limits on discounts."""
     counts = {kneser.ORDER: Counter()}
     for t in texts:
-        s = [line] * (kneser.ORDER - 1) + [int(table[b]) for b in t.encode()]
+        s = [10] * (kneser.ORDER - 1) + list(t.encode())
         counts[kneser.ORDER].update(tuple(s[i : i + kneser.ORDER]) for i in range(len(s) - kneser.ORDER + 1))
     for k in range(kneser.ORDER - 1, 0, -1):
         counts[k] = Counter(g[1:] for g in counts[k + 1])
@@ -112,7 +111,7 @@ def brute_kneser(texts, order=3):
     def chance(g):
         k = len(g)
         if not k:
-            return 1 / kneser.SYMBOLS
+            return 1 / 256
         below = chance(g[1:])
         seen = by[k].get(g[:-1])
         if not seen:
@@ -126,19 +125,45 @@ def brute_kneser(texts, order=3):
 
 
 def test_kneser_against_brute_force(spark):
-    texts = ["the cat sat on the mat\nthe dog", "a cat and a dog", "", "dog!! the END", "the the the"]
+    texts = ["the cat sat on the mat\nthe dog", "a cat and a dog", "", "dog!! the END \u00e9\u65e5", "the the the"]
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    bits = kneser.train(df.select("text"))
-    chance = brute_kneser(texts)
+    levels, chance = kneser.train(df.select("text")), brute_kneser(texts)
     rnd = random.Random(2)
-    picks = [tuple(rnd.randrange(64) for _ in range(4)) for _ in range(300)] + [tuple(int(x) for x in kneser.symbol_table()[list(w)]) for w in (b"the ", b"cat ", b" dog", b"zzzz", b"ethe", b"!! t")]
+    number = lambda g: int.from_bytes(bytes(g), "big")
+    picks = {tuple(rnd.choice([rnd.randrange(256), *b"the cat dog"]) for _ in range(kneser.ORDER)) for _ in range(300)} | {tuple(w) for w in (b" the ", b"a cat", b"\n\n\n\nt", b"zzzzz", b" ethe", b"g!! t")}
+    wanted = spark.createDataFrame([(number(g),) for g in picks], "gram long")
+    got = {r["gram"]: r["p"] for r in kneser.chances(wanted, levels).collect()}
+    assert len(got) == len(picks)
     for g in picks:
-        at = sum(s << (6 * (3 - i)) for i, s in enumerate(g))
-        assert bits[at] == pytest.approx(-np.log2(chance(g)), rel=1e-4)
-    for context in ((0, 1, 2), (19, 7, 4)):
-        total = sum(2.0 ** -float(bits[(((context[0] << 6) + context[1] << 6) + context[2] << 6) + w]) for w in range(64))
-        assert total == pytest.approx(1, rel=1e-3)
-    assert kneser.train(df.filter("false").select("text")) is None
+        assert got[number(g)] == pytest.approx(chance(g), rel=1e-9)
+    for context in (b"\n\n\n\n", b" the", b"qqqq"):
+        every = spark.createDataFrame([(number([*context, c]),) for c in range(256)], "gram long")
+        assert kneser.chances(every, levels).agg(F.sum("p")).first()[0] == pytest.approx(1)
+    assert kneser.train(df.filter("false").select("text")) == []
+    # Whole texts, among them the extremes, in few and in many parts.
+    others = [*texts, None, "zebra \u65e5\u672c", "x", "the cat " * 3000]
+    rows = spark.createDataFrame([(i, t, t) for i, t in enumerate(others)], "doc_id long, text string, `a.b` string")
+    for parts in (1, 5):
+        for r in kneser.score(rows.repartition(parts), levels).collect():
+            raw = [10] * (kneser.ORDER - 1) + list((r["text"] or "").encode())
+            bits = [-np.log2(chance(tuple(raw[i : i + kneser.ORDER]))) for i in range(len(raw) - kneser.ORDER + 1)]
+            assert r["n_symbols"] == len(bits) and r["a.b"] == r["text"]
+            assert r["perplexity"] == (pytest.approx(2 ** np.mean(bits), rel=1e-4) if bits else None)
+
+
+def test_gram_table():
+    rnd = np.random.default_rng(3)
+    for bits in (3, 16):
+        table, want = kneser.GramTable(bits), {}
+        for _ in range(12):
+            g, n = kneser.distinct(rnd.integers(0, 900, 700) << 30)
+            assert n.sum() == 700 and np.array_equal(g, np.unique(g))
+            at = table.add(g)
+            for x, i in zip(g.tolist(), at.tolist()):
+                assert want.setdefault(x, i) == i
+            assert sorted(want.values()) == list(range(table.n)) and table.all().tolist() == sorted(want, key=want.get)
+        probe = np.arange(1000) << 30
+        assert table.find(probe).tolist() == [want.get(x, -1) for x in probe.tolist()]
 
 
 def quality_rows():
@@ -163,6 +188,9 @@ def test_quality(spark):
     assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(r["doc_id"] for r in rows if r["kept"])
     lone = {r["doc_id"]: r["kept"] for r in kneser.classify(docs, labels.filter("false")).collect()}
     assert lone[300] and not lone[900]
+    odd_names = docs.withColumn("a.b", F.lit(1)).withColumn("_n", F.lit(2))
+    assert kneser.accepted(odd_names, labels).columns == odd_names.columns
+    assert {r["doc_id"] for r in kneser.accepted(docs.drop("lang"), labels).collect()} >= {i for i, *_ in good[:250]}
     assert kneser.classify(docs.filter("false"), labels).count() == 0
 
 
