@@ -10,7 +10,9 @@ one class, so groups of copies cost one row each.
 
 What that first pass links is contracted. A second pass screens every remaining pair, of rows
 not yet linked, that agree in the first two components of any order; large regions are dealt as
-pairs of blocks, so none is cut.
+pairs of blocks, so none is cut. There a parity bitmap joins the screen: each shingle flips one
+bit, so two bitmaps differ in at most as many bits as the sets in elements, and no pair that
+reaches the similarity is turned away, while nearly all others are.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim, materialise, prepare, slices
+from .common import IdFilter, claim, materialise, prepare, slices, text_buffers
 from .components import components
 from .words import byte_table, chain, mix, word_hashes, word_spans
 
@@ -38,7 +40,8 @@ SCREEN = 0.5
 FEW = 32
 #: Larger ones are dealt as pairs of blocks of about so many rows.
 WIDE = 2048
-FILTER_BITS = 1 << 23
+#: Bits of the parity bitmap of a shingle set.
+PARITY_BITS = 2048
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +82,25 @@ def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """A byte of each component of big-endian signatures: unlike minima agree in one of 256."""
+    factors = (mix(np.arange(7, 7 + COMPONENTS, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
+    return ((sig.astype(np.uint32) * factors) >> np.uint32(24)).astype(np.uint8)
+
+
+def parities(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A row of PARITY_BITS bits for each set: bit i is odd if an odd number of its shingles fall there."""
+    n, wide = len(first) - 1, PARITY_BITS
+    out = np.empty((n, wide // 8), np.uint8)
+    for a in range(0, n, 1024):
+        z = min(n, a + 1024)
+        part = mix(h[first[a] : first[z]] ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - wide.bit_length() + 1)
+        row = np.repeat(np.arange(z - a), np.diff(first[a : z + 1]))
+        odd = np.bincount(row * wide + part.astype(np.int64), minlength=(z - a) * wide) & 1
+        out[a:z] = np.packbits(odd.astype(np.uint8).reshape(z - a, wide), axis=1)
+    return out
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     claim("minhash")
     for rows, data, offs in slices(batches, "text"):
@@ -90,9 +112,23 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = first[:-1][full]
             h1[full] = np.add.reduceat(mix(h + np.uint64(1)), at)
             h2[full] = np.bitwise_xor.reduceat(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at)
-        sig, sigs = signatures(h, first), np.full(len(n), None, object)
-        sigs[full] = [s.tobytes() for s in sig]
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "sig"])
+        sig = signatures(h, first)
+
+        def cells(values: np.ndarray, full=full) -> pa.Array:
+            out = np.full(len(full), None, object)
+            out[full] = [x.tobytes() for x in values]
+            return pa.array(out, pa.binary())
+
+        yield pa.RecordBatch.from_arrays(
+            [rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), cells(sig), cells(sketches(sig)), cells(parities(h, first)[full])],
+            ["doc_id", "n_shingles", "h1", "h2", "sig", "sketch", "parity"],
+        )
+
+
+def _matrix(rows: pa.RecordBatch, column: str, kind, width: int) -> np.ndarray:
+    """A column of byte strings of one length as an array."""
+    data, _ = text_buffers(rows.column(column))
+    return data.view(kind).reshape(-1, width)
 
 
 def _runs(key: np.ndarray, depth: int) -> np.ndarray:
@@ -152,17 +188,14 @@ def _regions(edges: np.ndarray, key, sketch, size, depth: int, out: list) -> Non
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Candidate pairs of one sorted partition; a region that a batch cuts is carried on."""
-    factors = (mix(np.arange(7, 7 + COMPONENTS, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
     claim("minhash")
     held: list[pa.RecordBatch] = []
 
     def work(last: bool) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         order = rows.column("tree").to_numpy().astype(np.uint32)
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), ">u4").reshape(-1, COMPONENTS).astype(np.uint32)
-        at = (order[:, None] * np.uint32(COMPONENTS // ORDERS) + np.arange(DEPTH, dtype=np.uint32)[None, :]) % np.uint32(COMPONENTS)
-        key = np.concatenate([order[:, None], np.take_along_axis(sig, at, axis=1)], axis=1)
-        sketch = ((sig * factors) >> np.uint32(24)).astype(np.uint8)
+        key = np.concatenate([order[:, None], _matrix(rows, "key", ">u4", DEPTH).astype(np.uint32)], axis=1)
+        sketch = _matrix(rows, "sketch", np.uint8, COMPONENTS)
         doc, size = rows.column("doc_id").to_numpy(), rows.column("n_shingles").to_numpy()
         edges = _runs(key, 2)
         if not last and edges[-2] > 0:  # the last region may go on
@@ -189,71 +222,93 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct (u, v) with u < v among classes (doc_id, n_shingles, sig), by sixteen sorted orders."""
+    """Distinct (u, v) with u < v among classes (doc_id, n_shingles, sig, sketch), by sixteen sorted orders."""
     width, step = 4 * DEPTH, 4 * COMPONENTS // ORDERS
-    trees = classes.select("doc_id", "n_shingles", "sig", F.explode(F.array(*(F.lit(i) for i in range(ORDERS)))).alias("tree"))
-    keyed = trees.withColumn("key", F.expr(f"substring(concat(sig, sig), tree * {step} + 1, {width})"))
+    trees = classes.select("doc_id", "n_shingles", "sig", "sketch", F.explode(F.array(*(F.lit(i) for i in range(ORDERS)))).alias("tree"))
+    keyed = trees.select("doc_id", "n_shingles", "sketch", "tree", F.expr(f"substring(concat(sig, sig), tree * {step} + 1, {width})").alias("key"))
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartitionByRange(parts, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id").drop("key")
+    dealt = keyed.repartitionByRange(parts, "tree", "key", "doc_id").sortWithinPartitions("tree", "key", "doc_id")
     return dealt.mapInArrow(_neighbours, "u long, v long").distinct()
 
 
-def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Screen:
+    """What decides whether two rows of a batch can reach the similarity: sizes, sketches, parity bitmaps."""
+
+    def __init__(self, rows: pa.RecordBatch, similarity_percent: int):
+        self.sketch = _matrix(rows, "sketch", np.uint8, COMPONENTS)
+        self.parity = _matrix(rows, "parity", np.uint64, PARITY_BITS // 64)
+        self.size, self.label = rows.column("n_shingles").to_numpy(), rows.column("label").to_numpy()
+        self.more, self.less = 100 + similarity_percent, 100 - similarity_percent
+
+    def close(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The pairs that pass. Sets of sizes n and m whose Jaccard similarity is s at least differ in
+        (1 - s) / (1 + s) (n + m) elements at most."""
+        a, b = _close(self.sketch, self.size, a, b)
+        good = np.empty(len(a), bool)
+        for i in range(0, len(a), 1 << 16):
+            x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
+            unlike = np.bitwise_count(self.parity[x] ^ self.parity[y]).sum(axis=1, dtype=np.int64)
+            good[i : i + (1 << 16)] = self.more * unlike <= self.less * (self.size[x] + self.size[y])
+        return np.stack([a[good], b[good]])
+
+
+def _rest(similarity_percent: int) -> object:
     """All pairs of unlike labels that pass the screen, cell by cell; cells arrive sorted and whole.
 
     A cell is two blocks of a region; rows of one block meet each other only in its cell with itself.
     """
-    factors = (mix(np.arange(7, 7 + COMPONENTS, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
-    claim("minhash")
-    held: list[pa.RecordBatch] = []
 
-    def work(last: bool) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        cell = np.stack([rows.column(c).to_numpy() for c in ("region", "lo", "hi")])
-        block, alone = rows.column("block").to_numpy(), cell[1] == cell[2]
-        new = np.ones(cell.shape[1] + 1, bool)
-        new[1:-1] = (cell[:, 1:] != cell[:, :-1]).any(axis=0)
-        edges = np.flatnonzero(new)
-        held.clear()
-        if not last:  # the last cell may go on
-            held.append(rows.slice(edges[-2]))
-            edges = edges[:-1]
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), ">u4").reshape(-1, COMPONENTS).astype(np.uint32)
-        sketch = ((sig * factors) >> np.uint32(24)).astype(np.uint8)
-        doc, size, label = (rows.column(c).to_numpy() for c in ("doc_id", "n_shingles", "label"))
-        width = np.diff(edges)
-        few = (width > 1) & (width <= FEW)
-        at, left = edges[:-1][few], width[few]
-        rank = np.concatenate([np.arange(w) for w in left]) if len(left) else np.zeros(0, np.int64)
-        each, more = np.repeat(at, left) + rank, np.repeat(left, left) - rank
-        out = [np.zeros((2, 0), np.int64)]
-        for d in range(1, int(left.max(initial=1))):
-            a = each[more > d]
-            a = a[(label[a] != label[a + d]) & (alone[a] | (block[a] != block[a + d]))]
-            out.append(_close(sketch, size, a, a + d))
-        for i in np.flatnonzero(width > FEW):
-            inside = np.arange(edges[i], edges[i + 1])
-            first = inside[block[inside] == cell[1, edges[i]]]
-            second = None if alone[edges[i]] else inside[block[inside] == cell[2, edges[i]]]
-            out.extend(_across(first, second, sketch, size, label))
-        a, b = np.concatenate(out, axis=1)
-        pairs = np.unique(np.stack([np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])]), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("minhash")
+        held: list[pa.RecordBatch] = []
+
+        def work(last: bool) -> Iterator[pa.RecordBatch]:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            cell = np.stack([rows.column(c).to_numpy() for c in ("region", "lo", "hi")])
+            block, alone = rows.column("block").to_numpy(), cell[1] == cell[2]
+            new = np.ones(cell.shape[1] + 1, bool)
+            new[1:-1] = (cell[:, 1:] != cell[:, :-1]).any(axis=0)
+            edges = np.flatnonzero(new)
+            held.clear()
+            if not last:  # the last cell may go on
+                held.append(rows.slice(edges[-2]))
+                edges = edges[:-1]
+            screen, doc = Screen(rows, similarity_percent), rows.column("doc_id").to_numpy()
+            label, width = screen.label, np.diff(edges)
+            few = (width > 1) & (width <= FEW)
+            at, left = edges[:-1][few], width[few]
+            rank = np.concatenate([np.arange(w) for w in left]) if len(left) else np.zeros(0, np.int64)
+            each, more = np.repeat(at, left) + rank, np.repeat(left, left) - rank
+            out = [np.zeros((2, 0), np.int64)]
+            for d in range(1, int(left.max(initial=1))):
+                a = each[more > d]
+                a = a[(label[a] != label[a + d]) & (alone[a] | (block[a] != block[a + d]))]
+                out.append(screen.close(a, a + d))
+            for i in np.flatnonzero(width > FEW):
+                inside = np.arange(edges[i], edges[i + 1])
+                first = inside[block[inside] == cell[1, edges[i]]]
+                second = None if alone[edges[i]] else inside[block[inside] == cell[2, edges[i]]]
+                out.extend(_across(first, second, screen))
+            a, b = np.concatenate(out, axis=1)
+            pairs = np.unique(np.stack([np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["u", "v"])
+
+        count = 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= 16384:
+                yield from work(False)
+                count = sum(x.num_rows for x in held)
+        if held:
+            yield from work(True)
 
-    count = 0
-    for batch in batches:
-        held.append(batch)
-        count += batch.num_rows
-        if count >= 16384:
-            yield from work(False)
-            count = sum(x.num_rows for x in held)
-    if held:
-        yield from work(True)
+    return run
 
 
-def _across(one: np.ndarray, two: np.ndarray | None, sketch: np.ndarray, size: np.ndarray, label: np.ndarray) -> Iterator[np.ndarray]:
+def _across(one: np.ndarray, two: np.ndarray | None, screen: Screen) -> Iterator[np.ndarray]:
     """The pairs of unlike labels between two blocks, or within one, that pass the screen; a strip at a time."""
-    across = one if two is None else two
+    across, sketch, label = one if two is None else two, screen.sketch, screen.label
     columns = np.ascontiguousarray(sketch[across].T)
     for at in range(0, len(one), BLOCK):
         strip = one[at : at + BLOCK]
@@ -262,10 +317,10 @@ def _across(one: np.ndarray, two: np.ndarray | None, sketch: np.ndarray, size: n
             agree += own[:, None] == c[None, :]
         a, b = np.nonzero((agree >= SCREEN * COMPONENTS) & (label[strip][:, None] != label[across][None, :]))
         a, b = strip[a], across[b]
-        yield _close(sketch, size, *((a, b) if two is not None else (a[a < b], b[a < b])))
+        yield screen.close(*((a, b) if two is not None else (a[a < b], b[a < b])))
 
 
-def rest(classes: DataFrame, labels: DataFrame) -> DataFrame:
+def rest(classes: DataFrame, labels: DataFrame, similarity_percent: int = 75) -> DataFrame:
     """Distinct (u, v) with u < v of unlike labels that share a region of two components and pass the screen."""
     step = 4 * COMPONENTS // ORDERS
     trees = classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
@@ -275,30 +330,14 @@ def rest(classes: DataFrame, labels: DataFrame) -> DataFrame:
     # A region of several blocks is dealt as the cells of all pairs of them.
     blocked = keyed.join(mixed.filter("least < most").select("region", "blocks"), "region").withColumn("block", F.pmod(F.xxhash64("h1", "h2", "region"), "blocks"))
     celled = blocked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-    dealt = celled.join(classes.select("h1", "h2", "doc_id", "n_shingles", "sig"), ["h1", "h2"])
-    dealt = dealt.select("region", "lo", "hi", "block", "doc_id", "n_shingles", "label", "sig").repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi")
-    return dealt.mapInArrow(_rest, "u long, v long").distinct()
+    dealt = celled.join(classes.select("h1", "h2", "doc_id", "n_shingles", "sketch", "parity"), ["h1", "h2"])
+    dealt = dealt.select("region", "lo", "hi", "block", "doc_id", "n_shingles", "label", "sketch", "parity").repartition("region", "lo", "hi").sortWithinPartitions("region", "lo", "hi")
+    return dealt.mapInArrow(_rest(similarity_percent), "u long, v long").distinct()
 
 
-def _id_filter(ids: DataFrame) -> bytes:
-    """A bitmap of fixed size with the hashed ids: at most FILTER_BITS / 64 rows reach the driver."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = ids.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id), {FILTER_BITS}) & 63 as int))")).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    for w in words:
-        out[w["word"]] = w["bits"]
-    return out.tobytes()
-
-
-def _sets(held) -> object:
+def _sets(kept: IdFilter) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(held.value, np.int64)
-
-        def maybe(batch: pa.RecordBatch) -> pa.RecordBatch:
-            slot = batch.column("slot").to_numpy()
-            return batch.filter(pa.array((bits[slot >> 6] >> (slot & 63)) & 1 == 1))
-
-        for rows, data, offs in slices((maybe(b) for b in batches if b.num_rows), "text"):
+        for rows, data, offs in slices((kept(b) for b in batches if b.num_rows), "text"):
             h, first = shingle_sets(data, offs)
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([h[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())], ["doc_id", "members"])
 
@@ -320,9 +359,9 @@ def _confirm(similarity_percent: int) -> object:
 def _confirmed(docs: DataFrame, pairs: DataFrame, similarity_percent: int, more: DataFrame | None = None) -> DataFrame:
     """The pairs (u, v) whose full sets have the similarity, and the links in `more`."""
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    held = docs.sparkSession.sparkContext.broadcast(_id_filter(ids))
-    slotted = docs.filter("doc_id is not null").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)))
-    sets = materialise(slotted.mapInArrow(_sets(held), "doc_id long, members binary"), "sets")
+    kept = IdFilter(ids)
+    slotted = docs.filter("doc_id is not null").withColumn("slot", kept.slot())
+    sets = materialise(slotted.mapInArrow(_sets(kept), "doc_id long, members binary"), "sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("members").alias("one")), "u")
     joined = left.join(sets.select(F.col("doc_id").alias("v"), F.col("members").alias("two")), "v").select("u", "v", "one", "two")
     links = joined.mapInArrow(_confirm(similarity_percent), "u long, v long")
@@ -349,12 +388,12 @@ def near_duplicates(docs: DataFrame, similarity_percent: int = 75) -> DataFrame:
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = materialise(docs.mapInArrow(_describe, "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "signatures")
+    described = materialise(docs.mapInArrow(_describe, "doc_id long, n_shingles long, h1 long, h2 long, sig binary, sketch binary, parity binary"), "signatures")
     filled = described.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialise(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.min_by("sig", "doc_id").alias("sig"), F.count(F.lit(1)).alias("copies")), "classes")
-    links = _confirmed(docs, materialise(candidates(classes.select("doc_id", "n_shingles", "sig")), "pairs"), similarity_percent, _same_id(filled))
+    classes = materialise(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), F.min_by(F.struct("sig", "sketch", "parity"), "doc_id").alias("like"), F.count(F.lit(1)).alias("copies")).select("h1", "h2", "doc_id", "n_shingles", "like.*", "copies"), "classes")
+    links = _confirmed(docs, materialise(candidates(classes.select("doc_id", "n_shingles", "sig", "sketch")), "pairs"), similarity_percent, _same_id(filled))
     labels = components(links)
-    missed = materialise(rest(classes, labels), "pairs")
+    missed = materialise(rest(classes, labels, similarity_percent), "pairs")
     if not missed.isEmpty():
         found = _confirmed(docs, missed, similarity_percent)
         labels = _joined(labels, found)

@@ -135,14 +135,18 @@ def signed(spark, n, far):
     for a, b in far:
         for k in (1, 3):
             sig[b, k::4] = sig[a, k::4]
-    return spark.createDataFrame([(i, -i, i, 100, sig[i].tobytes()) for i in range(n)], "h1 long, h2 long, doc_id long, n_shingles long, sig binary")
+    parity = rnd.integers(0, 256, (n, minhash.PARITY_BITS // 8), dtype=np.uint8)
+    for a, b in far:
+        parity[b] = parity[a]
+    rows = zip(sig, minhash.sketches(sig), parity)
+    return spark.createDataFrame([(i, -i, i, 100, *(x.tobytes() for x in r)) for i, r in enumerate(rows)], "h1 long, h2 long, doc_id long, n_shingles long, sig binary, sketch binary, parity binary")
 
 
 def test_large_region_is_not_cut(spark, monkeypatch):
     """Pairs far apart in one region of many blocks, at any place of it, meet in the second pass."""
     far = [(i, 2999 - i) for i in range(0, 1400, 7)]
     classes = signed(spark, 3000, far)
-    first = {(r["u"], r["v"]) for r in minhash.candidates(classes.select("doc_id", "n_shingles", "sig")).collect()}
+    first = {(r["u"], r["v"]) for r in minhash.candidates(classes.select("doc_id", "n_shingles", "sig", "sketch")).collect()}
     assert len(first & set(far)) < len(far)  # what the first pass loses
     none = spark.createDataFrame([], "node long, label long")
     for wide in (2048, 100, 16):
@@ -151,3 +155,48 @@ def test_large_region_is_not_cut(spark, monkeypatch):
         assert got == far
     linked = spark.createDataFrame([(2999 - i, i) for i in range(0, 700, 7)], "node long, label long")
     assert sorted((r["u"], r["v"]) for r in minhash.rest(classes, linked).collect()) == far[100:]
+
+
+def test_bridged_groups(spark):
+    """Two tight groups that one pair of 0.75 or more joins, of 9, 16 and 31 texts over 20 seeds."""
+    rows, want = [], {}
+    for seed in range(20):
+        for size in (9, 16, 31):
+            rnd = random.Random(seed * 100 + size)
+            name = f"{seed}x{size}"
+            word = lambda: f"{name}w{rnd.random()}"  # noqa: B023, E731
+            shared = [word() for _ in range(184)]
+            sides = [shared + [word() for _ in range(28)] for _ in range(2)]
+            own = []
+            for side in sides:
+                for i in range(size):
+                    words = list(side)
+                    words[5 + rnd.randrange(170)] = word()
+                    if i == 0:  # the bridge is nearer to the other side
+                        words = side[:-3]
+                    own.append((len(rows) + len(own), " ".join(words)))
+            want |= {i: c for i, (_, c) in brute(own).items()}
+            rows += own
+    got = {r["doc_id"]: r["component_id"] for r in found(spark, rows).collect()}
+    assert got == want and len(set(want.values())) < 120
+
+
+def test_parity_screen_turns_no_link_away():
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    sizes, sets = [], []
+    for n in (1, 3, 7, 40, 400, 5000):
+        for _ in range(20):
+            a = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
+            change = rnd.integers(0, len(a) // 7 + 1)
+            sets += [a, np.unique(np.concatenate([a[change:], rnd.integers(0, 1 << 63, change).astype(np.uint64)]))]
+    first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    odd = minhash.parities(np.concatenate(sets), first)
+    for i in range(0, len(sets), 2):
+        both = len(np.intersect1d(sets[i], sets[i + 1]))
+        total = len(sets[i]) + len(sets[i + 1])
+        unlike = int(np.bitwise_count(odd[i] ^ odd[i + 1]).sum())
+        assert unlike <= total - 2 * both
+        if 100 * both >= 75 * (total - both):
+            assert 7 * unlike <= total
