@@ -27,6 +27,11 @@ LEAST_COUNT = 8
 #: Bytes that are scored in step; each stretch begins MAX_ORDER bytes early.
 STRETCH = 256
 UNKNOWN = "und"
+#: Symbols at a language's usual cost that a text is judged with beside its own.
+PRIOR_SYMBOLS = 64
+#: A text in no learned language costs more than the median of its nearest one's training texts by
+#: so many times the distance from their median to their upper quartile, and by LEAST_BITS at least.
+SPREAD, LEAST_BITS = 10.0, 1.5
 
 
 def fold_table() -> np.ndarray:
@@ -40,10 +45,11 @@ def fold_table() -> np.ndarray:
 
 
 def folded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all texts with runs of spaces as one, and the new offsets."""
+    """Symbols of all texts with each text's runs of spaces as one, and the new offsets."""
     x = fold_table().take(data)
     keep = np.ones(len(x), bool)
     keep[1:] = (x[1:] != 32) | (x[:-1] != 32)
+    keep[offs[:-1][np.diff(offs) > 0]] = True
     total = np.concatenate([[0], np.cumsum(keep)])
     return x[keep], total[offs]
 
@@ -65,7 +71,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, at = folded(data, offs)
         owner = np.repeat(np.arange(len(langs)), np.diff(at))
         for lang in dict.fromkeys(langs):
-            own = x[(langs == lang)[owner]].astype(np.uint64)
+            mine = (langs == lang)[owner]
+            own, text = x[mine].astype(np.uint64), owner[mine]
             for order in range(MAX_ORDER + 1):
                 n = len(own) - order
                 if n <= 0:
@@ -73,6 +80,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = np.zeros(n, np.uint64)
                 for i in range(order + 1):
                     key = key << np.uint64(8) | own[i : i + n]
+                key = key[text[:n] == text[order:]]  # no n-gram runs from one text into the next
                 k, c = np.unique(key, return_counts=True)
                 into = held.setdefault((lang, order), [])
                 into.append((k, c))
@@ -141,7 +149,16 @@ class Model:
                 while longest not in kept:
                     longest = longest[1:]
                 self.next[at, i] = kept[longest]
-        self.space = self.symbol[32]
+        #: Usual bits per symbol of a language's training texts, and what a text may reach.
+        self.usual: dict[str, float] = {}
+        self.most: dict[str, float] = {}
+
+    def odd(self, lang: str, bits: float, size: int) -> bool:
+        """Whether a text of so many bits and symbols costs more than its language's texts do.
+
+        It is judged with PRIOR_SYMBOLS more symbols at the usual cost, which settle short texts.
+        """
+        return (bits + PRIOR_SYMBOLS * self.usual.get(lang, 0.0)) / (size + PRIOR_SYMBOLS) > self.most.get(lang, float("inf"))
 
     def code_lengths(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bits per text and language, and symbols per text; every symbol counts once."""
@@ -196,23 +213,39 @@ def train(docs: DataFrame) -> Model | None:
             at = (lang == name) & (order == k)
             pick = np.argsort(gram[at])
             counts.setdefault(name, {})[k] = (gram[at][pick], n[at][pick])
-    return Model(counts)
+    model = Model(counts)
+    rates = _identify_rows(chosen, model, "lang").filter("score > 0").groupBy("lang_pred").agg(F.percentile_approx("bits_per_symbol", [0.5, 0.75], 1000).alias("q")).collect()
+    for r in rates:
+        middle, upper = r["q"]
+        model.usual[r["lang_pred"]], model.most[r["lang_pred"]] = middle, middle + max(LEAST_BITS, SPREAD * (upper - middle))
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score and bits_per_symbol of every row.
+    """doc_id, lang_pred, score, bits_per_symbol and odd of every row.
 
     lang_pred is the language of the shortest code, `und` with score 0 where a text is null or has
     no letter, or where there is no model; ties go to the first name. score is that language's
-    posterior chance under equal priors. Only text is looked at; repeated rows repeat.
+    posterior chance under equal priors; odd is whether the text costs more than texts of that
+    language do (Model.odd). Only text is looked at; repeated rows repeat.
     """
     return _identify_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, "doc_id")
 
 
 def accepted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The rows of docs whose text has a language, with all their columns and without a join on ids."""
-    rows = _identify_rows(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, "row")
-    return rows.filter(F.col("lang_pred") != UNKNOWN).select("row.*") if model is not None else docs
+    """The rows of docs whose text is in a learned language, with all their columns and without a join on ids.
+
+    A text goes whose lang_pred is `und` or whose code is too long for that language (Model.odd).
+    In the rows that stay, `lang` is the prediction. Columns may have any names; without a model
+    nothing goes and nothing changes.
+    """
+    if model is None:
+        return docs
+    names, text = docs.columns, docs.columns.index("text")
+    plain = docs.toDF(*(f"_{i}" for i in range(len(names))))
+    rows = _identify_rows(plain.select(F.struct("*").alias("row"), F.col(f"_{text}").alias("text")), model, "row")
+    kept = rows.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("odd"))
+    return kept.select(*(F.col("lang_pred" if x == "lang" else f"row._{i}") for i, x in enumerate(names))).toDF(*names)
 
 
 def _identify_rows(docs: DataFrame, model: Model | None, passed: str) -> DataFrame:
@@ -224,7 +257,7 @@ def _identify_rows(docs: DataFrame, model: Model | None, passed: str) -> DataFra
         own = held.value
         for rows, data, offs in slices(batches, "text"):
             n = rows.num_rows
-            pred, score, rate = [UNKNOWN] * n, np.zeros(n), np.zeros(n)
+            pred, score, rate, odd = [UNKNOWN] * n, np.zeros(n), np.zeros(n), [False] * n
             if own is not None:
                 bits, size = own.code_lengths(data, offs)
                 best = bits.argmin(axis=1)
@@ -232,10 +265,11 @@ def _identify_rows(docs: DataFrame, model: Model | None, passed: str) -> DataFra
                 chance = 1 / np.exp2(np.minimum(0, least[:, None] - bits)).sum(axis=1)
                 known = has_letters(rows.column(rows.schema.get_field_index("text")).to_pylist())
                 pred = [own.langs[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)]
+                odd = [p != UNKNOWN and own.odd(p, b, k) for p, b, k in zip(pred, least.tolist(), size.tolist(), strict=True)]
                 score, rate = np.where(known, chance, 0.0), np.where(known, least / np.maximum(size, 1), 0.0)
-            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(passed)), pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], [passed, "lang_pred", "score", "bits_per_symbol"])
+            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(passed)), pa.array(pred, pa.string()), pa.array(score), pa.array(rate), pa.array(odd, pa.bool_())], [passed, "lang_pred", "score", "bits_per_symbol", "odd"])
 
-    kinds = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("bits_per_symbol", T.DoubleType())]
+    kinds = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("bits_per_symbol", T.DoubleType()), ("odd", T.BooleanType())]
     return docs.mapInArrow(run, T.StructType([docs.schema[passed], *(T.StructField(n, k) for n, k in kinds)]))
 
 

@@ -1,8 +1,10 @@
 """GIF against an independent LZW coder and hand-made disposal cases; language and licence queries."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -159,20 +161,76 @@ def test_language_accuracy_and_odd_rows(spark):
     assert {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def plain_ppm(rows):
+    """Code lengths per language by the definition, from counts, escapes and contexts of its own."""
+
+    def fold(text):
+        out = bytearray()
+        for c in text.encode():
+            c = c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 else 48 if 48 <= c <= 57 else 32
+            if not (c == 32 and out and out[-1] == 32):
+                out.append(c)
+        return bytes(out)
+
+    counts = {}
+    for _, text, lang in rows:
+        x = fold(text)
+        for order in range(4):
+            for i in range(order, len(x)):
+                counts.setdefault(lang, {}).setdefault(x[i - order : i], Counter())[x[i]] += 1
+    width = len({s for c in counts.values() for s in c[b""]} | {32}) + 1
+    kept = {b""}
+    for order in (1, 2, 3):
+        kept |= {x for c in counts.values() for x, n in c.items() if len(x) == order and n.total() >= langid.LEAST_COUNT and x[1:] in kept}
+
+    def cost(tree, context, symbol):
+        seen = tree.get(context, {})
+        below = cost(tree, context[1:], symbol) if context and not seen.get(symbol) else math.log2(width)
+        if not seen:
+            return below
+        total = sum(seen.values()) + len(seen)
+        return math.log2(total / seen[symbol]) if symbol in seen else math.log2(total / len(seen)) + below
+
+    def length(lang, text):
+        x, bits = fold(text), 0.0
+        for i, symbol in enumerate(x):
+            context = next(x[k:i] for k in range(max(0, i - 3), i + 1) if x[k:i] in kept)
+            bits += cost(counts[lang], context, symbol)
+        return bits, len(x)
+
+    return length
+
+
 def test_code_lengths_are_those_of_plain_ppm(spark):
-    """The automaton over stretches against a symbol-by-symbol walk of the context trees."""
-    docs = spark.createDataFrame(language_rows(), "doc_id long, text string, lang string")
-    model = langid.train(docs)
-    text = "the river und maison " * 40 + "Zé9!"
-    raw = np.frombuffer(text.encode(), np.uint8)
-    bits, _ = model.code_lengths(raw, np.array([0, len(raw)]))
-    x, _ = langid.folded(raw, np.array([0, len(raw)]))
-    state, total = 0, np.zeros(len(model.langs))
-    for s in model.symbol[x]:
-        total += model.bits[state, s]
-        state = model.next[state, s]
-    assert np.allclose(bits[0], total, rtol=1e-5)
-    assert np.allclose((2.0 ** -model.bits[0].astype(float)).sum(axis=0) > 0.9, True)
+    """The automaton over stretches against plain PPM, for texts that stand among others."""
+    rows = language_rows()
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    plain = plain_ppm(rows)
+    texts = ["x ", "in den ran", "the river und maison " * 40 + "Zé9!", "x", "", " in den ran", "in den ran", "日本 Ünd  12 3", "x " * 700]
+    raw = [t.encode() for t in texts]
+    offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    bits, size = model.code_lengths(np.frombuffer(b"".join(raw), np.uint8), offs)
+    for i, t in enumerate(texts):
+        for k, lang in enumerate(model.langs):
+            want, n = plain(lang, t)
+            assert size[i] == n and bits[i, k] == pytest.approx(want, rel=1e-5)
+    assert bits[1].tolist() == bits[6].tolist()
+
+
+def test_model_does_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame(language_rows(40), "doc_id long, text string, lang string")
+    one, many = langid.train(docs.repartition(1)), langid.train(docs.repartition(40))
+    assert np.array_equal(one.bits, many.bits) and np.array_equal(one.next, many.next) and one.most == many.most
+
+
+def test_language_stage_uses_its_model(spark):
+    rows = [(i, t, k, 0) for i, t, k in language_rows()]
+    odd = [(2000, "это совсем другой язык и другие буквы " * 4, "en", 0), (2001, "der und haus fluss ding", "en", 0), (2002, "der und haus", None, 0)]
+    docs = spark.createDataFrame(rows + odd, ["doc_id", "text", "lang", "a.b"])
+    kept = langid.accepted(docs, langid.train(spark.createDataFrame(rows, ["doc_id", "text", "lang", "a.b"])))
+    got = {r["doc_id"]: r["lang"] for r in kept.collect()}
+    assert kept.columns == docs.columns and 2000 not in got and got[2001] == got[2002] == "de"
+    assert set(got) >= {i for i, *_ in rows}
 
 
 def test_licenses(spark):
