@@ -4,13 +4,16 @@ Counts of the trusted texts are summed by n-gram, continuation counts follow fro
 n-grams, and joins on contexts, sharded by key, give each seen n-gram its chance and each context
 its weight for the next lower order. The model is a set of tables that grows with the text.
 
-Documents meet it the same way. Their rows are packed into parts of bounded size; a part's distinct
-n-grams are joined with the model, sharded by n-gram, and come back to the part as its own table,
-along which its texts are scored. Neither the driver nor any task holds the model.
+Documents meet it by the distinct n-grams of the whole corpus, which are joined with the model's
+tables, sharded by n-gram, so that each has one cost. Up to MOST_BROADCAST of them are broadcast and
+texts are scored where they lie. Beyond that neither the driver nor any task holds them all: rows
+are packed into parts of bounded size, a part's own n-grams are joined with the costs and come back
+to the part as its table. Both ways give the same numbers.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -21,11 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import IdFilter, claim, materialise, prepare, slices
+from .tables import KeyTable
 
 ORDER = 5
 SYMBOLS = 256
 #: Bytes of text in a part; a single longer text is a part of its own.
-PART_BYTES = 8 << 20
+PART_BYTES = 16 << 20
+#: Costs of so many n-grams, eight bytes each, may be broadcast; more are joined by part.
+MOST_BROADCAST = 1 << 21
 #: Share of a language's trusted texts, and of those held out, whose perplexity lies under its threshold.
 QUANTILE = 0.999
 #: Trusted texts kept from training, one in so many by hash of doc_id: they show what unseen texts cost.
@@ -36,7 +42,6 @@ SLACK_BITS = 0.4
 PRIOR_SYMBOLS = 32
 #: A symbol's cost travels beside its n-gram in one number: under 64 bits, in steps of 2^-17.
 COST_BITS, COST_STEPS = 23, 1 << 17
-_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def grams(data: np.ndarray, offs: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -62,62 +67,6 @@ def distinct(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[at[:-1]], np.diff(at)
 
 
-class GramTable:
-    """A number for each of many distinct n-grams, in an open-addressed table at most a quarter full."""
-
-    def __init__(self, bits: int = 16):
-        self.n, self.bits = 0, bits
-        self.keys = np.full(1 << bits, -1, np.int64)
-        self.number = np.zeros(1 << bits, np.int64)
-
-    def _slot(self, g: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (g.view(np.uint64) * _ODD >> np.uint64(64 - self.bits)).view(np.int64)
-
-    def find(self, g: np.ndarray) -> np.ndarray:
-        """The number of each n-gram, -1 where it is not held."""
-        slot = self._slot(g)
-        out = self.number.take(slot)
-        rest = np.flatnonzero(self.keys.take(slot) != g)
-        slot = slot[rest]
-        while len(rest):
-            at, own = self.keys.take(slot), g[rest]
-            out[rest] = np.where(at == own, self.number.take(slot), -1)
-            go = (at != own) & (at >= 0)
-            rest, slot = rest[go], slot[go] + 1 & (1 << self.bits) - 1
-        return out
-
-    def _place(self, new: np.ndarray, numbers: np.ndarray) -> None:
-        slot = self._slot(new)
-        while len(new):
-            free = self.keys.take(slot) < 0
-            self.keys[slot[free]] = new[free]
-            lost = self.keys.take(slot) != new
-            self.number[slot[~lost]] = numbers[~lost]
-            new, numbers, slot = new[lost], numbers[lost], slot[lost] + 1 & (1 << self.bits) - 1
-
-    def add(self, g: np.ndarray) -> np.ndarray:
-        """The number of each of distinct n-grams; those not met before get the next ones."""
-        if 4 * (self.n + len(g)) > 1 << self.bits:
-            held = self.keys >= 0
-            keys, numbers = self.keys[held], self.number[held]
-            more = GramTable(int(8 * (self.n + len(g))).bit_length())
-            self.bits, self.keys, self.number = more.bits, more.keys, more.number
-            self._place(keys, numbers)
-        out = self.find(g)
-        fresh = out < 0
-        out[fresh] = np.arange(self.n, self.n + int(fresh.sum()))
-        self._place(g[fresh], out[fresh])
-        self.n += int(fresh.sum())
-        return out
-
-    def all(self) -> np.ndarray:
-        """The n-grams by their numbers."""
-        held, out = self.keys >= 0, np.empty(self.n, np.int64)
-        out[self.number[held]] = self.keys[held]
-        return out
-
-
 #: Distinct n-grams a counting task holds before it hands its counts on.
 MOST_HELD = 1 << 22
 
@@ -130,7 +79,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in range(0, held.n, 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), pa.array(total[a : a + 100_000])], ["gram", "n"])
 
-    held, total = GramTable(), np.zeros(0, np.int64)
+    held, total = KeyTable(), np.zeros(0, np.int64)
     for _, data, offs in slices(batches, "text"):
         g, n = distinct(grams(data, offs))
         at = held.add(g)
@@ -138,10 +87,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total[at] += n
         if held.n > MOST_HELD:
             yield from out()
-            held, total = GramTable(), np.zeros(0, np.int64)
+            held, total = KeyTable(), np.zeros(0, np.int64)
     yield from out()
 
 
+def counted(texts: DataFrame) -> DataFrame:
+    """(gram, n): how often each n-gram occurs in the column text."""
+    return texts.select("text").mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 def select_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows (doc_id, text) of docs whose doc_id is in ids; a bitmap spares most others the shuffle."""
     kept = IdFilter(ids)
@@ -175,7 +129,7 @@ def train(texts: DataFrame) -> list[Level]:
     Counts of an order below the highest are the numbers of distinct symbols seen before. A context
     has at most 256 n-grams, so no window holds more.
     """
-    counts = materialise(texts.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "kn-counts")
+    counts = materialise(counted(texts), "kn-counts")
     if counts.isEmpty():
         return []
     tables = [counts]
@@ -214,7 +168,7 @@ def chances(wanted: DataFrame, levels: list[Level]) -> DataFrame:
     return found.filter("p is not null").union(rest.select("gram", (F.coalesce("weight", F.lit(1.0)) * F.col("below")).alias("p")))
 
 
-def _pack(own: pa.Schema) -> object:
+def _pack(part_bytes: int) -> object:
     """Rows (part, grams, held): parts of the rows, which are kept as a compressed Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +176,7 @@ def _pack(own: pa.Schema) -> object:
 
         claim("kneser")
         task, count, size = TaskContext.get().partitionId(), 0, 0
-        seen, rows = GramTable(), []
+        seen, rows = KeyTable(), []
 
         def out() -> pa.RecordBatch:
             sink = pa.BufferOutputStream()
@@ -233,9 +187,9 @@ def _pack(own: pa.Schema) -> object:
             return pa.RecordBatch.from_arrays([pa.array([task << 32 | count]), each, pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "grams", "held"])
 
         for batch, data, offs in slices(batches, "_text"):
-            if rows and size + len(data) > PART_BYTES:
+            if rows and size + len(data) > part_bytes:
                 yield out()
-                count, size, seen, rows = count + 1, 0, GramTable(), []
+                count, size, seen, rows = count + 1, 0, KeyTable(), []
             seen.add(distinct(grams(data, offs))[0])
             rows.append(batch)
             size += len(data)
@@ -245,28 +199,53 @@ def _pack(own: pa.Schema) -> object:
     return run
 
 
+class Costs:
+    """The cost of each n-gram in bits, from numbers that hold both."""
+
+    def __init__(self, packed: np.ndarray):
+        self.bits = (packed & (1 << COST_BITS) - 1) / COST_STEPS
+        self.table = KeyTable(max(4, int(4 * len(packed)).bit_length()))
+        self.table.add(packed >> COST_BITS)  # numbered in order
+
+    def rows(self, own: pa.RecordBatch, data: np.ndarray, offs: np.ndarray, passed: int) -> pa.RecordBatch:
+        """The first columns of a batch with _n and _perplexity of its texts."""
+        n = np.diff(offs)
+        cost = [None] * len(n)
+        if len(self.bits) and len(data):
+            total = np.concatenate([[0], np.cumsum(self.bits.take(self.table.find(grams(data, offs))))])[offs]
+            cost = [2.0 ** (b / k) if k else None for b, k in zip(np.diff(total).tolist(), n.tolist(), strict=True)]
+        columns = [own.column(i) for i in range(passed)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(cost, pa.float64())], [*(f"_{i}" for i in range(passed)), "_n", "_perplexity"])
+
+
+_costs: list = [None, None]
+
+
+def _look_up(held, passed: int) -> object:
+    """Score rows along the broadcast costs of all n-grams."""
+    name = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("kneser", lambda: _costs.__setitem__(slice(None), [None, None]))
+        if _costs[0] != name:  # once in a worker
+            _costs[:] = [name, Costs(held.value)]
+        for own, data, offs in slices(batches, "_text"):
+            yield _costs[1].rows(own, data, offs, passed)
+
+    return run
+
+
 def _along(passed: int) -> object:
-    """The rows of each part with n_symbols and perplexity, by the part's own table."""
+    """Score the rows of each part by the part's own table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("kneser")
         for batch in batches:
-            for held, costs in zip(batch.column("held"), batch.column("costs"), strict=True):
-                known, bits = GramTable(), np.zeros(0)
-                if costs.is_valid and len(costs.values):
-                    packed = costs.values.to_numpy()
-                    bits = (packed & (1 << COST_BITS) - 1) / COST_STEPS
-                    known.add(packed >> COST_BITS)  # numbered in order
+            for held, packed in zip(batch.column("held"), batch.column("costs"), strict=True):
+                costs = Costs(packed.values.to_numpy() if packed.is_valid else np.zeros(0, np.int64))
                 for rows in pa.ipc.open_stream(held.as_buffer()):
                     for own, data, offs in slices(iter([rows]), "_text"):
-                        n = np.diff(offs)
-                        if known.n and len(data):
-                            total = np.concatenate([[0], np.cumsum(bits.take(known.find(grams(data, offs))))])[offs]
-                            cost = [2.0 ** (b / k) if k else None for b, k in zip(np.diff(total).tolist(), n.tolist(), strict=True)]
-                        else:
-                            cost = [None] * len(n)
-                        columns = [own.column(i) for i in range(passed)]
-                        yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(cost, pa.float64())], [*(f"_{i}" for i in range(passed)), "_n", "_perplexity"])
+                        yield costs.rows(own, data, offs, passed)
 
     return run
 
@@ -286,17 +265,20 @@ def _scored(docs: DataFrame, levels: list[Level]) -> DataFrame:
     names = docs.columns
     plain = docs.withColumn("_text", F.col("text").cast("string")) if "text" in names else docs.withColumn("_text", F.lit(None).cast("string"))
     plain = plain.toDF(*(f"_{i}" for i in range(len(names))), "_text")
-    packed = materialise(plain.mapInArrow(_pack(None), "part long, grams array<long>, held binary"), "kn-parts")
-    if levels:
-        each = packed.select("part", F.explode("grams").alias("gram"))
-        cost = F.least(F.round(-F.log2("p") * COST_STEPS), F.lit((1 << COST_BITS) - 1)).cast("long")
-        known = materialise(chances(each.select("gram").distinct(), levels).select("gram", F.shiftleft("gram", COST_BITS).bitwiseOR(cost).alias("cost")), "kn-costs")
-        tables = each.join(known, "gram").groupBy("part").agg(F.collect_list("cost").alias("costs"))
-        joined = packed.select("part", "held").join(tables, "part", "left").select("held", "costs")
-    else:
-        joined = packed.select("held", F.lit(None).cast("array<bigint>").alias("costs"))
     schema = T.StructType([*plain.schema.fields[:-1], T.StructField("_n", T.LongType()), T.StructField("_perplexity", T.DoubleType())])
-    return joined.mapInArrow(_along(len(names)), schema)
+    if not levels:
+        empty = docs.sparkSession.sparkContext.broadcast(np.zeros(0, np.int64))
+        return plain.mapInArrow(_look_up(empty, len(names)), schema)
+    cost = F.least(F.round(-F.log2("p") * COST_STEPS), F.lit((1 << COST_BITS) - 1)).cast("long")
+    wanted = counted(plain.select(F.col("_text").alias("text"))).select("gram")
+    known = materialise(chances(wanted, levels).select("gram", F.shiftleft("gram", COST_BITS).bitwiseOR(cost).alias("cost")), "kn-costs")
+    if known.count() <= MOST_BROADCAST:
+        all_costs = known.select("cost").toArrow().column("cost").to_numpy()
+        held = docs.sparkSession.sparkContext.broadcast(all_costs)
+        return plain.mapInArrow(_look_up(held, len(names)), schema)
+    parts = materialise(plain.mapInArrow(_pack(PART_BYTES), "part long, grams array<long>, held binary"), "kn-parts")
+    tables = parts.select("part", F.explode("grams").alias("gram")).join(known, "gram").groupBy("part").agg(F.collect_list("cost").alias("costs"))
+    return parts.select("part", "held").join(tables, "part", "left").select("held", "costs").mapInArrow(_along(len(names)), schema)
 
 
 class Judge(NamedTuple):

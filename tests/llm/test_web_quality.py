@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from chartmill.llm import htmltext, kneser, packing, pipeline_stages, queries, spotsigs, warc
 from chartmill.llm.common import shared_dir
+from chartmill.llm.tables import KeyTable
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Top</header><nav><ul><li><a href="/x">Menu</a></li></ul></nav>
 <!-- ad --><div class="ad">Buy</div><div class="cookie-notice">We use cookies</div><article class="post-12"><h1>Head &amp; tail</h1><p>First  <b>bold<br>para&nbsp;x.<p>Second &eacute;&#233;.</p>
@@ -124,7 +125,7 @@ def brute_kneser(texts):
     return chance
 
 
-def test_kneser_against_brute_force(spark):
+def test_kneser_against_brute_force(spark, monkeypatch):
     texts = ["the cat sat on the mat\nthe dog", "a cat and a dog", "", "dog!! the END \u00e9\u65e5", "the the the"]
     df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     levels, chance = kneser.train(df.select("text")), brute_kneser(texts)
@@ -143,7 +144,9 @@ def test_kneser_against_brute_force(spark):
     # Whole texts, among them the extremes, in few and in many parts.
     others = [*texts, None, "zebra \u65e5\u672c", "x", "the cat " * 3000]
     rows = spark.createDataFrame([(i, t, t) for i, t in enumerate(others)], "doc_id long, text string, `a.b` string")
-    for parts in (1, 5):
+    for parts, most in ((1, 1 << 21), (5, 1 << 21), (1, 0), (5, 0)):  # costs broadcast, or joined by part
+        monkeypatch.setattr(kneser, "MOST_BROADCAST", most)
+        monkeypatch.setattr(kneser, "PART_BYTES", 1 << 20 if parts == 1 else 20)
         for r in kneser.score(rows.repartition(parts), levels).collect():
             raw = [10] * (kneser.ORDER - 1) + list((r["text"] or "").encode())
             bits = [-np.log2(chance(tuple(raw[i : i + kneser.ORDER]))) for i in range(len(raw) - kneser.ORDER + 1)]
@@ -151,10 +154,10 @@ def test_kneser_against_brute_force(spark):
             assert r["perplexity"] == (pytest.approx(2 ** np.mean(bits), rel=1e-4) if bits else None)
 
 
-def test_gram_table():
+def test_key_table():
     rnd = np.random.default_rng(3)
     for bits in (3, 16):
-        table, want = kneser.GramTable(bits), {}
+        table, want = KeyTable(bits), {}
         for _ in range(12):
             g, n = kneser.distinct(rnd.integers(0, 900, 700) << 30)
             assert n.sum() == 700 and np.array_equal(g, np.unique(g))
