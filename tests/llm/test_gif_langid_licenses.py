@@ -93,7 +93,7 @@ def animation(*frames, w=2, h=2):
 
 def shown(data):
     g = gif.parse(data)
-    return gif.compose(g, gif.decode_many(g.frames))
+    return np.array([c.copy() for c in gif.compose(g, gif.decode_many(g.frames))])
 
 
 def test_disposal_and_transparency():
@@ -115,13 +115,56 @@ def test_interlace_local_palette_and_overhang():
         gif.parse(b"not a gif")
 
 
-def test_histogram_of_plain_and_general_agree():
-    (data,) = gif.encode([bytes(random.Random(2).randrange(256) for _ in range(1152))])
+def test_histogram():
+    canvas = np.array([[[0, 64, 255, 255], [1, 100, 200, 255], [9, 9, 9, 0]]], np.uint8)
+    assert gif.histogram(canvas).tolist() == [2 if b == 7 else 0 for b in range(64)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 255, 256, 576])
+def test_encoder_writes_what_a_plain_coder_does(n):
+    rnd = np.random.default_rng(n)
+    rows = np.concatenate([rnd.integers(0, k, (3, n)) for k in (1, 2, 9, 256)]).astype(np.uint8)
+    assert gif.lzw_encode(rows) == [lzw(r.tobytes(), 8) for r in rows]
+
+
+def test_written_animations_need_the_whole_reader():
+    """Strings, palettes and transparency decide what the query reads back."""
+    text = ("the river and the house " * 60).encode()[: 576 * 2] + bytes(range(256)) * 9
+    (data,) = gif.encode([text])
     g = gif.parse(data)
+    assert len(g.frames) == 6 and g.palette == gif.gray_palette()
+    assert g.frames[0].transparent is None and g.frames[1].transparent is not None and g.frames[-1].transparent is None
     streams = gif.decode_many(g.frames)
-    pixels = gif.compose(g, streams)
-    assert gif.histogram(g, streams).tolist() == np.bincount(gif._bins(pixels[..., :3]).ravel(), minlength=64).tolist()
-    assert [gif.lzw_decode(f.data, 8, 576).tobytes() for f in g.frames] == [s.tobytes() for s in streams]
+    assert len(g.frames[1].data) < 300 and b"".join(s.tobytes() for s in streams) != text
+    assert b"".join(c[..., 0].tobytes() for c in gif.compose(g, streams)) == text
+
+
+def test_cut_files_end_early():
+    whole = animation(image(0, 0, 2, 2, [1, 1, 2, 3]), image(0, 0, 2, 2, [1, 2, 1, 3], transparent=2, palette=bytes(range(12))))
+    for data in (whole, gif.encode([bytes(range(192)) * 3])[0]):
+        frames = []
+        for n in range(13, len(data)):
+            g = gif.parse(data[:n])
+            frames.append(len(g.frames))
+            list(gif.compose(g, gif.decode_many(g.frames)))
+        assert frames == sorted(frames) and frames[-1] == len(gif.parse(data).frames)
+    for n in range(13):
+        with pytest.raises(ValueError):
+            gif.parse(whole[:n])
+    with pytest.raises(ValueError):
+        gif.parse(whole[:6] + b"\xff\xff\xff\xff" + whole[10:])
+
+
+def test_frames_of_many_sizes_together():
+    rnd = random.Random(5)
+    frames, want = [], []
+    for _ in range(60):
+        size, w, h = rnd.choice([2, 4, 8]), rnd.randint(0, 40), rnd.randint(1, 40)
+        data = bytes(rnd.randrange(1 << size) if rnd.random() < 0.7 else 0 for _ in range(w * h))
+        clears = {rnd.randrange(w * h + 1) for _ in range(rnd.randint(0, 3))}
+        frames.append(gif.Frame(0, 0, w, h, 0, 0, None, False, b"", size, lzw(data, size, clears)))
+        want.append(data)
+    assert [x.tobytes() for x in gif.decode_many(frames)] == want
 
 
 def test_store_and_read_back(spark):
@@ -135,7 +178,13 @@ def test_store_and_read_back(spark):
     assert out[0]["media_sha256"] == out[1]["media_sha256"] and out[0]["feature"] == out[1]["feature"]
     rows = gif.frames(gif.store(docs.filter("doc_id = 7"))).orderBy("frame").collect()
     assert [(r["frame"], r["start_ms"], r["delay_ms"], r["width"], sum(r["histogram"])) for r in rows] == [(0, 0, 40, 24, 576), (1, 40, 40, 24, 576)]
-    assert gif.digests(gif.store(docs.filter("false"))).count() == 0
+    for r in out.values():
+        bins = dict(x.split(":") for x in r["feature"].split("hist=")[1].split(","))
+        assert sum(map(int, bins.values())) == r["payload_bytes"] and f"frames={r['payload_bytes'] // 576};" in r["feature"]
+    assert out[7]["feature"] == "frames=2;ms=80;hist=" + ",".join(f"{b}:{n}" for b, n in sorted(Counter((c >> 6) * 21 for c in b"z" * 577 + b"\xff" * 575).items()))
+    assert gif.digests(gif.store(docs.filter("false"))).count() == 0 == gif.frames(gif.store(docs.filter("false"))).count()
+    nothing = spark.createDataFrame([(1, 0, None)], "doc_id long, n_bytes long, media binary")
+    assert gif.frames(nothing).count() == 0 and gif.digests(nothing).first()["payload_sha256"] is None
 
 
 WORDS = {"en": "the of and house river thing with that which", "de": "der und haus fluss ding mit schon welche nicht", "fr": "le maison rivière chose avec cela étaient pour"}
