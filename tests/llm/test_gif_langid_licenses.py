@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -298,16 +299,45 @@ def test_licenses(spark):
     assert licenses.scan(docs.filter("false")).count() == 0
 
 
+def plain_scan(text):
+    """(n_words, places of base phrases, base labels, labels, score) by trying every place."""
+    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    places, base, labels, score = [], set(), set(), 0.0
+    for k, t in enumerate(licenses.BASE + licenses.TEMPLATES):
+        own = t.words.split()
+        keys = [(next(i for i in range(len(own)) if own[i : i + len(x)] == x), x) for x in map(str.split, t.keys)]
+        for b in range(-len(own), len(words)):
+            if all(b + q >= 0 and words[b + q : b + q + len(x)] == x for q, x in keys):
+                labels.add(t.label)
+                score = max(score, sum(0 <= b + i < len(words) and words[b + i] == w for i, w in enumerate(own)) / len(own))
+                if k < len(licenses.BASE):
+                    places.append(b)
+                    base.add(t.label)
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), pytest.approx(score)
+
+
 def test_licence_index_against_brute_force(spark):
-    """Every verified template place is found by a walk over all words, and the other way round."""
+    """Every place of every template, no more and no fewer, whatever stands around it."""
     rnd = random.Random(4)
-    pool = sorted({w for t in licenses.TEMPLATES for w in t.words.split()})
-    texts = [" ".join(rnd.choice(pool) for _ in range(60)) + " " + rnd.choice(licenses.TEMPLATES).words for _ in range(80)]
-    out = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    for i, text in enumerate(texts):
-        words = text.split()
-        whole = {t.label for t in licenses.TEMPLATES for b in range(len(words)) if words[b : b + len(t.words.split())] == t.words.split()}
-        assert whole <= set(out[i].split(","))
+    every = licenses.BASE + licenses.TEMPLATES
+    pool = sorted({w for t in every for w in t.words.split()})
+    texts = [None, "", *ODD[2:-1]]
+    for _ in range(250):
+        parts = []
+        for _ in range(rnd.randint(0, 4)):
+            own = rnd.choice(every).words.split()
+            for _ in range(rnd.choice([0, 0, 1, 3])):
+                own[rnd.randrange(len(own))] = rnd.choice(pool)
+            a = rnd.randrange(len(own)) if rnd.random() < 0.3 else 0
+            parts += [" ".join(own[a:]), " ".join(rnd.choice(pool) for _ in range(rnd.randint(0, 12)))]
+        texts.append(rnd.choice([" ", ", ", "\n"]).join(parts).title() if rnd.random() < 0.3 else " ".join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "cc by")], "doc_id long, text string")
+    out = licenses.scan(docs.repartition(3)).collect()
+    assert len(out) == len(texts) + 1
+    for r in out:
+        if r["doc_id"] is not None:
+            assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], r["score"]) == plain_scan(texts[r["doc_id"]])
+    assert len({r["labels"] for r in out}) > 15
 
 
 def test_key_phrases_at_the_edges_of_a_text(spark):
