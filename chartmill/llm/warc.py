@@ -2,12 +2,14 @@
 
 A bundle is a run of independent Zstandard frames, each of whole records, followed by the seek
 table of the seekable format in a skippable frame; the index maps a record's identifier to its
-frame and its offset there. Bundles are rows of a table, so any store that Spark writes will do.
+frame and its offset there, and records are read by it alone. Bundles are rows of a table, so any
+store that Spark writes will do.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -36,15 +38,20 @@ class Place(NamedTuple):
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> tuple[str, bytes]:
-    """(identifier, bytes) of a response record, or of a revisit record without the payload."""
+    """(identifier, bytes) of a response record, or of a revisit record without the payload.
+
+    A null url has no target; one that a header can't hold as it is stands in a header of its own too.
+    """
     name = f"urn:page:{'' if page_id is None else page_id}"
     body = b"" if refers_to is not None else payload
+    plain = " ".join("".join(c if c.isprintable() else " " for c in url or "").split())
+    target = [] if url is None else [f"WARC-Target-URI: {plain}", *([] if plain == url else [f"X-Target-URI-JSON: {json.dumps(url)}"])]
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <{name}>",
         f"WARC-Date: {DATE}",
-        f"WARC-Target-URI: {' '.join((url or '').split())}",
+        *target,
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Payload-Length: {len(payload)}",
         *([f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if refers_to is not None else []),
@@ -111,15 +118,18 @@ class BundleReader:
             raise ValueError("no seek table")
         entry = 12 if flags & 0x80 else 8
         table = bundle[len(bundle) - 9 - count * entry : -9]
-        self.bundle, self.spans, at = bundle, [], 0
+        self.bundle, self.spans, at, self.last = bundle, [], 0, (-1, b"")
         for i in range(count):
             packed, size = struct.unpack_from("<II", table, i * entry)
             self.spans.append((at, packed, size))
             at += packed
 
     def frame(self, i: int) -> bytes:
-        at, packed, size = self.spans[i]
-        return zstandard.ZstdDecompressor().decompress(self.bundle[at : at + packed], max_output_size=size)
+        """One frame's bytes; the last one asked for is kept."""
+        if self.last[0] != i:
+            at, packed, size = self.spans[i]
+            self.last = i, zstandard.ZstdDecompressor().decompress(self.bundle[at : at + packed], max_output_size=size)
+        return self.last[1]
 
     def record(self, place: Place) -> tuple[dict[str, str], bytes]:
         """One record, reading its frame alone."""
@@ -181,30 +191,46 @@ def write_bundles(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(_write, "bundle_id string, bundle binary, record_index array<struct<record_id: string, frame: int, offset: long, length: long>>")
 
 
+def url_of(headers: dict[str, str]) -> str | None:
+    """The url that record was given."""
+    return json.loads(headers["x-target-uri-json"]) if "x-target-uri-json" in headers else headers.get("warc-target-uri")
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
     number = lambda x: int(x) if (x := x.strip("<>").rpartition(":")[2]) else None
     for batch in batches:
-        for bundle in batch.column("bundle"):
+        for bundle, places in zip(batch.column("bundle"), batch.column("places"), strict=True):
             reader, out = BundleReader(bundle.as_py()), []
-            for i in range(len(reader.spans)):
-                for headers, block in parse_records(reader.frame(i)):
-                    told, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
-                    size = int(headers["warc-payload-length"])
-                    if kind == "response" and (hashlib.sha1(block).hexdigest() != told or len(block) != size):
-                        raise ValueError(f"a damaged record: {headers['warc-record-id']}")
-                    refers = headers.get("warc-refers-to")
-                    out.append((number(headers["warc-record-id"]), size, told, kind, number(refers) if refers else None, headers["warc-target-uri"]))
+            for place in sorted((Place(**p) for p in places.as_py()), key=lambda p: (p.frame, p.offset)):
+                headers, block = reader.record(place)
+                told, kind = headers["warc-payload-digest"].removeprefix("sha1:"), headers["warc-type"]
+                size = int(headers["warc-payload-length"])
+                if headers["warc-record-id"] != f"<{place.record_id}>" or kind == "response" and (hashlib.sha1(block).hexdigest() != told or len(block) != size):
+                    raise ValueError(f"a damaged record: {place.record_id}")
+                refers = headers.get("warc-refers-to")
+                out.append((number(place.record_id), size, told, kind, number(refers) if refers else None, url_of(headers)))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names)
 
 
-def read_bundles(bundles: DataFrame) -> DataFrame:
-    """A row per record of stored bundles, each response checked against its digest."""
+def read_bundles(bundles: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """A row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
+
+    Records are found by the index, each in its own frame, and responses are checked against their
+    digests. With wanted, a table of record_id, only those are read, and only from bundles and frames
+    that hold them; identifiers that no bundle has give nothing.
+    """
     prepare(bundles.sparkSession)
-    return bundles.select("bundle").mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    if wanted is None:
+        held = bundles.select("bundle", F.col("record_index").alias("places"))
+    else:
+        index = bundles.select("bundle_id", F.explode("record_index").alias("p")).select("bundle_id", "p", F.col("p.record_id").alias("record_id"))
+        places = index.join(wanted.select("record_id").distinct(), "record_id").groupBy("bundle_id").agg(F.collect_list("p").alias("places"))
+        held = bundles.select("bundle_id", "bundle").join(places, "bundle_id").select("bundle", "places")
+    return held.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def archive(pages: DataFrame) -> DataFrame:
-    """Write all pages to bundles in the shared folder and read them back."""
+    """Write all pages to bundles in the shared folder and read them back by their identifiers."""
     return read_bundles(materialise(write_bundles(pages), "warc"))

@@ -69,6 +69,12 @@ def test_warc(spark):
         want[(i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if to else "response", to)] += 1
     assert out == want
     assert warc.archive(pages.filter("false")).count() == 0
+    odd = [None, "", " a", "a\tb", "a\r\nb", "ü \u2028 x", "http://h/a b", "http://h/%20?q=a:b", "x: y"]
+    rows = [(i, u, f"{i}") for i, u in enumerate(odd)]
+    bundles = warc.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string")).cache()
+    assert {r["page_id"]: r["url"] for r in warc.read_bundles(bundles).collect()} == dict(enumerate(odd))
+    wanted = spark.createDataFrame([("urn:page:3",), ("urn:page:5",), ("urn:page:3",), ("urn:page:77",)], "record_id string")
+    assert sorted(r["page_id"] for r in warc.read_bundles(bundles, wanted).collect()) == [3, 5]
 
 
 def test_seekable_bundles():
