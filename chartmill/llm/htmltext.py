@@ -1,7 +1,7 @@
 """Main text of HTML pages by consensus host paths.
 
 Every page scores its containers by the text they hold outside of boilerplate. The path of the
-best one, generalised to tags and classes without numbers, is the page's vote; votes are summed
+best one, generalised to tags and classes without digits, is the page's vote; votes are summed
 per host in Spark, and each page is read again along its host's winning path. Where a page's own
 best container holds more, that is kept as well, but for containers beside the path that most
 pages of the host have: those belong to the host's layout.
@@ -10,10 +10,12 @@ pages of the host have: those belong to the host's layout.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +42,27 @@ ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 STOPS = set("ul ol dl table article section div body main".split())
 
 
+def path_number(above: int, kind: str) -> int:
+    """A path by the number of what stands above and its last part: 64 bits, however deep it is."""
+    return xxhash.xxh3_64_intdigest(kind, seed=above & (1 << 64) - 1) - (1 << 63)
+
+
 class Page:
-    """Containers and text blocks of one page; block i stands in container owner[i]."""
+    """Containers and text blocks of one page; block i stands in container owner[i].
+
+    What is held of a container is of one size, and time is linear in a page but for end tags that
+    are left out, so neither deep nor long pages cost more than their length.
+    """
 
     def __init__(self, html: str):
-        self.paths, self.parent, self.weight = ["html"], [-1], [0.1]
+        top = path_number(0, "html")
+        self.paths, self.parent, self.weight = [top], [-1], [0.1]
         self.blocks: list[str] = []
         self.owner: list[int] = []
         self.links: list[int] = []
-        self._stack: list[tuple[str, int, bool, str]] = [("html", 0, False, "html")]
+        # Open elements: tag, container, whether it is left out, path, whether it is in an article.
+        self._stack: list[tuple[str, int, bool, int, bool]] = [("html", 0, False, top, False)]
+        self._open_tags: Counter[str] = Counter()
         self._text: list[str] = []
         self._linked = 0
         self._read(html)
@@ -63,14 +77,12 @@ class Page:
             self._text, self._linked = [], 0
 
     def _open(self, tag: str, attributes: str) -> None:
-        _, container, skip, path = self._stack[-1]
+        _, container, skip, path, inside = self._stack[-1]
         names = [a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes)] if "=" in attributes else []
         words = {w for n in names for w in re.split(r"[^a-z]+", n.lower()) if w}
         whole = {w for n in names for w in n.lower().split()}
         if tag in CONTAINERS or tag in BLOCK:
-            kind = tag + "".join("." + re.sub(r"\d+", "#", x) for x in sorted(whole))
-            path = f"{path}>{kind}"
-        inside = any(s[0] in ("article", "main") for s in self._stack)
+            path = path_number(path, tag + "".join("." + re.sub(r"\d+", "#", x) for x in sorted(whole)))
         boiler = tag in BOILER_TAGS or bool(words & BOILER_WORDS and tag not in ("body", "html", "article", "main")) or (not inside and (tag == "header" or bool(whole & HEADER_WORDS and tag not in ("body", "html"))))
         if tag in CONTAINERS:
             bonus = {"article": 1.6, "main": 1.4, "body": 0.8}.get(tag, 1.3 if words & GOOD_WORDS else 1.0)
@@ -78,27 +90,32 @@ class Page:
             self.parent.append(container)
             self.weight.append(bonus)
             container = len(self.paths) - 1
-        self._stack.append((tag, container, skip or boiler, path))
+        self._stack.append((tag, container, skip or boiler, path, inside or tag in ("article", "main")))
+        self._open_tags[tag] += 1
+
+    def _cut(self, i: int) -> None:
+        """Close the open elements from the i-th on."""
+        for tag, *_ in self._stack[i:]:
+            self._open_tags[tag] -= 1
+        del self._stack[i:]
 
     def _close(self, tag: str) -> None:
-        for i in range(len(self._stack) - 1, 0, -1):
-            if self._stack[i][0] == tag:
-                del self._stack[i:]
-                return
+        if self._open_tags[tag]:
+            self._cut(next(i for i in range(len(self._stack) - 1, 0, -1) if self._stack[i][0] == tag))
 
     def _imply(self, tag: str) -> None:
         """End tags that HTML lets a page leave out."""
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and self._open_tags["p"]:
             for i in range(len(self._stack) - 1, 0, -1):
                 if self._stack[i][0] == "p":
-                    del self._stack[i:]
+                    self._cut(i)
                     break
                 if self._stack[i][0] in BLOCK:
                     break
-        if tag in ALIKE:
+        if tag in ALIKE and any(self._open_tags[x] for x in ALIKE[tag]):
             for i in range(len(self._stack) - 1, 0, -1):
                 if self._stack[i][0] in ALIKE[tag]:
-                    del self._stack[i:]
+                    self._cut(i)
                     break
                 if self._stack[i][0] in STOPS:
                     break
@@ -143,11 +160,9 @@ class Page:
         """Text outside links that each container holds, weighted; outer ones count a little less."""
         own = [0.0] * len(self.paths)
         for c, text, link in zip(self.owner, self.blocks, self.links, strict=True):
-            fade, size = 1.0, len(text) - 0.7 * link
-            while c >= 0:
-                own[c] += size * fade
-                fade *= 0.9
-                c = self.parent[c]
+            own[c] += len(text) - 0.7 * link
+        for c in range(len(own) - 1, 0, -1):  # a container comes after the one it stands in
+            own[self.parent[c]] += 0.9 * own[c]
         return [o * w for o, w in zip(own, self.weight, strict=True)]
 
     def best(self) -> tuple[int, float]:
@@ -156,12 +171,13 @@ class Page:
         i = max(range(len(s)), key=lambda k: (s[k], -k))
         return (i, s[i]) if s[i] > 0 else (-1, 0.0)
 
-    def own_paths(self) -> set[str]:
+    def own_paths(self) -> set[int]:
         """Paths of the containers that blocks stand in."""
         return {self.paths[c] for c in self.owner}
 
-    def text(self, path: str | None, usual: list[str] | None = None) -> str:
-        """Blocks along the path, and those of the page's own best container unless they stand in a `usual` one.
+    def text(self, path: int | None, usual: list[int] | None = None) -> str:
+        """Blocks along the path, and those of the page's own best container unless they stand in a `usual`
+        one beside the path: neither in it nor around it.
 
         Where the path holds little, the own best container keeps all of its blocks.
         """
@@ -170,14 +186,17 @@ class Page:
             return "\n".join(self.blocks)
         if path is None or path == self.paths[i]:
             along = own = self._under(self.paths[i])
-            left_out = set()
+            left_out, around = set(), along
         else:
             along, own, left_out = self._under(path), self._under(only=i), set(usual or ())
             if sum(s for s, p in zip(self.scores(), self.paths, strict=True) if p == path) < 0.5 * score:
                 left_out = set()
-        return "\n".join(b for b, o in zip(self.blocks, self.owner, strict=True) if along[o] or (own[o] and self.paths[o] not in left_out))
+            around = [p == path for p in self.paths]
+            for c in range(len(around) - 1, 0, -1):
+                around[self.parent[c]] |= around[c]
+        return "\n".join(b for b, o in zip(self.blocks, self.owner, strict=True) if along[o] or (own[o] and (around[o] or self.paths[o] not in left_out)))
 
-    def _under(self, path: str | None = None, only: int = -1) -> list[bool]:
+    def _under(self, path: int | None = None, only: int = -1) -> list[bool]:
         """For each container whether it is, or stands in, one of that path or that number."""
         under = [False] * len(self.paths)
         for k, up in enumerate(self.parent):
@@ -191,12 +210,12 @@ def host(url: str | None) -> str:
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    votes: dict[tuple[str, str], list] = {}
+    votes: dict[tuple[str, int], list] = {}
 
     def out() -> pa.RecordBatch:
         keys, sums = list(votes), list(votes.values())
         votes.clear()
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()), pa.array([s[2] for s in sums], pa.int64())], ["host", "path", "votes", "weight", "seen"])
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([s[0] for s in sums], pa.int64()), pa.array([s[1] for s in sums], pa.int64()), pa.array([s[2] for s in sums], pa.int64())], ["host", "path", "votes", "weight", "seen"])
 
     for batch in batches:
         for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
@@ -222,16 +241,15 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path, usual): the path most pages of a host vote for; ties go to more text, then by name.
+    """(host, path, usual): the path most pages of a host vote for; ties go to more text, then by number.
 
-    usual are the paths outside of it that hold text on more than half of the host's pages; they are
-    fewer than twice the containers of a mean page.
+    usual are the other paths that hold text on more than half of the host's pages; they are fewer
+    than twice the containers of a mean page.
     """
-    votes = pages.mapInArrow(_vote, "host string, path string, votes long, weight long, seen long")
+    votes = pages.mapInArrow(_vote, "host string, path long, votes long, weight long, seen long")
     summed = materialise(votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("weight").alias("weight"), F.sum("seen").alias("seen")), "host-votes")
     won = summed.groupBy("host").agg(F.max(F.struct("votes", "weight", "path")).alias("w"), F.sum("votes").alias("pages")).select("host", F.col("w.path").alias("path"), "pages")
-    beside = ~F.col("path").startswith(F.concat("other", F.lit(">"))) & ~F.col("other").startswith(F.concat("path", F.lit(">"))) & (F.col("path") != F.col("other"))
-    usual = summed.filter("seen > 1").select("host", F.col("path").alias("other"), "seen").join(won, "host").filter((2 * F.col("seen") > F.col("pages")) & beside)
+    usual = summed.filter("seen > 1").select("host", F.col("path").alias("other"), "seen").join(won, "host").filter((2 * F.col("seen") > F.col("pages")) & (F.col("path") != F.col("other")))
     return won.select("host", "path").join(usual.groupBy("host").agg(F.sort_array(F.collect_list("other")).alias("usual")), "host", "left")
 
 

@@ -56,6 +56,49 @@ def test_page_that_continues_beside_the_path(spark):
     assert a != b
 
 
+def test_deep_and_long_pages():
+    import time
+    import tracemalloc
+
+    deep = "<div class='a1 b'>" * 40_000 + "<p>deep text</p>" + "</div>" * 40_000
+    wild = "<a><li>" * 30_000 + "</b></p>" * 30_000 + "x"
+    long = "<article>" + "<p>some words &amp; more</p>" * 60_000 + "</article>"
+    for html, want in ((deep, "deep text"), (wild, "x"), (long, "\n".join(["some words & more"] * 60_000))):
+        tracemalloc.start()
+        began = time.time()
+        assert text_of(html) == want
+        assert tracemalloc.get_traced_memory()[1] < 150 << 20 and time.time() - began < 60
+        tracemalloc.stop()
+
+
+def made_page(rnd, kind):
+    """(html, its article) by construction; a host's pages share the kind of container."""
+    word = lambda: rnd.choice("river house stone water bridge cloud field garden window paper".split())
+    said = lambda n: " ".join(word() for _ in range(n))
+    blocks = [said(rnd.randint(12, 60)) + "." for _ in range(rnd.randint(2, 7))]
+    shape = lambda b: rnd.choice(["<p>{}</p>", "<h2>{}</h2>", "<blockquote>{}</blockquote>", "<p>{}", "<div>{}</div>", "<ul><li>{}</li></ul>"]).format(b)
+    inner = "".join(shape(b.replace(" ", rnd.choice([" ", "  ", "\n", " <b>", "&#32;"]), 1).replace("stone", "st&#111;ne")) for b in blocks)
+    container = {"article": "<article class='a-{0}'>{1}</article>", "div": "<div id='post-{0}' class='story'>{1}</div>", "plain": "<section>{1}</section>", "main": "<main><div>{1}</div></main>"}[kind]
+    around = [f"<nav><ul><li><a href='/x'>{said(3)}</a></li></ul></nav>", f"<header><h1>{said(3)}</h1></header>", f"<aside>{said(20)}</aside>", f"<div class='ad'>{said(15)}</div>", f"<div id='comments'><p>{said(30)}</p></div>", f"<form><label>{said(4)}</label></form>", f"<script>var x = '{said(5)}';</script>", f"<div class='cookie-notice'>{said(9)}</div>", f"<!-- {said(4)} -->", f"<style>p{{}} {said(2)}</style>"]
+    rnd.shuffle(around)
+    cut = rnd.randrange(len(around))
+    html = f"<html><head><title>{said(3)}</title></head><body>{''.join(around[:cut])}{container.format(rnd.randrange(99), inner)}{''.join(around[cut:])}<footer>{said(6)}</footer></body></html>"
+    return html, "\n".join(blocks)
+
+
+def test_made_pages(spark):
+    """Articles that are known because the pages were made around them, on hosts of all kinds."""
+    rnd = random.Random(12)
+    rows, want = [], {}
+    for i in range(240):
+        kind = ["article", "div", "plain", "main"][i % 4]
+        html, want[i] = made_page(rnd, kind)
+        rows.append((i, f"http://{kind}.example/{i}", html, "path"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, path string")
+    got = {r["page_id"]: r["text"] for r in htmltext.main_text(pages).collect()}
+    assert got == want
+
+
 def test_warc(spark):
     big, other = "x" * 1500, "é" * 600
     rows = [(1, "u", big), (2, "u", big), (9, None, big), (3, "u", other), (4, "u", "small"), (5, "u", "small"), (6, "u", None), (7, "a\r\nb", "\r\n\r\nWARC/1.1\r\n"), (8, "u", other), (8, "u", other), (None, "u", big), (2, "u", other)]
