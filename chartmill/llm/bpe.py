@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import claim, prepare, slices
+from .tables import KeyTable
+from .words import mix
 
 # Character classes, with what must be known of the characters to the right.
 LETTER, NUMBER, OTHER, QUOTE_1, QUOTE_2, SPACE_LAST, SPACE_MORE, WHITE_LAST, WHITE_MORE = range(9)
@@ -26,7 +28,6 @@ LETTER, NUMBER, OTHER, QUOTE_1, QUOTE_2, SPACE_LAST, SPACE_MORE, WHITE_LAST, WHI
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_WHITE, AFTER_SPACE, SUFFIX_1, SUFFIX_2 = range(8)
 #: Code points with the property White_Space.
 WHITE = [0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-MARK = 0xFF  # never a byte of UTF-8
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -161,34 +162,6 @@ def token_starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return at[begins.take(before)]
 
 
-def pieces(data: np.ndarray, offs: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """(pieces of all texts, first): the pieces of text i are pieces[first[i]:first[i+1]]."""
-    starts = token_starts(data, offs)
-    if not len(starts):
-        return [], np.zeros(len(offs), np.int64)
-    marked = np.empty(len(data) + len(starts), np.uint8)
-    spot = starts + np.arange(len(starts))
-    keep = np.ones(len(marked), bool)
-    keep[spot] = False
-    marked[spot] = MARK
-    marked[keep] = data
-    return marked[1:].tobytes().split(b"\xff"), np.searchsorted(starts, offs)
-
-
-class Cache(dict):
-    """Piece to packed ids; `merge` makes what is missing. It starts anew when full."""
-
-    def __init__(self, merge: Callable[[bytes], bytes], most: int):
-        super().__init__()
-        self.merge, self.most = merge, most
-
-    def __missing__(self, piece: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        out = self[piece] = self.merge(piece)
-        return out
-
-
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -250,8 +223,206 @@ def merger(ranks: dict[bytes, int]) -> Callable[[bytes], bytes]:
     return merge
 
 
-#: Distinct pieces an encoder remembers: about 150 bytes each in every Python worker.
-CACHE_PIECES = 1_000_000
+#: Bytes of a piece that the cache can hold, and of one that is merged together with others.
+SHORT, TOGETHER = 15, 128
+#: Distinct pieces an encoder remembers: about 120 bytes each in every Python worker.
+CACHE_PIECES = 400_000
+NONE = np.int64(1 << 40)
+
+
+class Merges:
+    """Pair merging of many pieces at once: each round merges the lowest-ranked pair of every piece.
+
+    pairs are rows (left id, right id, rank, id of both); a rank belongs to one id.
+    """
+
+    def __init__(self, byte_ids: np.ndarray, pairs: np.ndarray):
+        if pairs.size and pairs[:, [0, 1, 3]].max() >= 1 << 20:
+            raise ValueError("a vocabulary of more than 2^20 tokens")
+        self.byte_ids = byte_ids.astype(np.int64)
+        self.table = KeyTable(max(4, int(4 * len(pairs)).bit_length()))
+        key, at = np.unique(pairs[:, 0] << 20 | pairs[:, 1], return_index=True)
+        self.table.add(key)
+        self.rank = np.append(pairs[at, 2], NONE)  # -1, a pair that is not known, is the last
+        self.merged = np.zeros(int(pairs[:, 2].max(initial=0)) + 1, np.int64)
+        self.merged[pairs[:, 2]] = pairs[:, 3]
+
+    def _ranks(self, ids: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank of the pair that begins at each place; NONE at a piece's end."""
+        to = np.minimum(at + 1, len(ids) - 1)
+        out = self.rank[self.table.find(ids[at] << 20 | ids[to])]
+        out[(owner[at] != owner[to]) | (at == to)] = NONE
+        return out
+
+    def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of pieces that lie one after the other; none is empty."""
+        n = len(offs) - 1
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
+        ids, owner = self.byte_ids[data], np.repeat(np.arange(n), np.diff(offs))
+        rank = self._ranks(ids, owner, np.arange(len(ids)))
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(ids):
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            size = np.diff(np.append(first, len(ids)))
+            low = np.minimum.reduceat(rank, first)
+            live = np.repeat(low < NONE, size)
+            if not live.all():
+                done.append((owner[~live], ids[~live]))
+                ids, owner, rank, low, size = ids[live], owner[live], rank[live], low[low < NONE], size[low < NONE]
+                if not len(ids):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(low, size))
+            at = hit[np.concatenate([[True], owner[hit[1:]] != owner[hit[:-1]]])]
+            ids[at] = self.merged[rank[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, owner, rank = ids[keep], owner[keep], rank[keep]
+            at -= np.arange(len(at))  # one place fewer for each piece before
+            rank[at] = self._ranks(ids, owner, at)
+            before = at[at > 0] - 1
+            rank[before] = self._ranks(ids, owner, before)
+        owner, ids = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
+        order = np.argsort(owner, kind="stable")
+        return ids[order], np.searchsorted(owner[order], np.arange(n + 1))
+
+
+def gather(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the stretches of values that begin at each place, one after the other; their offsets)."""
+    offs = np.concatenate([[0], np.cumsum(size)])
+    return values[np.repeat(at - offs[:-1], size) + np.arange(offs[-1])], offs
+
+
+class PieceCache:
+    """Ids of short pieces by their bytes. When full it forgets the pieces met least often."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self._fill(*(np.zeros(0, np.uint64),) * 2, np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64))
+
+    def _fill(self, lo, hi, ids, offs, uses) -> None:
+        self.lo, self.hi, self.ids, self.offs, self.uses = lo, hi, ids, offs, uses
+        self.table = KeyTable()
+        if len(lo):
+            self.table.add(self._key(lo, hi))
+
+    @staticmethod
+    def _key(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (mix(lo ^ mix(hi)) >> np.uint64(1)).view(np.int64)
+
+    def find(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Number of each piece, -1 where it is not held."""
+        out = self.table.find(self._key(lo, hi))
+        if len(self.lo):
+            out[(self.lo[out] != lo) | (self.hi[out] != hi)] = -1
+        held = out[out >= 0]
+        self.uses += np.bincount(held, minlength=len(self.uses))
+        return out
+
+    def add(self, lo: np.ndarray, hi: np.ndarray, ids: np.ndarray, offs: np.ndarray) -> None:
+        """Hold more pieces, none of them held already; of pieces with one hash the first."""
+        key, at = np.unique(self._key(lo, hi), return_index=True)
+        at = at[self.table.find(key) < 0]
+        ids, offs = gather(ids, offs[at], np.diff(offs)[at])
+        lo, hi = lo[at], hi[at]
+        if len(self.lo) + len(lo) > self.most:
+            often = np.sort(self.uses)[-(self.most // 2) :].min(initial=1) if self.most else 0
+            keep = np.flatnonzero(self.uses > max(1, often))[: self.most // 2]
+            more = max(0, self.most - len(keep))
+            lo, hi, offs = lo[:more], hi[:more], offs[: more + 1]
+            ids = ids[: offs[-1]]
+            own, own_offs = gather(self.ids, self.offs[keep], np.diff(self.offs)[keep])
+            self._fill(self.lo[keep], self.hi[keep], own, own_offs, np.zeros(len(keep), np.int64))
+        if not len(lo):
+            return
+        self.table.add(self._key(lo, hi))
+        self.offs = np.concatenate([self.offs, self.offs[-1] + offs[1:]])
+        self.ids = np.concatenate([self.ids, ids])
+        self.lo, self.hi = np.concatenate([self.lo, lo]), np.concatenate([self.hi, hi])
+        self.uses = np.concatenate([self.uses, np.ones(len(lo), np.int64)])
+
+
+class Encoder:
+    """Texts to ids: pieces by the scan, each merged alone; what was merged before is looked up.
+
+    whole are pieces that are one token as they stand; merge_long gives the ids of one long piece.
+    """
+
+    def __init__(self, merges: Merges, merge_long: Callable[[bytes], list[int]], whole: dict[bytes, int], cache_pieces: int):
+        self.merges, self.merge_long, self.cache = merges, merge_long, PieceCache(cache_pieces)
+        self.whole = whole
+
+    def _words(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each short piece as two numbers: its bytes and, on top, its length."""
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        eight = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+        masks = np.array([(1 << 8 * min(i, 8)) - 1 for i in range(SHORT + 1)], np.uint64)
+        lo = eight[at] & masks[size]
+        hi = (eight[at + 8] & masks[np.maximum(size - 8, 0)]) | size.astype(np.uint64) << np.uint64(56)
+        return lo, hi
+
+    def _merge(self, data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of some pieces."""
+        some, offs = gather(data, at, size)
+        raw = some.tobytes()
+        alone = {}
+        for i in np.flatnonzero(size > TOGETHER).tolist():
+            alone[i] = self.merge_long(raw[offs[i] : offs[i + 1]])
+        if self.whole:
+            for i, (a, z) in enumerate(zip(offs.tolist(), offs[1:].tolist(), strict=False)):
+                if i not in alone and (token := self.whole.get(raw[a:z])) is not None:
+                    alone[i] = [token]
+        if not alone:
+            return self.merges(some, offs)
+        rest = np.setdiff1d(np.arange(len(size)), np.fromiter(alone, np.int64))
+        own, own_offs = self.merges(*gather(data, at[rest], size[rest]))
+        count = np.zeros(len(size), np.int64)
+        count[rest] = np.diff(own_offs)
+        for i, x in alone.items():
+            count[i] = len(x)
+        out_offs = np.concatenate([[0], np.cumsum(count)])
+        out = np.empty(out_offs[-1], np.int64)
+        out[np.repeat(out_offs[rest] - own_offs[:-1], np.diff(own_offs)) + np.arange(len(own))] = own
+        for i, x in alone.items():
+            out[out_offs[i] : out_offs[i + 1]] = x
+        return out, out_offs
+
+    def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of each text."""
+        starts = token_starts(data, offs)
+        size = np.diff(np.append(starts, len(data)))
+        number = np.full(len(starts), -1, np.int64)
+        short = np.flatnonzero(size <= SHORT)
+        lo, hi = self._words(data, starts[short], size[short])
+        number[short] = found = self.cache.find(lo, hi)
+        # Pieces that are not held: short ones once each, all others as they are.
+        new = np.flatnonzero(found < 0)
+        order = new[np.lexsort((lo[new], hi[new]))]
+        head = np.ones(len(order), bool)
+        head[1:] = (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1])
+        once, long = order[head], np.flatnonzero(size > SHORT)
+        which = np.concatenate([short[once], long])
+        ids, at = self._merge(data, starts[which], size[which])
+        held = len(self.cache.ids)
+        pool = np.concatenate([self.cache.ids, ids])
+        place, count = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+        known = number >= 0
+        place[known], count[known] = self.cache.offs[number[known]], np.diff(self.cache.offs)[number[known]]
+        each = np.cumsum(head) - 1
+        place[short[order]], count[short[order]] = held + at[each], np.diff(at)[each]
+        place[long], count[long] = held + at[len(once) : -1], np.diff(at)[len(once) :]
+        out, piece_offs = gather(pool, place, count)
+        if len(once):
+            self.cache.add(lo[once], hi[once], ids[: at[len(once)]], at[: len(once) + 1])
+        return out, piece_offs[np.searchsorted(starts, offs)]
+
+
+def _all_pairs(ranks: dict[bytes, int]) -> np.ndarray:
+    """Every pair of tokens whose bytes together are a token."""
+    get = ranks.get
+    found = [(a, b, r, r) for t, r in ranks.items() for i in range(1, len(t)) if (a := get(t[:i])) is not None and (b := get(t[i:])) is not None]
+    return np.array(found, np.int64).reshape(-1, 4)
 
 
 class Codec:
@@ -259,7 +430,14 @@ class Codec:
 
     def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         ranks = load_ranks(path)
-        self.cache = Cache(merger(ranks), cache_pieces)
+        merges = Merges(np.array([ranks[bytes([i])] for i in range(256)]), _all_pairs(ranks))
+        long = merger(ranks)
+        # Tokens that merging alone would not give back.
+        tokens = [t for t in ranks if len(t) <= TOGETHER]
+        offs = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+        ids, at = merges(np.frombuffer(b"".join(tokens), np.uint8), offs)
+        same = (np.diff(at) == 1) & (ids[at[:-1]] == np.array([ranks[t] for t in tokens]))
+        self.encoder = Encoder(merges, lambda p: np.frombuffer(long(p), "<u4").tolist(), {t: ranks[t] for t, s in zip(tokens, same.tolist(), strict=True) if not s}, cache_pieces)
         size = max(ranks.values()) + 1
         self.lengths = np.zeros(size, np.int64)
         for token, i in ranks.items():
@@ -270,11 +448,9 @@ class Codec:
             joined[self.at[i] : self.at[i + 1]] = token
         self.bytes = np.frombuffer(bytes(joined), np.uint8)
 
-    def encode(self, data: np.ndarray, offs: np.ndarray) -> list[bytes]:
-        """Ids of each text as little-endian uint32."""
-        found, first = pieces(data, offs)
-        ids = list(map(self.cache.__getitem__, found))
-        return [b"".join(ids[a:b]) for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of each text."""
+        return self.encoder(data, offs)
 
     def spans(self, ids: np.ndarray) -> np.ndarray:
         """Byte offsets of the tokens in the decoded text, and its length."""
@@ -282,8 +458,7 @@ class Codec:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Gather the vocabulary's bytes along the retained offsets."""
-        at = self.spans(ids)
-        return self.bytes[np.repeat(self.at[ids] - at[:-1], self.lengths[ids]) + np.arange(at[-1])].tobytes()
+        return gather(self.bytes, self.at[ids], self.lengths[ids])[0].tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -291,6 +466,12 @@ def codec(path: str, cache_pieces: int) -> Codec:
     return Codec(path, cache_pieces)
 
 
+def binaries(values: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """Stretches of an array as byte strings."""
+    at = (offs * values.itemsize).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(offs) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
+
+
 def encode_documents(docs: DataFrame, path: str, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """doc_id, ids (little-endian uint32), n_tokens, n_bytes per row; a null text is empty.
 
@@ -303,8 +484,8 @@ def encode_documents(docs: DataFrame, path: str, cache_pieces: int = CACHE_PIECE
         claim("bpe", codec.cache_clear)
         own = codec(path, cache_pieces)
         for rows, data, offs in slices(batches, "text"):
-            ids = own.encode(data, offs)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(np.diff(offs))], ["doc_id", "ids", "n_tokens", "n_bytes"])
+            ids, at = own.encode(data, offs)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), binaries(ids.astype("<u4"), at), pa.array(np.diff(at)), pa.array(np.diff(offs))], ["doc_id", "ids", "n_tokens", "n_bytes"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, n_tokens long, n_bytes long")
 

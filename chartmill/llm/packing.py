@@ -9,6 +9,7 @@ A target mixture is served until a queue runs dry; the others then share its par
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -18,41 +19,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import pieces
+from .bpe import Encoder, Merges, binaries
 from .common import claim, materialise, prepare, slices
 
 SEQUENCE = 1024
 #: Sequences that one window's worth of tokens fills.
 WINDOW_SEQUENCES = 64
-#: Distinct pieces a worker remembers, about 200 bytes each; it starts anew when full.
+#: Distinct pieces a worker remembers; see bpe.PieceCache.
 CACHE_PIECES = 400_000
 
 
-@lru_cache(maxsize=1)
-def _tokenizer(path: str):
-    import os
+class Tokenizer:
+    """The ids of a byte-level BPE file of the tokenizers library, special tokens of a text included."""
+
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
+        import json
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer as Plain
+
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        model, vocab = told["model"], told["model"]["vocab"]
+        odd = [t for t in told["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+        if told["normalizer"] or told["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True} or model["type"] != "BPE" or model["ignore_merges"] or odd:
+            raise ValueError("not a byte-level BPE file without a normalizer")
+        own = Plain.from_file(path)
+        letters = own.pre_tokenizer.alphabet()
+        # A byte's letter is itself where it can be seen; the others follow from 256 on, in order.
+        seen = [chr(b) if chr(b) in letters and b != 0x20 else None for b in range(256)]
+        more = iter(range(256, 512))
+        names = [x if x else chr(next(more)) for x in seen]
+        pairs = [(vocab[a], vocab[b], i, vocab[a + b]) for i, (a, b) in enumerate(x.split(" ") if isinstance(x, str) else x for x in model["merges"])]
+        merges = Merges(np.array([vocab[x] for x in names]), np.array(pairs, np.int64).reshape(-1, 4))
+        self.encoder = Encoder(merges, lambda p: own.encode(p.decode(), add_special_tokens=False).ids, {}, cache_pieces)
+        self.special = {t["content"].encode(): t["id"] for t in told["added_tokens"]}
+        by_length = sorted(map(re.escape, self.special), key=len, reverse=True)
+        self.find = re.compile(b"|".join(by_length)).finditer if by_length else lambda raw: iter(())
+
+    def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of each text."""
+        raw = data.tobytes()
+        spots = [m.span() for m in self.find(raw)] if any(x in raw for x in self.special) else []
+        if not spots:
+            return self.encoder(data, offs)
+        # Texts with special tokens in them are encoded stretch by stretch.
+        ids, size = [], []
+        for a, z in zip(offs.tolist(), offs[1:].tolist(), strict=False):
+            at, own = a, []
+            for m in self.find(raw[a:z]) if any(x in raw[a:z] for x in self.special) else ():
+                own += [self.encoder(data[at : a + m.start()], np.array([0, a + m.start() - at]))[0], [self.special[m[0]]]]
+                at = a + m.end()
+            own.append(self.encoder(data[at:z], np.array([0, z - at]))[0])
+            ids += own
+            size.append(sum(map(len, own)))
+        return np.concatenate(ids).astype(np.int64), np.concatenate([[0], np.cumsum(size)])
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
-    return own, {}
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> Tokenizer:
+    return Tokenizer(path)
 
 
-def _encode(path: str, data: np.ndarray, offs: np.ndarray, most: int = CACHE_PIECES) -> list[bytes]:
-    """Each text's ids and a final id 0 as little-endian uint32; pieces met before are looked up."""
-    own, cache = _tokenizer(path)
-    found, first = pieces(data, offs)
-    fresh = [p for p in set(found) if p not in cache]
-    if len(cache) + len(fresh) > most:
-        cache.clear()
-        fresh = list(set(found))
-    if fresh:
-        for p, e in zip(fresh, own.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False), strict=True):
-            cache[p] = np.array(e.ids, "<u4").tobytes()
-    ids = list(map(cache.__getitem__, found))
-    return [b"".join(ids[a:b]) + b"\0\0\0\0" for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
+def _encode(path: str, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets): each text's ids and a final id 0."""
+    ids, at = _tokenizer(path)(data, offs)
+    out = np.zeros(len(ids) + len(at) - 1, np.int64)
+    out[np.arange(len(ids)) + np.repeat(np.arange(len(at) - 1), np.diff(at))] = ids
+    return out, at + np.arange(len(at))
 
 
 def _tokenise(path: str) -> Callable:
@@ -62,13 +97,13 @@ def _tokenise(path: str) -> Callable:
         claim("packing", _tokenizer.cache_clear)
         part, sent = TaskContext.get().partitionId(), {}
         for rows, data, offs in slices(batches, "text"):
-            ids = _encode(path, data, offs)
-            n, before = [len(x) // 4 for x in ids], []
+            ids, at = _encode(path, data, offs)
+            n, before = np.diff(at).tolist(), []
             for s, k in zip(rows.column("source").to_pylist(), n, strict=True):
                 before.append(sent.get(s, 0))
                 sent[s] = before[-1] + k
-            short = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if len(x) and np.frombuffer(x, "<u4").max() < 65536 else x for x in ids]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("source"), pa.array(np.full(len(n), part), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(short, pa.binary())], ["doc_id", "source", "part", "before", "n_tokens", "ids"])
+            short = binaries(ids.astype("<u2" if ids.max(initial=0) < 65536 else "<u4"), at)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("source"), pa.array(np.full(len(n), part), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), short], ["doc_id", "source", "part", "before", "n_tokens", "ids"])
 
     return run
 

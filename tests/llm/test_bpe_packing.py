@@ -15,6 +15,7 @@ from chartmill.llm import bpe, packing
 PATH = public_tokenizers.path("byte_bpe_50k.tiktoken")
 JSON = public_tokenizers.path("byte_bpe_50k.json")
 OWN = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(PATH), special_tokens={})
+PLAIN, TOKENIZER = Tokenizer.from_file(JSON), packing.Tokenizer(JSON)
 ODD = [None, "", " ", "'s", " 's", "a's'll", "''s", "\n\n x", "x  ", "é́", "日本語 テスト", "🙂🙂", "<|endoftext|>", "12 345", "\r\n\t", "  a", "a b　c", "word " * 3000, "x" * 2500]
 
 
@@ -24,7 +25,11 @@ def buffers(texts):
 
 
 def ids_of(texts):
-    return [np.frombuffer(x, "<u4").tolist() for x in bpe.codec(PATH, bpe.CACHE_PIECES).encode(*buffers(texts))]
+    return lists(*bpe.codec(PATH, bpe.CACHE_PIECES).encode(*buffers(texts)))
+
+
+def lists(ids, offs):
+    return [ids[a:b].tolist() for a, b in zip(offs, offs[1:])]
 
 
 def test_odd_texts():
@@ -45,9 +50,29 @@ def test_long_scan_is_independent_of_blocks():
     assert ids_of([text, text[:77]]) == [OWN.encode_ordinary(text), OWN.encode_ordinary(text[:77])]
 
 
-def test_full_cache_starts_anew():
-    small = bpe.Codec(PATH, cache_pieces=3)
-    assert [np.frombuffer(x, "<u4").tolist() for x in small.encode(*buffers(ODD))] == ids_of(ODD)
+@pytest.mark.parametrize("most", [0, 3, 40])
+def test_full_cache_forgets(most):
+    small = bpe.Codec(PATH, cache_pieces=most)
+    for _ in range(3):
+        assert lists(*small.encode(*buffers(ODD))) == ids_of(ODD)
+        assert len(small.encoder.cache.lo) <= most
+
+
+def test_long_pieces():
+    rnd = np.random.default_rng(1)
+    texts = ["".join(chr(97 + c) for c in rnd.integers(0, 26, n)) for n in (1, 14, 15, 16, 17, 127, 128, 129, 400, 2000)] + ["\0\0", "\0", "a\0", "日" * 5, "日" * 6]
+    assert ids_of(texts) == ids_of(texts[::-1])[::-1] == [OWN.encode_ordinary(t) for t in texts]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([*"ab'srevlltmd  \n\t19é!.ß中🙂́", "<|endoftext|>", "<|end"]), max_size=30).map("".join), max_size=8))
+def test_tokenizer_is_that_of_the_library(texts):
+    assert lists(*TOKENIZER(*buffers(texts))) == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_tokenizer_on_odd_texts():
+    assert lists(*TOKENIZER(*buffers(ODD))) == [PLAIN.encode(t or "", add_special_tokens=False).ids for t in ODD]
+    assert lists(*TOKENIZER(*buffers(["<|endoftext|>"]))) == [[50256]]
 
 
 def test_query_columns(spark):
@@ -86,8 +111,7 @@ def test_pack(spark, weights):
     rows = [(i, t, "xyz"[i % 3] if i % 4 else None) for i, t in enumerate(ODD)] + [(3, "again", "x"), (None, "no id", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("start", __import__("pyspark.sql.functions").sql.functions.lit(1))
     got = packing.pack(docs.repartition(3), JSON, weights, sequence=64, window_sequences=2).collect()
-    own = Tokenizer.from_file(JSON)
-    own.encode_special_tokens = True
+    own = PLAIN
     want = sorted((np.array([*own.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for _, t, _ in rows), key=len)
     total = sum(map(len, want))
     assert sum(r["length"] for r in got) == total
