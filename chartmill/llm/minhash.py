@@ -34,6 +34,8 @@ COMPONENTS, ORDERS, DEPTH = 64, 16, 8
 SMALL = 8
 #: Larger ones are compared whole up to this size; each row keeps its best partners and the hub.
 BLOCK, BEST = 512, 2
+#: A row whose sketch agrees with the hub's in this share needs no other partner in the first pass.
+NEAR_HUB = 0.85
 #: A screen 4.6 standard deviations below a similarity of 0.75.
 SCREEN = 0.5
 #: In the second pass cells of so many rows or fewer are screened together.
@@ -154,13 +156,14 @@ def _crowded(lo: int, hi: int, key, sketch, size, depth: int, out: list) -> None
     hub = lo + int((rows == common).sum(axis=1).argmax())
     others = np.arange(lo, hi)
     out.append(_close(sketch, size, np.full(len(others), hub), others))
+    far = (rows == sketch[hub]).sum(axis=1) < NEAR_HUB * COMPONENTS
     if hi - lo <= BLOCK:
         agree = np.zeros((hi - lo, hi - lo), np.uint8)
         for c in range(COMPONENTS):
             agree += rows[:, c][:, None] == rows[:, c][None, :]
         np.fill_diagonal(agree, 0)
-        best = np.argpartition(agree, -BEST, axis=1)[:, -BEST:]
-        out.append(_close(sketch, size, np.repeat(others, BEST), lo + best.ravel()))
+        best = np.argpartition(agree[far], -BEST, axis=1)[:, -BEST:]
+        out.append(_close(sketch, size, np.repeat(others[far], BEST), lo + best.ravel()))
         return
     if depth < DEPTH:
         edges = lo + _runs(key[lo:hi], depth + 1)
@@ -170,7 +173,8 @@ def _crowded(lo: int, hi: int, key, sketch, size, depth: int, out: list) -> None
             if min(hi, at + BLOCK) - at > 1:
                 _crowded(at, min(hi, at + BLOCK), key, sketch, size, depth, out)
     for d in range(1, BEST + 1):
-        out.append(_close(sketch, size, others[:-d], others[d:]))
+        some = far[:-d] | far[d:]
+        out.append(_close(sketch, size, others[:-d][some], others[d:][some]))
 
 
 def _regions(edges: np.ndarray, key, sketch, size, depth: int, out: list) -> None:
