@@ -30,17 +30,21 @@ def echo(prompts: list[tuple[str, str]]) -> list[str]:
     return [f'[{{"Stage": "{hashlib.md5(user.encode()).hexdigest()[:4]}"}}]' for _, user in prompts]
 
 
-def with_retries(call: Generator, attempts: int = 5, first_wait: float = 1.0, most_wait: float = 30.0, retryable: Callable[[Exception], bool] = lambda e: isinstance(e, (OSError, TimeoutError))) -> Generator:
-    """Call again after growing, jittered waits while the error is one that may pass."""
+def with_retries(call: Generator, attempts: int = 5, first_wait: float = 1.0, most_wait: float = 30.0, retryable: Callable[[Exception], bool] = lambda e: isinstance(e, (OSError, TimeoutError)), seed: int | None = None) -> Generator:
+    """Call again after growing, jittered waits while the error is one that may pass.
+
+    A seed makes the jitter the same for the same prompts.
+    """
 
     def run(prompts: list[tuple[str, str]]) -> list[str]:
+        jitter = random.Random() if seed is None else random.Random(f"{seed}{prompts}")
         for i in range(attempts):
             try:
                 return call(prompts)
             except Exception as e:
                 if i + 1 == attempts or not retryable(e):
                     raise
-                time.sleep(min(most_wait, first_wait * 2**i) * (0.5 + random.random() / 2))
+                time.sleep(min(most_wait, first_wait * 2**i) * (0.5 + jitter.random() / 2))
         raise AssertionError
 
     return run
@@ -81,6 +85,31 @@ def job(source: DataFrame, done: DataFrame | None, system: str, template: str, c
     return generate(present(todo, ["id", "text"], blank_is_missing=False), system, template, call, context)
 
 
+def preview(source: DataFrame, done: DataFrame | None, template: str, n: int, context: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """What a job would send, without a call: the first n rows by id with their prompts, and one row of
+    counts: rows in all, already done, without id or text, and to do."""
+    keyed = source.withColumn("_done", F.lit(False)) if done is None else source.join(done.select("id").distinct().withColumn("_done", F.lit(True)), "id", "left")
+    finished, whole = F.coalesce("_done", F.lit(False)), F.col("id").isNotNull() & F.col("text").isNotNull()
+    counts = keyed.agg(F.count(F.lit(1)).alias("total"), F.count_if(finished).alias("done"), F.count_if(~finished & ~whole).alias("missing"), F.count_if(~finished & whole).alias("todo"))
+    rows = keyed.filter(~finished & whole).withColumn("prompt", render_prompt(template, F.col("text"), F.col(context) if context else None))
+    return rows.select("id", "prompt").orderBy("id").limit(n), counts
+
+
+#: The jobs that make a dataset, by name: a template and whether a row comes with a context.
+JOBS = {
+    "translate": ("Translate the text.\n\n{{INPUT}}", False),
+    "summarise": ("Summarise the record.\n\n{{INPUT}}", False),
+    "note": ("{{CONTEXT}}\n\nWrite a progress note from the summary.\n\n{{INPUT}}", True),
+    "annotate": ("{{CONTEXT}}\n\nList the events of the note as JSON.\n\n{{INPUT}}", True),
+}
+
+
+def named_job(name: str, source: DataFrame, done: DataFrame | None, system: str, call: Generator = echo, template: str | None = None) -> DataFrame:
+    """One of JOBS, with its own template or another; those with a context read it from the column `context`."""
+    usual, with_context = JOBS[name]
+    return job(source, done, system, template or usual, call, "context" if with_context else None)
+
+
 def predictions(generated: DataFrame, channels: bool = False, most: int = 64, strict: bool = False) -> DataFrame:
     """id, raw and canonical prediction; channel-formatted output is unwrapped first."""
     ok = generated.filter("error is null")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -144,12 +145,30 @@ def _event_items(spark, d):
     return each.filter("side = 'gold'").drop("side"), each.filter("side = 'pred'").drop("side")
 
 
+_MOST_EVENTS = 16
+
+
+def _assignment_sql(pairs: str, docs: str) -> str:
+    """(doc, best): the greatest total weight of an assignment, by dynamic programming over the sets of
+    columns taken so far; pairs is (doc, i, j, w) with i and j from 1 to _MOST_EVENTS."""
+    steps = [f"w as materialized ({pairs})", f"s0 as (select doc, 0 as mask, 0 as best from ({docs}))"]
+    for k in range(1, _MOST_EVENTS + 1):
+        grown = f"select s.doc, s.mask + (1 << w.j) as mask, s.best + w.w as best from s{k - 1} s join w on w.doc = s.doc and w.i = {k} where s.mask & (1 << w.j) = 0"
+        steps.append(f"s{k} as (select doc, mask, max(best) as best from (select * from s{k - 1} union all {grown}) group by doc, mask)")
+    return f"with {', '.join(steps)} select doc, max(best) as best from s{_MOST_EVENTS} group by doc"
+
+
+_MATCHED_PAIRS = f"with li as ({fx.LINES}), it as ({fx.ITEMS}) select g.doc_id as doc, cast(g.ord as int) as i, cast(p.ord as int) as j, count(*) as w from it g join it p on g.doc_id = p.doc_id and g.key = p.key and g.atom = p.atom and g.side = 'gold' and p.side = 'pred' group by 1, 2, 3"
+_SIDE_COUNTS = f"with li as ({fx.LINES}), it as ({fx.ITEMS}) select doc_id as doc, count_if(side = 'gold') as g, count_if(side = 'pred') as p from it group by 1 having g > 0 and p > 0"
+_BY_DOC = f"with a as ({_assignment_sql(_MATCHED_PAIRS, f'select doc from ({_SIDE_COUNTS})')}), n as ({_SIDE_COUNTS}), c as (select cast(n.doc as varchar) as id, cast(best as bigint) as tp, cast(p - best as bigint) as fp, cast(g - best as bigint) as fn from n join a on a.doc = n.doc) select *, {_prf()} from c"
+
+
 @query()
 def score_hungarian_per_key(spark, d):
     return scoring.per_key(scoring.matched_counts(*_event_items(spark, d)), digits=9)
 
 
-@query()
+@query(_BY_DOC)
 def score_hungarian_by_doc(spark, d):
     return scoring.micro(scoring.matched_counts(*_event_items(spark, d)), ["id"], 9)
 
@@ -172,7 +191,14 @@ def hierarchy_labels(spark, d):
     return hierarchy.label_table(spark)
 
 
-@query()
+_REFINES = "(g.label = p.label or (g.special is null and p.special is null and (g.side is null or g.side is not distinct from p.side) and (g.region is null or g.region is not distinct from p.region) and (g.hist is null or g.hist is not distinct from p.hist)))"
+# Events of one or two units; the best pairing of two by two units is one of the two diagonals.
+_UNITS = f"with li as ({fx.LINES}) select doc_id as doc, cast(floor((ord + 1) / 2) as int) as e, (ord + 1) % 2 as u, cast(l_partkey % 53 as int) as gi, cast((l_partkey + l_linenumber % 3 * 10) % 53 as int) as pi from li"
+_UNIT_PAIRS = f"with u as ({_UNITS}), l as (select * from {_LABELS}), r as (select g.i as gi, p.i as pi from l g join l p on {_REFINES}) select a.doc, a.e as i, b.e as j, greatest(count_if(a.u = b.u), count_if(a.u <> b.u)) as w from u a join u b on a.doc = b.doc join r on r.gi = a.gi and r.pi = b.pi group by 1, 2, 3"
+_HIERARCHICAL = f"with a as ({_assignment_sql(_UNIT_PAIRS, f'select distinct doc from ({_UNITS})')}), n as (select count(*) as n from ({_UNITS})), c as (select '{scoring.DIAGNOSIS}' as key, cast(sum(best) as bigint) as tp, cast(any_value(n) - sum(best) as bigint) as fp, cast(any_value(n) - sum(best) as bigint) as fn from a, n) select *, {_prf()}, tp + fn as gold_items, tp + fp as pred_items from c"
+
+
+@query(_HIERARCHICAL)
 def score_hierarchical(spark, d):
     """Documents of several diagnosis units per event, matched by refinement."""
     labels = F.array(*(F.lit(x) for x in schema.DIAGNOSES))
@@ -311,22 +337,34 @@ def lenient_parse(spark, d):
     return parsed.select("doc_id", F.col("p.status").alias("status"), F.size("p.events").cast("bigint").alias("n_events"))
 
 
-@query()
+# What a damaged text still tells of each line: of 3, an object's last key is lost; of 4, the size;
+# of 5 and 7 all; in 6 all events stand twice.
+_TOLD = f"with li as ({fx.LINES}) select doc_id, ord, '\"Timestamp\": \"' || substr(cast(l_shipdate as varchar), 1, 10) || '\"' as ts, case when doc_id % 8 <> 4 then '\"TumorSize\": ' || cast(cast(l_quantity as bigint) as varchar) end as size, '\"Recurrence\": \"' || case l_returnflag when 'R' then 'あり' else 'なし' end || '\"' as rec, case when doc_id % 8 = 3 and l_suppkey % 4 <> 0 then null else case l_linenumber % 3 when 0 then '手術, 化学療法' when 1 then '手術、放射線療法' else '未知療法' end end as treat, l_suppkey % 4 = 0 and doc_id % 8 <> 3 as unknown, case doc_id % 8 when 6 then 2 else 1 end as times from li where doc_id % 8 not in (5, 7)"
+_CANONICAL = f"with t as (select doc_id, concat('{{{{', array_to_string(list_filter([ts, size, rec, '\"Treatment\": \"' || treat || '\"', case when unknown then '\"UnknownKey\": \"x\"' end], lambda x: x is not null), ', '), '}}}}') as t, min(ord) as o from ({_TOLD}) group by 1, 2) select doc_id, concat('[', string_agg(t, ', ' order by o), ']') as pred_annotation from t group by doc_id union all select distinct l_orderkey, '[]' from {{lineitem}} where l_orderkey % 8 in (5, 7)"
+_CLEANED = f"select doc_id, concat('{{{{', array_to_string(list_filter([ts, size, rec, '\"Treatment\": \"' || case treat when '手術、放射線療法' then '手術, 放射線療法' when '手術, 化学療法' then treat end || '\"'], lambda x: x is not null), ', '), '}}}}') as t, ord, treat, unknown, times from ({_TOLD})"
+
+
+@query(_CANONICAL)
 def canonicalize_prediction(spark, d):
     return _damaged(spark, d).select("doc_id", lj.canonicalize_prediction(F.col("raw"), 64).alias("pred_annotation"))
 
 
-@query()
+@query(f"with t as (select doc_id, t, min(ord) as o from ({_CLEANED}) group by 1, 2) select doc_id as id, '右上葉に結節' as progress_note, concat('[', string_agg(t, ', ' order by o), ']') as annotation from t group by doc_id")
 def clean_pipeline(spark, d):
     return cleaning.cleaned(_clean_stages(spark, d))
 
 
-@query()
+@query(
+    f"with c as ({_CLEANED}), n as (select distinct l_orderkey as doc_id from {{lineitem}}), k as (select doc_id, sum(times) as events, count(distinct t) as kept from c group by 1) "
+    "select (select count(*) from n) as annotated, (select count_if(doc_id % 8 = 7) from n) as parse_error, (select count_if(doc_id % 8 = 5) from n) as empty, (select count_if(doc_id % 8 not in (5, 7)) from n) as clean_rows, "
+    "cast(sum(case when unknown then times else 0 end) as bigint) as unknown_keys, cast(0 as bigint) as events_after_unknown, cast(sum(case when treat = '未知療法' then times else 0 end) as bigint) as other_value_tokens, "
+    "cast(sum(case when treat = '未知療法' then times else 0 end) as bigint) as keys_after_values, cast(0 as bigint) as events_after_values, cast(0 as bigint) as timestamp_only_events, (select cast(sum(events - kept) as bigint) from k) as repeated_events from c"
+)
 def clean_counters(spark, d):
     return cleaning.counters(_clean_stages(spark, d), CANDIDATES)
 
 
-@query()
+@query(f"select 'Treatment' as key, cast(sum(times) as bigint) as dropped from ({_CLEANED}) where treat = '未知療法'")
 def clean_dropped_tokens(spark, d):
     return cleaning.dropped_tokens_by_key(_clean_stages(spark, d), CANDIDATES)
 
@@ -431,7 +469,7 @@ def normalize_number(spark, d):
     return p.select(F.col("p_partkey").alias("id"), one("float", (F.col("p_size") / 2).cast("string")).cast("bigint").alias("half"), one("str", F.concat(F.col("p_size").cast("string"), F.lit("mm"))).alias("sized"))
 
 
-@query()
+@query("select format('{{:.1f}}', cast(l_discount as double) * cast(l_quantity as double)) as atom, count(*) as n from {lineitem} group by 1")
 def normalize_number_float(spark, d):
     li = _table(spark, d, "lineitem")
     raw = (F.col("l_discount") * F.col("l_quantity")).cast("string")
@@ -459,7 +497,7 @@ def strip_thoughts(spark, d):
     return fx.spark_sql(spark, d, fx.CHANNELS).select("id", tx.strip_thoughts(raw).alias("text"))
 
 
-@query()
+@query(f"select id, raw_pred_annotation, role = 'assistant' as final_channel_found, '[]' as pred_annotation from ({fx.CHANNELS})")
 def reparse_predictions(spark, d):
     return generation.reparse(fx.spark_sql(spark, d, fx.CHANNELS).select("id", "raw_pred_annotation"))
 
@@ -545,8 +583,84 @@ def length_percentiles(spark, d):
 
 @query("select o_orderkey as id, o_totalprice, row_number() over (order by o_orderkey) - 1 as place from {orders}")
 def sort_numeric_id(spark, d):
-    rows = _table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_totalprice").select(F.col("id").cast("bigint").alias("id"), "o_totalprice")
-    return align.with_rank(rows, "id", "place")
+    """A file of ids as text, sorted in its place by their numbers and read again by line."""
+    path = files.scratch(spark, "sorted")
+    rows = _table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), "o_totalprice")
+    files.write_jsonl(rows.repartition(3), path)
+    files.replace_sorted(files.read_jsonl(spark, path, "id string, o_totalprice double"), path)
+    back = files.read_jsonl(spark, path, "id string, o_totalprice double", numbered=True)
+    return back.select(F.col("id").cast("bigint").alias("id"), "o_totalprice", (F.col("line_no") - 1).alias("place"))
+
+
+@query("select told as name, row_number() over (order by told, p_partkey) - 1 as place, p_partkey from (select p_partkey, 'http://host/' || p_type || '/' || p_brand as told from {part})")
+def rank_text_ids(spark, d):
+    """Ranks by text ids that share a long beginning."""
+    part = _table(spark, d, "part").select(F.concat(F.lit("http://host/"), "p_type", F.lit("/"), "p_brand").alias("name"), "p_partkey")
+    ordered = part.withColumn("key", F.concat("name", F.lit(" "), F.lpad(F.col("p_partkey").cast("string"), 12, "0")))
+    return align.with_rank(ordered, "key", "place").select("name", "place", "p_partkey")
+
+
+@query("select doc_id, row_number() over (order by doc_id % 12, doc_id) - 1 as place from {documents}")
+def merge_shards(spark, d):
+    """Twelve shard files merged in the order of their numbers: shard_2 before shard_10."""
+    docs, base = _table(spark, d, "documents").select("doc_id"), files.scratch(spark, "shards")
+    shard = F.concat(F.lit("shard_"), (F.col("doc_id") % 12).cast("string"))
+    docs.withColumn("shard", shard).repartition(4, "shard").sortWithinPartitions("shard", "doc_id").write.partitionBy("shard").json(base)
+    named = files.version_key(F.col("shard"))
+    lines = spark.read.schema("doc_id bigint, shard string").json(base)
+    return align.with_rank(lines.withColumn("key", F.concat(named, F.lit(" "), F.lpad(F.col("doc_id").cast("string"), 20, "0"))), "key", "place").select("doc_id", "place")
+
+
+@query("select doc_id, cast(doc_id % 5 as int) as fold from {documents}")
+def fold_map(spark, d):
+    base = files.scratch(spark, "folds")
+    _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") % 5).alias("fold")).write.partitionBy("fold").json(base)
+    return files.read_fold_map(spark, base).select(F.col("id").cast("bigint").alias("doc_id"), "fold")
+
+
+@query("select conv_id, turn, role, " + "regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')" + " as text from {conversations} where trim(text) <> '' and trim(role) <> ''")
+def prepared_rows(spark, d):
+    rows = _table(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit(" "), "role", F.lit("\n")).alias("role"), F.concat(F.lit("\t "), "text", F.lit(" ")).alias("text"))
+    return align.prepared(rows, ["role", "text"])
+
+
+@query("select o_orderkey, o_totalprice from {orders} order by o_orderkey limit 100")
+def head_rows(spark, d):
+    return align.head_rows(_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 100)
+
+
+def _dry_run(spark, d):
+    docs = _table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return generation.preview(docs, _table(spark, d, "labels").select(F.col("doc_id").alias("id")), TEMPLATE, 5)
+
+
+@query("select doc_id as id, '### Note:' || chr(10) || text || chr(10) || '### Events:' as prompt from {documents} where text is not null and doc_id not in (select doc_id from {labels}) order by doc_id limit 5")
+def dry_run_prompts(spark, d):
+    return _dry_run(spark, d)[0]
+
+
+@query("select count(*) as total, count_if(l.doc_id is not null) as done, count_if(l.doc_id is null and text is null) as missing, count_if(l.doc_id is null and text is not null) as todo from {documents} d left join (select distinct doc_id from {labels}) l on d.doc_id = l.doc_id")
+def dry_run_counters(spark, d):
+    return _dry_run(spark, d)[1]
+
+
+@query(f"with p as (select condition, seed, {', '.join(f'round(avg(case when fold = {chr(39)}{i}{chr(39)} then micro_f1 end), 3) as f{i}' for i in range(5))} from {_PER_FOLD} group by 1, 2) select row_number() over (order by condition, seed) - 1 as place, * from p")
+def report_order(spark, d):
+    """A report table written in its stated order and read back by line."""
+    path, names = files.scratch(spark, "report"), [str(i) for i in range(5)]
+    table = analytics.fold_pivot(analytics.per_fold(_doc_keys(spark, d), 96), names)
+    told = table.select(F.to_json(F.struct("condition", "seed", *(F.col(x).alias(f"f{x}") for x in names))).alias("value"), "condition", "seed")
+    told.orderBy("condition", "seed").select("value").write.text(path)
+    lines = files.with_line_numbers(spark, path)
+    return lines.select(F.col("line_no").alias("place"), F.from_json("value", "condition string, seed string, f0 double, f1 double, f2 double, f3 double, f4 double").alias("r")).select("place", "r.*")
+
+
+@query(f"with c as (select {_TOTALS} from ({_JOINT})) select *, {_prf()} from c")
+def metrics_document(spark, d):
+    """A run's metrics written as one JSON document and read back."""
+    path = files.scratch(spark, "metrics")
+    files.write_document(score_micro_total(spark, d), path)
+    return files.read_json_document(spark, path, "tp bigint, fp bigint, fn bigint, precision double, recall double, f1 double")
 
 
 _FILES = "select concat('/x/', lpad(cast(item_id % 20 as varchar(4)), 2, '0'), '_', lpad(cast(item_id as varchar(9)), 6, '0'), '.txt') as path, text from {benchmark}"
@@ -624,13 +738,46 @@ def cv_shrunk_validation(spark, d):
     return splits.assigned(docs, splits.shrunk_validation(n, 5, 1, 42, val_size=7))
 
 
+_N = "(select count(*) as n from {documents})"
+
+
+@query(f"with t as (select n, least(greatest(1, cast(round_even(n * 0.2, 0) as bigint)), n - 2) as test from {_N}), v as (select n, test, least(greatest(1, cast(round_even(n * 0.1, 0) as bigint)), n - 1 - test) as val from t) select 'test' as split, test as n from v union all select 'validation', val from v union all select 'train', n - test - val from v")
+def holdout_sizes(spark, d):
+    return splits.split_sizes(holdout_split(spark, d))
+
+
+@query(f"with f as (select n, n // 5 + case when n % 5 > 2 then 1 else 0 end as val from {_N}) select 'validation' as split, val as n from f union all select 'train', n - val from f")
+def kfold_sizes(spark, d):
+    return splits.split_sizes(kfold_split(spark, d))
+
+
+@query(f"with f as (select n, n // 5 + case when n % 5 > 1 then 1 else 0 end as test from {_N}) select 'test' as split, test as n from f union all select 'validation', least(20, n - test - 1) from f union all select 'train', n - test - least(20, n - test - 1) from f")
+def cv_sizes(spark, d):
+    return splits.split_sizes(cv_train_val_test(spark, d))
+
+
+@query(f"select 'validation' as split, cast(7 as bigint) as n union all select 'train', n - 7 from {_N}")
+def cv_shrunk_sizes(spark, d):
+    return splits.split_sizes(cv_shrunk_validation(spark, d))
+
+
+@query("select doc_id, cast(1 as bigint) as folds, cast(4 as bigint) as trained from {documents}")
+def kfold_cover(spark, d):
+    """Over all folds each document validates once and trains in all others."""
+    docs, n = _ranked_docs(spark, d)
+    each = None
+    for fold in range(5):
+        part = splits.assigned(docs, splits.kfold(n, 5, fold, 42)).select("doc_id", "split")
+        each = part if each is None else each.unionByName(part)
+    return each.groupBy("doc_id").agg(F.count_if(F.col("split") == "validation").alias("folds"), F.count_if(F.col("split") == "train").alias("trained"))
+
+
 @query("select (rank % 5) as fold, count(*) as n from (select row_number() over (order by doc_id) - 1 as rank from {documents}) group by 1")
 def given_folds_sizes(spark, d):
     docs, n = _ranked_docs(spark, d)
-    told = {i: i % 5 for i in range(n)}
-    sizes = None
+    told, sizes = np.arange(n) % 5, None
     for fold in range(5):
-        part = splits.assigned(docs, splits.given_folds(told, n, fold, 10, 42)).filter("split = 'test'").agg(F.count(F.lit(1)).alias("n")).select(F.lit(fold).cast("bigint").alias("fold"), "n")
+        part = splits.assigned(docs, splits.given_folds(told, fold, 10, 42)).filter("split = 'test'").agg(F.count(F.lit(1)).alias("n")).select(F.lit(fold).cast("bigint").alias("fold"), "n")
         sizes = part if sizes is None else sizes.unionByName(part)
     return sizes
 
@@ -648,9 +795,21 @@ def _label_keys(spark, d):
 
 @query()
 def epoch_mix(spark, d):
-    n = _table(spark, d, "documents").count()
-    rows = splits.epoch_mixture(n, n, splits.mixture_target(n, n, 1, 2), 3, 42)
-    return spark.createDataFrame(rows, "epoch int, pos bigint, place bigint")
+    """Documents as base rows, with half as many benchmark texts again in each epoch."""
+    base, n = _ranked_docs(spark, d)
+    pool = align.with_rank(_table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit("pool").alias("lang")), "doc_id")
+    size = pool.count()
+    epochs = splits.epoch_mixture(n, size, splits.mixture_target(n, size, 1, 2), 3, 42)
+    return splits.mixed(base.withColumn("lang", F.lit("base")), pool, epochs, n).select("epoch", "pos", "doc_id", F.col("lang").alias("origin"))
+
+
+_MIXED = "with n as (select count(*) as n from {documents}), p as (select count(*) as p from {benchmark}), s as (select n, least(cast(round_even(n / 2.0, 0) as bigint), p) as take from n, p)"
+
+
+@query(f"{_MIXED} select cast(e as int) as epoch, n as base, n as distinct_base, take as pool, take as distinct_pool, n + take as positions from s, (select unnest(range(1, 4)) as e)")
+def epoch_mix_sizes(spark, d):
+    own = lambda o, c: F.when(F.col("origin") == o, F.col(c))
+    return epoch_mix(spark, d).groupBy("epoch").agg(F.count(own("base", "doc_id")).alias("base"), F.count_distinct(own("base", "doc_id")).alias("distinct_base"), F.count(own("pool", "doc_id")).alias("pool"), F.count_distinct(own("pool", "doc_id")).alias("distinct_pool"), F.count_distinct("pos").alias("positions"))
 
 
 # ---- files ------------------------------------------------------------------------------------

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
 import tomllib
 import uuid
 from typing import NamedTuple
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.align import with_rank
+
 
 class Prompt(NamedTuple):
     system: str
@@ -20,11 +21,28 @@ class Prompt(NamedTuple):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, the folder that all machines share; local only if unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chartmill-")
+    """A new path under spark.checkpoint.dir, the folder that all machines share.
+
+    Unset is an error but where all runs on this machine.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        import tempfile
+
+        base = tempfile.mkdtemp(prefix="chartmill-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/chartmill/{name}-{uuid.uuid4().hex}"
 
 
+def version_key(name: Column) -> Column:
+    """Sorts names as text does, but numbers in them by their value: shard_2 before shard_10."""
+    parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
+    padded = lambda x: F.lpad(F.regexp_replace(x, "^0+", ""), 20, "0")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), padded(x)).otherwise(x)), "")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
@@ -37,27 +55,48 @@ def read_text(spark: SparkSession, path: str, missing_ok: bool = False) -> str:
     return spark.read.text(path, wholetext=True).first()["value"]
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True, objects_only: bool = True) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True, objects_only: bool = True, numbered: bool = False) -> DataFrame:
     """Rows of a JSON Lines file by an explicit schema; blank lines are skipped.
 
     strict raises on a line that is not JSON, naming it, and with objects_only on one that is not
-    an object; otherwise such lines are left out.
+    an object; otherwise such lines are left out. numbered adds line_no, from 1, and errors name it:
+    that takes a pass over the lines before.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_name").alias("file")).filter("line <> ''")
-    parsed = lines.withColumn("v", F.try_parse_json("line"))
+    if numbered:
+        lines = with_line_numbers(spark, path).select(F.trim("value").alias("line"), "file", (F.col("line_no") + 1).alias("line_no"))
+    else:
+        lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_name").alias("file"), F.lit(None).cast("bigint").alias("line_no"))
+    parsed = lines.filter("line <> ''").withColumn("v", F.try_parse_json("line"))
     bad = F.col("v").isNull()
     if objects_only:
         bad = bad | ~F.startswith(F.col("line"), F.lit("{"))
     if strict:
-        lines = parsed.withColumn("ok", F.when(bad, F.raise_error(F.concat(F.lit("not a JSON row in "), F.col("file"), F.lit(": "), F.substring("line", 1, 80))).cast("boolean")).otherwise(True)).filter("ok")
+        where = F.concat(F.col("file"), F.coalesce(F.concat(F.lit(" line "), F.col("line_no").cast("string")), F.lit("")))
+        lines = parsed.withColumn("ok", F.when(bad, F.raise_error(F.concat(F.lit("not a JSON row in "), where, F.lit(": "), F.substring("line", 1, 80))).cast("boolean")).otherwise(True)).filter("ok")
     else:
         lines = parsed.filter(~bad)
-    return lines.select(F.from_json("line", schema).alias("row")).select("row.*")
+    told = ["line_no", "row.*"] if numbered else ["row.*"]
+    return lines.select("line_no", F.from_json("line", schema).alias("row")).select(*told)
 
 
 def with_line_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (increasing in file order, from 0) and value of one file."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")
+    """line_no (from 0, without gaps), file and value of a file, or of a folder's files in version order."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("begin"), F.monotonically_increasing_id().alias("place"), "value")
+    number = lambda c: F.lpad(F.col(c).cast("string"), 20, "0")
+    keyed = lines.select("file", "value", F.concat_ws("\0", version_key(F.col("file")), number("begin"), number("place")).alias("key"))
+    return with_rank(keyed, "key", "line_no").select("line_no", "file", "value")
+
+
+def merged_shards(spark: SparkSession, pattern: str) -> DataFrame:
+    """place (from 0) and value of the lines of all files of a pattern, one file after the other in version order."""
+    return with_line_numbers(spark, pattern).select(F.col("line_no").alias("place"), "value")
+
+
+def read_fold_map(spark: SparkSession, base: str, key: str = "id") -> DataFrame:
+    """Each id and the fold whose JSON Lines file, in a folder fold=..., holds it; an id in two folds raises."""
+    told = read_partitions(spark, base, "fold=*", schema=f"{key} string").groupBy(key).agg(F.min("fold").alias("fold"), F.max("fold").alias("other"))
+    one = F.when(F.col("fold") != F.col("other"), F.raise_error(F.concat(F.lit("in two folds: "), F.col(key))).cast("int")).otherwise(F.col("fold"))
+    return told.select(key, one.cast("int").alias("fold"))
 
 
 def read_done_ids(spark: SparkSession, path: str, key: str = "id", strict: bool = False) -> DataFrame:
@@ -107,6 +146,17 @@ def read_settings(spark: SparkSession, path: str) -> dict[str, str]:
     return dict(r["value"].strip().split("=", 1) for r in rows)
 
 
+def prompt_user(text: str) -> str:
+    """The user part of a prompt file, also of one that is not sound TOML: its quoted block then."""
+    try:
+        return parse_prompt(text).user
+    except (tomllib.TOMLDecodeError, ValueError):
+        found = re.search(r"^\s*user\s*=\s*(\"{3}|'{3})(.*?)\1", text, re.M | re.S)
+        if not found or not found[2].strip():
+            raise ValueError("no user prompt") from None
+        return found[2].rstrip()
+
+
 def parse_prompt(text: str) -> Prompt:
     """System and user prompt of a TOML text; both must be there."""
     data = tomllib.loads(text)
@@ -190,17 +240,51 @@ def document_json(df: DataFrame) -> str:
     return json.dumps(df.first().asDict(recursive=True), ensure_ascii=False, indent=2, default=str)
 
 
+def write_document(df: DataFrame, path: str) -> str:
+    """Write a one-row result, such as a run's metrics, as an indented JSON document; gives its text."""
+    text = document_json(df)
+    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return text
+
+
+def write_report(df: DataFrame, path: str, by: list[str], digits: int = 6) -> None:
+    """A report table in the order of its columns `by`, as tab-separated text."""
+    write_tsv(df.orderBy(*by), path, digits)
+
+
 def sorted_by_numeric_id(df: DataFrame, key: str = "id") -> DataFrame:
-    """Rows by the id's number; an id that is no number raises. A range shuffle, spilled as needed."""
-    return df.orderBy(F.col(key).cast("bigint"))
+    """Rows by the id's number; an id that is missing or no number raises. A range shuffle, spilled as needed."""
+    number = F.expr(f"try_cast(`{key}` as bigint)")
+    bad = F.raise_error(F.concat(F.lit("no numeric id: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("bigint")
+    return df.withColumn("_number", F.coalesce(number, bad)).orderBy("_number").drop("_number")
 
 
 def replace_sorted(df: DataFrame, path: str, key: str = "id") -> None:
-    """Write rows in order beside the old folder, then put it in its place."""
+    """Write rows in order beside the old folder, then put it in its place.
+
+    The old folder is moved aside before, and deleted only once the new one stands: at every moment
+    one of the two is whole. A folder moved aside by a run that was cut off is put back first.
+    """
     spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    new, old = f"{path}.new", jvm.org.apache.hadoop.fs.Path(path)
-    write_jsonl(sorted_by_numeric_id(df, key), new)
-    fs = old.getFileSystem(conf)
-    fs.delete(old, True)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(new), old)
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    here, aside, new = of(path), of(f"{path}.old"), of(f"{path}.new")
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    restore_replaced(spark, path)
+    write_jsonl(sorted_by_numeric_id(df, key), f"{path}.new")
+    if fs.exists(here) and not fs.rename(here, aside):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(new, here):
+        fs.rename(aside, here)
+        raise OSError(f"{path} can't be replaced")
+    fs.delete(aside, True)
+
+
+def restore_replaced(spark: SparkSession, path: str) -> None:
+    """Put back what replace_sorted had moved aside when it was cut off."""
+    if exists(spark, f"{path}.old"):
+        of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if fs.exists(of(path)):  # the new one stood already
+            fs.delete(of(f"{path}.old"), True)
+        else:
+            fs.rename(of(f"{path}.old"), of(path))

@@ -73,7 +73,7 @@ def test_splits():
         n = np.bincount(f[y[:, label] > 0], minlength=5)
         assert n.max() - n.min() <= 2
     mix = splits.epoch_mixture(4, 10, 3, 2, 5)
-    assert [sum(1 for e, _, _ in mix if e == k) for k in (1, 2)] == [7, 7] and {p for e, _, p in mix if e == 1} >= {0, 1, 2, 3}
+    assert [len(e) for e in mix] == [7, 7] and set(mix[0].tolist()) >= {0, 1, 2, 3} and mix[0].tolist() != mix[1].tolist()
 
 
 def test_ranks_and_slices(spark):
@@ -139,3 +139,85 @@ def test_files(spark, tmp_path):
     files.replace_sorted(df, str(tmp_path / "s"))
     files.replace_sorted(df.limit(1), str(tmp_path / "s"))
     assert spark.read.json(str(tmp_path / "s")).count() == 1
+
+
+def test_sorted_replacement_survives_a_stop(spark, tmp_path):
+    path = tmp_path / "s"
+    df = spark.createDataFrame([("10", 1), ("9", 2), ("-3", 3)], "id string, x int")
+    files.replace_sorted(df, str(path))
+    assert [r["id"] for r in files.read_jsonl(spark, str(path), "id string", numbered=True).orderBy("line_no").collect()] == ["-3", "9", "10"]
+    for bad in ("x", None, "1.5e"):
+        with pytest.raises(Exception, match="no numeric id"):
+            files.replace_sorted(spark.createDataFrame([("1", 1), (bad, 2)], "id string, x int"), str(path))
+    assert files.read_jsonl(spark, str(path), "id string").count() == 3  # a failure leaves the old rows
+    path.rename(f"{path}.old")
+    files.restore_replaced(spark, str(path))
+    assert files.read_jsonl(spark, str(path), "id string").count() == 3 and not (tmp_path / "s.old").exists()
+    files.write_jsonl(df.limit(1), f"{path}.old")
+    files.restore_replaced(spark, str(path))
+    assert files.read_jsonl(spark, str(path), "id string").count() == 3 and not (tmp_path / "s.old").exists()
+
+
+def test_shards_lines_and_folds(spark, tmp_path):
+    for i in (1, 2, 10):
+        (tmp_path / f"shard_{i}.jsonl").write_text(f'{{"id": "{i}a"}}\n\n{{"id": "{i}b"}}\n')
+    merged = files.merged_shards(spark, str(tmp_path / "shard_*.jsonl")).orderBy("place").collect()
+    assert [r["place"] for r in merged] == list(range(9)) and [json.loads(r["value"])["id"] for r in merged if r["value"]] == ["1a", "1b", "2a", "2b", "10a", "10b"]
+    names = spark.createDataFrame([("a10b2",), ("a9b10",), ("a10b",), ("a010b1",), ("b",), ("",)], "n string")
+    assert [r["n"] for r in names.orderBy(files.version_key(F.col("n"))).collect()] == ["", "a9b10", "a10b", "a010b1", "a10b2", "b"]
+    (tmp_path / "bad.jsonl").write_text('{"id": "1"}\n\n[2]\n')
+    with pytest.raises(Exception, match="bad.jsonl line 3"):
+        files.read_jsonl(spark, str(tmp_path / "bad.jsonl"), "id string", numbered=True).collect()
+    rows = files.read_jsonl(spark, str(tmp_path / "bad.jsonl"), "id string", strict=False, numbered=True).collect()
+    assert [(r["line_no"], r["id"]) for r in rows] == [(1, "1")]
+    told = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1)], "id string, fold int")
+    told.write.partitionBy("fold").json(str(tmp_path / "folds"))
+    assert {r["id"]: r["fold"] for r in files.read_fold_map(spark, str(tmp_path / "folds")).collect()} == {"a": 0, "b": 1, "c": 1}
+    told.withColumn("fold", F.col("fold") + 1).write.mode("append").partitionBy("fold").json(str(tmp_path / "folds"))
+    with pytest.raises(Exception, match="in two folds"):
+        files.read_fold_map(spark, str(tmp_path / "folds")).collect()
+
+
+def test_prompt_files_that_are_not_sound():
+    sound = 'system = "s"\nuser = """\nAsk {x}  \n"""'
+    assert files.prompt_user(sound) == "Ask {x}" and files.prompt_user("system = oops\n" + sound.split("\n", 1)[1]) == "\nAsk {x}"
+    with pytest.raises(ValueError):
+        files.prompt_user("user = nothing")
+
+
+def test_retries_preview_and_named_jobs(spark):
+    waits, calls = [], []
+
+    def shaky(prompts):
+        calls.append(prompts)
+        if len(calls) < 4:
+            raise TimeoutError("busy")
+        return ["ok"] * len(prompts)
+
+    real, generation.time.sleep = generation.time.sleep, waits.append
+    try:
+        assert generation.with_retries(shaky, first_wait=10, most_wait=30, seed=1)([("a", "b")]) == ["ok"] and len(calls) == 4
+        first = list(waits)
+        assert [5 <= first[0] <= 10, 10 <= first[1] <= 20, 15 <= first[2] <= 30] == [True] * 3
+        calls.clear(), waits.clear()
+        generation.with_retries(shaky, first_wait=10, most_wait=30, seed=1)([("a", "b")])
+        assert waits == first
+        with pytest.raises(KeyError):
+            generation.with_retries(lambda p: {}[1], seed=1)([("a", "b")])
+        calls.clear()
+        with pytest.raises(TimeoutError):
+            generation.with_retries(shaky, attempts=2)([("a", "b")])
+    finally:
+        generation.time.sleep = real
+    rows = spark.createDataFrame([("1", "x", "c"), ("2", None, "c"), ("3", "y", "c"), ("4", "z", "c")], "id string, text string, context string")
+    shown, counts = generation.preview(rows, rows.filter("id = '1'"), "<{{INPUT}}>", 1)
+    assert [tuple(r) for r in shown.collect()] == [("3", "<y>")] and counts.first().asDict() == {"total": 4, "done": 1, "missing": 1, "todo": 2}
+    made = {n: generation.named_job(n, rows, None, "s").count() for n in generation.JOBS}
+    assert made == dict.fromkeys(generation.JOBS, 3)
+
+
+def test_report_in_its_order(spark, tmp_path):
+    df = spark.createDataFrame([("b", 1.0), ("a", 2.0), ("c", 0.5)], "k string, x double").repartition(3)
+    files.write_report(df, str(tmp_path / "r"), ["k"])
+    lines = files.with_line_numbers(spark, str(tmp_path / "r")).orderBy("line_no").collect()
+    assert [r["value"].split("\t")[0] for r in lines if not r["value"].startswith("k\t")] == ["a", "b", "c"]
