@@ -21,6 +21,10 @@ PRIMITIVE = re.compile(r"true|false|null|[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?")
 NUMERAL = re.compile(r"[+-]?\d+(\.\d+)?")
 GAP = re.compile(r"\s*")
 NEXT_KEY = re.compile(r'\s*(?=")')
+RUN = re.compile(r"[^,}]*")
+#: What may stand after a value: a comma and a key, a comma without one, or the object's end.
+AFTER = re.compile(r'\s*(?:(?P<more>,\s*(?="))|(?P<lost>,)|(?P<over>\}))?')
+CLOSED_BY = {"{": "}", "[": "]"}
 THOUGHTS = [re.compile(rf"<{t}>.*?</{t}>", re.S) for t in ("think", "thinking")]
 
 
@@ -77,30 +81,26 @@ def _skip_damage(text: str, at: int) -> int:
 
 
 def _value(text: str, at: int) -> tuple[str | None, int, bool]:
-    """(value or None if damaged, where to go on, whether the object ends) from a value's begin."""
-    n = len(text)
-    if at >= n:
-        return None, n, False
-    if text[at] == '"':
-        m = STRING.match(text, at)
-        end = m.end() if m else None
-    elif text[at] in "{[":
-        close = _closing(text, at, text[at], "}" if text[at] == "{" else "]")
-        end = None if close is None else close + 1
+    """(value or None if damaged, where to go on, whether the object ends) from a value's begin.
+
+    A value is sound if it ends, and if it is no string or container, if it is a primitive. What
+    follows decides the rest: a comma that no key follows damages the value before it.
+    """
+    opening, sound = text[at : at + 1], True
+    if opening == '"':
+        whole = STRING.match(text, at)
+        stop = whole and whole.end()
+    elif opening in CLOSED_BY:
+        close = _closing(text, at, opening, CLOSED_BY[opening])
+        stop = close and close + 1
     else:
-        end = next((i for i in range(at, n) if text[i] in ",}"), n)
-        if not PRIMITIVE.fullmatch(text[at:end].strip()):
-            if end < n and text[end] == ",":
-                m = NEXT_KEY.match(text, end + 1)
-                return None, m.end() if m else _skip_damage(text, end + 1), False
-            return None, end + 1, end < n
-    if end is None:
-        return None, n, False
-    value, end = text[at:end].strip(), GAP.match(text, end).end()
-    if end < n and text[end] == ",":
-        m = NEXT_KEY.match(text, end + 1)
-        return (value, m.end(), False) if m else (None, _skip_damage(text, end + 1), False)
-    return value, end, end < n and text[end] == "}"
+        stop = RUN.match(text, at).end()
+        sound = bool(PRIMITIVE.fullmatch(text[at:stop].strip()))
+    if stop is None:
+        return None, len(text), False
+    after = AFTER.match(text, stop)
+    go_on = _skip_damage(text, after.end()) if after["lost"] else after.end()
+    return text[at:stop].strip() if sound and not after["lost"] else None, go_on, bool(after["over"])
 
 
 def sound_pairs(text: str) -> str:

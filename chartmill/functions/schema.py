@@ -6,10 +6,10 @@ from __future__ import annotations
 DATE_KEYS = ("Timestamp",)
 NUMBER_KEYS = ("TumorSize", "PDL1", "PETCT", "RadiationDose", "RadiationFractions")
 INTEGER_KEYS = ("TumorSize", "RadiationFractions")
-LIST_KEYS = tuple(
-    "ProcedureDiagnosis Site TNM_T TNM_N SitesOfMetastasis TNM_M Stage Recurrence SiteOfRecurrence HistologicalGrading Reaction ToxicityGrade "
-    "Cytology TBB TBLB EBUS_TBNA Oncomine TTF1 p40 p63 CK5_6 NapsinA EGFR ALK ROS1 RET BRAF KRAS HER2 PathologicalExamination "
-    "AssessedAnatomicSite NTRK NGS ROSE Treatment".split()
+LIST_KEYS = (
+    "ProcedureDiagnosis", "Site", "TNM_T", "TNM_N", "SitesOfMetastasis", "TNM_M", "Stage", "Recurrence", "SiteOfRecurrence", "HistologicalGrading",
+    "Reaction", "ToxicityGrade", "Cytology", "TBB", "TBLB", "EBUS_TBNA", "Oncomine", "TTF1", "p40", "p63", "CK5_6", "NapsinA", "EGFR", "ALK", "ROS1",
+    "RET", "BRAF", "KRAS", "HER2", "PathologicalExamination", "AssessedAnatomicSite", "NTRK", "NGS", "ROSE", "Treatment",
 )
 #: Keys whose null or empty value gives no atom.
 SILENT_KEYS = ("Timestamp", "Site")
@@ -24,12 +24,59 @@ EVAL_KEYS = tuple(sorted({EVAL_ALIASES.get(k, k) for k in KEY_TYPES}))
 PROMPT_KEYS = tuple(sorted(set(KEY_TYPES) - set(UNPROMPTED_KEYS)))
 REPORTED_KEYS = tuple(k for k in EVAL_KEYS if k not in UNREPORTED_KEYS)
 
-# Parts of diagnosis labels, and labels that only match themselves.
-PLACES = {"右上葉": ("右", "上葉"), "右中葉": ("右", "中葉"), "右下葉": ("右", "下葉"), "左上葉": ("左", "上葉"), "左下葉": ("左", "下葉"), "右肺門部": ("右", "肺門部"), "左肺門部": ("左", "肺門部"), "右": ("右", None), "左": ("左", None), "": (None, None)}
-HISTOLOGIES = ("腺がん", "扁平上皮がん", "小細胞がん", "大細胞がん")
-EXACT_LABELS = ("肺がん疑い", "肺がん骨転移", "その他")
-
-#: Canonical label -> (side, region, histology, special): each place with each histology or none.
+# Canonical label -> (side, region, histology, special).
 DIAGNOSES: dict[str, tuple[str | None, str | None, str | None, str | None]] = {
-    f"{place}肺{hist or 'がん'}": (side, region, hist, None) for place, (side, region) in PLACES.items() for hist in (*HISTOLOGIES, None)
-} | {label: (None, None, None, label) for label in EXACT_LABELS}
+    "右上葉肺腺がん": ("右", "上葉", "腺がん", None),
+    "右上葉肺扁平上皮がん": ("右", "上葉", "扁平上皮がん", None),
+    "右上葉肺小細胞がん": ("右", "上葉", "小細胞がん", None),
+    "右上葉肺大細胞がん": ("右", "上葉", "大細胞がん", None),
+    "右上葉肺がん": ("右", "上葉", None, None),
+    "右中葉肺腺がん": ("右", "中葉", "腺がん", None),
+    "右中葉肺扁平上皮がん": ("右", "中葉", "扁平上皮がん", None),
+    "右中葉肺小細胞がん": ("右", "中葉", "小細胞がん", None),
+    "右中葉肺大細胞がん": ("右", "中葉", "大細胞がん", None),
+    "右中葉肺がん": ("右", "中葉", None, None),
+    "右下葉肺腺がん": ("右", "下葉", "腺がん", None),
+    "右下葉肺扁平上皮がん": ("右", "下葉", "扁平上皮がん", None),
+    "右下葉肺小細胞がん": ("右", "下葉", "小細胞がん", None),
+    "右下葉肺大細胞がん": ("右", "下葉", "大細胞がん", None),
+    "右下葉肺がん": ("右", "下葉", None, None),
+    "左上葉肺腺がん": ("左", "上葉", "腺がん", None),
+    "左上葉肺扁平上皮がん": ("左", "上葉", "扁平上皮がん", None),
+    "左上葉肺小細胞がん": ("左", "上葉", "小細胞がん", None),
+    "左上葉肺大細胞がん": ("左", "上葉", "大細胞がん", None),
+    "左上葉肺がん": ("左", "上葉", None, None),
+    "左下葉肺腺がん": ("左", "下葉", "腺がん", None),
+    "左下葉肺扁平上皮がん": ("左", "下葉", "扁平上皮がん", None),
+    "左下葉肺小細胞がん": ("左", "下葉", "小細胞がん", None),
+    "左下葉肺大細胞がん": ("左", "下葉", "大細胞がん", None),
+    "左下葉肺がん": ("左", "下葉", None, None),
+    "右肺門部肺腺がん": ("右", "肺門部", "腺がん", None),
+    "右肺門部肺扁平上皮がん": ("右", "肺門部", "扁平上皮がん", None),
+    "右肺門部肺小細胞がん": ("右", "肺門部", "小細胞がん", None),
+    "右肺門部肺大細胞がん": ("右", "肺門部", "大細胞がん", None),
+    "右肺門部肺がん": ("右", "肺門部", None, None),
+    "左肺門部肺腺がん": ("左", "肺門部", "腺がん", None),
+    "左肺門部肺扁平上皮がん": ("左", "肺門部", "扁平上皮がん", None),
+    "左肺門部肺小細胞がん": ("左", "肺門部", "小細胞がん", None),
+    "左肺門部肺大細胞がん": ("左", "肺門部", "大細胞がん", None),
+    "左肺門部肺がん": ("左", "肺門部", None, None),
+    "右肺腺がん": ("右", None, "腺がん", None),
+    "右肺扁平上皮がん": ("右", None, "扁平上皮がん", None),
+    "右肺小細胞がん": ("右", None, "小細胞がん", None),
+    "右肺大細胞がん": ("右", None, "大細胞がん", None),
+    "右肺がん": ("右", None, None, None),
+    "左肺腺がん": ("左", None, "腺がん", None),
+    "左肺扁平上皮がん": ("左", None, "扁平上皮がん", None),
+    "左肺小細胞がん": ("左", None, "小細胞がん", None),
+    "左肺大細胞がん": ("左", None, "大細胞がん", None),
+    "左肺がん": ("左", None, None, None),
+    "肺腺がん": (None, None, "腺がん", None),
+    "肺扁平上皮がん": (None, None, "扁平上皮がん", None),
+    "肺小細胞がん": (None, None, "小細胞がん", None),
+    "肺大細胞がん": (None, None, "大細胞がん", None),
+    "肺がん": (None, None, None, None),
+    "肺がん疑い": (None, None, None, "肺がん疑い"),
+    "肺がん骨転移": (None, None, None, "肺がん骨転移"),
+    "その他": (None, None, None, "その他"),
+}

@@ -14,14 +14,14 @@ FOLD_FROM, FOLD_TO = "、，＋､", ",,+,"
 DIGITS = "０１２３４５６７８９"
 SPECIAL_TOKEN = r"<\|(?:start|end|message|channel|return|call|constrain|endoftext)\|>"
 FINAL_CHANNEL = r"(?s)<\|channel\|>final<\|message\|>(.*?)(?:<\|return\|>|<\|end\|>|<\|call\|>|\z)"
-#: Date shapes: pattern, and whether month and day are there.
+# The accepted date shapes, and how many of year, month and day they hold.
 DATE_SHAPES = [
-    (r"(\d{4})[/.](\d{1,2})[/.](\d{1,2})", 3),
-    (r"(\d{4})-(\d{1,2})-(\d{1,2})", 3),
-    (r"(\d{4})年\s*(\d{1,2})月\s*(\d{1,2})日", 3),
-    (r"(\d{4})[/.-](\d{1,2})", 2),
-    (r"(\d{4})年\s*(\d{1,2})月", 2),
-    (r"(\d{4})", 1),
+    (r"^\s*(\d{4})[\/\.](\d{1,2})[\/\.](\d{1,2})\s*$", 3),
+    (r"^\s*(\d{4})-(\d{1,2})-(\d{1,2})\s*$", 3),
+    (r"^\s*(\d{4})年\s*(\d{1,2})月\s*(\d{1,2})日\s*$", 3),
+    (r"^\s*(\d{4})[\/\.-](\d{1,2})\s*$", 2),
+    (r"^\s*(\d{4})年\s*(\d{1,2})月\s*$", 2),
+    (r"^\s*(\d{4})\s*$", 1),
 ]
 
 
@@ -44,7 +44,7 @@ def normalize_date(c: Column) -> Column:
     plain = F.translate(text, DIGITS, "0123456789")
     out = text
     for pattern, parts in reversed(DATE_SHAPES):
-        whole = rf"^{SPACE}*{pattern.replace(chr(92) + 's', SPACE)}{SPACE}*$"
+        whole = pattern.replace(r"\s", SPACE)
         padded = [F.lpad(F.regexp_extract(plain, whole, i + 1), 4 if i == 0 else 2, "0") for i in range(parts)]
         out = F.when(plain.rlike(whole), F.concat_ws("-", *padded)).otherwise(out)
     return F.when(c.isNull(), F.lit("")).otherwise(out)
