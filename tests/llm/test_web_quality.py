@@ -336,9 +336,31 @@ def test_pipeline(spark, tmp_path):
 
 
 def test_repeated_ids_in_the_pipeline(spark):
-    docs = spark.createDataFrame([(1, "b c d", "en", "x", 1), (1, "a b c", "en", "x", 1), (2, "q r s", "en", "x", 1), (None, "t", "en", "x", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    same = "one two three four five six seven"
+    rows = [(1, "b c d", 1), (1, "a b c", 2), (2, "q r s", 3), (None, "t", 4), (None, same, 5), (7, same, 6), (6, same, 7), (6, same, 7), (8, None, 8), (8, "", 9)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "a.b"])
     out = pipeline_stages.near_duplicates_stage(spark, docs, "")
-    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(1, "a b c"), (2, "q r s")] and out.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"], r["a.b"]) for r in out.collect()), key=str)
+    assert got == sorted([r for r in set(rows) if r[2] not in (5, 6)], key=str) and out.columns == docs.columns
+    plain = docs.filter("doc_id in (2, 7)")
+    assert sorted(r["doc_id"] for r in pipeline_stages.near_duplicates_stage(spark, plain, "").collect()) == [2, 7]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Null ids, null languages, missing texts, repeated rows and names of any kind go through each stage."""
+    good, bad = quality_rows()
+    rows = [(i, t, lang, "s", i) for i, t, lang in good] + [(None, "water stone of and which that with thing house river the the river and that", None, None, 1), (None, None, None, None, 2), (5000, "", "en", "s", 3), (5001, "!! 12", None, "s", 4), (10, good[10][1], "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `n.chars` long")
+    spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        kept = out.collect()
+        assert out.columns == docs.columns and len(kept) >= 250, name
+        assert any(r["doc_id"] is None and r["text"] for r in kept), name
+        texts = {t for _, t, *_ in rows}
+        assert {r["text"] for r in kept} <= texts, name
+    assert pipeline_stages.packing_stage(spark, docs, "").agg(F.sum("length")).first()[0] > 1000
+    assert pipeline_stages.packing_stage(spark, docs.filter("false"), "").count() == 0
 
 
 def test_registry():
