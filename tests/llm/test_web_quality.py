@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 from itertools import product
 
@@ -291,21 +292,47 @@ def test_near_pairs(spark, threshold):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def plain_spots(text):
+    """The set of spot signatures as tuples of words, by the definition."""
+    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+    anchors = set(spotsigs.ANCHORS)
+    found = set()
+    for i, w in enumerate(words):
+        after = [x for x in words[i + 1 :] if x not in anchors][: spotsigs.CHAIN]
+        if w in anchors and after:
+            found.add((w, *after))
+    if not found and words:
+        k = min(spotsigs.CHAIN, len(words))
+        found = {("run", *words[i : i + k]) for i in range(len(words) - k + 1)}
+    return found
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_edited_texts(spark):
     rnd = random.Random(8)
-    words = "the river of house stone and water with bridge é日".split()
+    words = "the River of house Stone and water, with bridge é日 x1 Und DER".split()
     texts = {i * 3: " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 40))) for i in range(120)}
-    texts[50] = None
+    texts |= {50: None, 53: "", 56: "!!", 59: "river", 62: "the the", 65: "the river " * 4000, 68: texts[30], 71: "river stone bridge water"}
     docs = spark.createDataFrame([(i, t, 1) for i, t in texts.items()], "doc_id long, text string, bucket int")
     out = {r["doc_id"]: r for r in spotsigs.edit_likeness(docs).collect()}
     order = sorted(texts, reverse=True)
     assert sorted(out) == sorted(texts)
+    prints = {}
     for k, i in enumerate(order):
         text, following = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
         half = len(text) // 2
-        assert out[i]["edited_sha256"] == hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest() and out[i]["n_chars"] == len(text)
-        a, b = set(spotsigs.decode(out[i]["fingerprint"]).tolist()), set(spotsigs.decode(out[order[(k + 1) % len(order)]]["fingerprint"]).tolist())
-        assert out[i]["near_next"] == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+        new = text[: len(text) - half] + following[:half]
+        own, changed, other = plain_spots(text), plain_spots(new), plain_spots(following)
+        r = out[i]
+        assert r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest() and r["n_chars"] == len(text)
+        assert r["n_signatures"] == len(own) == len(spotsigs.decode(r["fingerprint"])) and len(spotsigs.decode(r["edited_fingerprint"])) == len(changed)
+        assert r["near_edited"] == pytest.approx(likeness(own, changed)) and r["near_next"] == pytest.approx(likeness(own, other))
+        for s, f in ((own, r["fingerprint"]), (changed, r["edited_fingerprint"])):
+            assert prints.setdefault(frozenset(s), f) == f
+    assert len(set(prints.values())) == len(prints)
 
 
 def test_edited_odd_rows(spark):
