@@ -52,6 +52,18 @@ def unmatched(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
     return left.join(right.select(key).distinct(), key, "left_anti")
 
 
+def members(df: DataFrame, ids: DataFrame, key: str = "id", keep: bool = True) -> DataFrame:
+    """The rows whose id is in a set, or with keep=False those whose id is not; a null id is in none."""
+    return df.join(ids.select(key).distinct(), key, "left_semi" if keep else "left_anti")
+
+
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """df, or a ValueError if it has no rows."""
+    if df.isEmpty():
+        raise ValueError(f"no {what} left")
+    return df
+
+
 def aligned(gold: DataFrame, pred: DataFrame, key: str = "id", strict: bool = False) -> DataFrame:
     """Rows of ids on both sides; strict raises when an id is on one side only."""
     if not strict:

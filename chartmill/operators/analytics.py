@@ -29,13 +29,10 @@ def dense_counts(doc_key: DataFrame, keys: list[str] | None = None) -> DataFrame
 
     The grid is documents x keys, which is the result's own size; keys are a closed small set.
     """
-    names = F.array(*(F.lit(k) for k in keys)) if keys else None
-    docs = doc_key.select("condition", "seed", "doc_id").distinct()
-    if names is None:
-        every = [r["key"] for r in doc_key.select("key").distinct().orderBy("key").collect()]  # the key universe
-        names = F.array(*(F.lit(k) for k in every))
-    grid = docs.select("*", F.explode(names).alias("key"))
     summed = doc_key.groupBy("condition", "seed", "doc_id", "key").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
+    every = keys or [r["key"] for r in summed.select("key").distinct().orderBy("key").collect()]  # the key universe
+    docs = summed.select("condition", "seed", "doc_id").distinct()  # from the sums: what is read is read once
+    grid = docs.select("*", F.explode(F.array(*(F.lit(k) for k in every))).alias("key"))
     return grid.join(summed, ["condition", "seed", "doc_id", "key"], "left").na.fill(0, ["tp", "fp", "fn"])
 
 

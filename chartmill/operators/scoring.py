@@ -135,19 +135,32 @@ def match_document(gold: list[dict[str, dict]], pred: list[dict[str, dict]], hie
         held[1] += p - tp
         held[2] += g - tp
 
-    shared: dict[tuple[int, int], dict[str, int]] = {}
-    score = np.zeros((len(gold), len(pred)), np.int64)
+    # Only atoms that both sides hold make a score: each predicted event is found by its atoms.
+    where: dict[tuple, list[tuple[int, int]]] = {}
+    plain = lambda event: ((k, atoms) for k, atoms in event.items() if not (hierarchical and k == DIAGNOSIS))
+    for j, p in enumerate(pred):
+        for k, atoms in plain(p):
+            for a, n in atoms.items():
+                where.setdefault((k, a), []).append((j, n))
+    score = [[0] * len(pred) for _ in gold]
     for i, g in enumerate(gold):
-        for j, p in enumerate(pred):
-            found = shared[i, j] = {k: key_matches(k, g[k], p[k], hierarchical) for k in g.keys() & p.keys()}
-            score[i, j] = sum(found.values())
-    chosen = best_assignment(score) if gold and pred else np.full(len(gold), -1)
+        row = score[i]
+        for k, atoms in plain(g):
+            for a, n in atoms.items():
+                for j, m in where.get((k, a), ()):
+                    row[j] += min(n, m)
+        if hierarchical and DIAGNOSIS in g:
+            for j, p in enumerate(pred):
+                if DIAGNOSIS in p:
+                    row[j] += _label_pairs(g[DIAGNOSIS], p[DIAGNOSIS])
+    chosen = best_assignment(np.array(score, np.int64)) if gold and pred else np.full(len(gold), -1)
     left = set(range(len(pred)))
     for i, j in enumerate(chosen.tolist()):
         p = pred[j] if 0 <= j < len(pred) else {}
         left.discard(j)
         for k in gold[i].keys() | p.keys():
-            add(k, shared.get((i, j), {}).get(k, 0), sum(gold[i].get(k, {}).values()), sum(p.get(k, {}).values()))
+            both = key_matches(k, gold[i][k], p[k], hierarchical) if k in gold[i] and k in p else 0
+            add(k, both, sum(gold[i].get(k, {}).values()), sum(p.get(k, {}).values()))
     for j in left:
         for k, atoms in pred[j].items():
             add(k, 0, 0, sum(atoms.values()))
@@ -193,6 +206,16 @@ def matched_counts(gold: DataFrame, pred: DataFrame, hierarchical: bool = False)
     return joined.select("id", F.explode(match_arrays(F.col("g"), F.col("p"), hierarchical)).alias("c")).select("id", "c.*")
 
 
+def matched_items(items: DataFrame, hierarchical: bool = False, side: str = "side") -> DataFrame:
+    """As matched_counts, from one relation of single items (id, ord, key, tag, atom) with a side, gold or
+    pred: dealt by id once, which both groupings reuse, and without a join."""
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    events = items.repartition(parts, "id").groupBy("id", side, "ord").agg(F.collect_list(F.struct("key", "tag", "atom")).alias("atoms"))
+    of = lambda s: F.collect_list(F.when(F.col(side) == s, F.struct("ord", "atoms")))
+    both = events.groupBy("id").agg(of("gold").alias("g"), of("pred").alias("p")).filter((F.size("g") > 0) & (F.size("p") > 0))
+    return both.select("id", F.explode(match_arrays(F.col("g"), F.col("p"), hierarchical)).alias("c")).select("id", "c.*")
+
+
 def score(gold: DataFrame, pred: DataFrame, hierarchical: bool = False) -> DataFrame:
     """Per-document and key counts of parsed documents (id, events): one join, then one UDF."""
     side = lambda df, name: df.select("id", event_atoms(F.col("events")).alias(name))

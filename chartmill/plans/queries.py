@@ -140,9 +140,7 @@ def id_sets(spark, d):
 def _event_items(spark, d):
     """Items of two sides; predicted events are in another order than the reference ones."""
     it = fx.spark_sql(spark, d, f"with li as ({fx.LINES}) {fx.EXPLODED_ITEMS}")
-    shaped = it.select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("side") == "pred", -F.col("ord")).otherwise(F.col("ord")).alias("ord"), "key", F.lit("str").alias("tag"), "atom", "side")
-    each = shaped.groupBy("id", "ord", "key", "tag", "atom", "side").agg(F.count(F.lit(1)).alias("n"))
-    return each.filter("side = 'gold'").drop("side"), each.filter("side = 'pred'").drop("side")
+    return it.select(F.col("doc_id").cast("string").alias("id"), F.when(F.col("side") == "pred", -F.col("ord")).otherwise(F.col("ord")).alias("ord"), "key", F.lit("str").alias("tag"), "atom", "side")
 
 
 _MOST_EVENTS = 16
@@ -165,12 +163,12 @@ _BY_DOC = f"with a as ({_assignment_sql(_MATCHED_PAIRS, f'select doc from ({_SID
 
 @query()
 def score_hungarian_per_key(spark, d):
-    return scoring.per_key(scoring.matched_counts(*_event_items(spark, d)), digits=9)
+    return scoring.per_key(scoring.matched_items(_event_items(spark, d)), digits=9)
 
 
 @query(_BY_DOC)
 def score_hungarian_by_doc(spark, d):
-    return scoring.micro(scoring.matched_counts(*_event_items(spark, d)), ["id"], 9)
+    return scoring.micro(scoring.matched_items(_event_items(spark, d)), ["id"], 9)
 
 
 _LABELS = "(values " + ", ".join("({}, {})".format(i, ", ".join("null" if x is None else f"'{x}'" for x in (label, *node))) for i, (label, node) in enumerate(schema.DIAGNOSES.items())) + ") as t(i, label, side, region, hist, special)"
@@ -340,7 +338,8 @@ def lenient_parse(spark, d):
 # What a damaged text still tells of each line: of 3, an object's last key is lost; of 4, the size;
 # of 5 and 7 all; in 6 all events stand twice.
 _TOLD = f"with li as ({fx.LINES}) select doc_id, ord, '\"Timestamp\": \"' || substr(cast(l_shipdate as varchar), 1, 10) || '\"' as ts, case when doc_id % 8 <> 4 then '\"TumorSize\": ' || cast(cast(l_quantity as bigint) as varchar) end as size, '\"Recurrence\": \"' || case l_returnflag when 'R' then 'あり' else 'なし' end || '\"' as rec, case when doc_id % 8 = 3 and l_suppkey % 4 <> 0 then null else case l_linenumber % 3 when 0 then '手術, 化学療法' when 1 then '手術、放射線療法' else '未知療法' end end as treat, l_suppkey % 4 = 0 and doc_id % 8 <> 3 as unknown, case doc_id % 8 when 6 then 2 else 1 end as times from li where doc_id % 8 not in (5, 7)"
-_CANONICAL = f"with t as (select doc_id, concat('{{{{', array_to_string(list_filter([ts, size, rec, '\"Treatment\": \"' || treat || '\"', case when unknown then '\"UnknownKey\": \"x\"' end], lambda x: x is not null), ', '), '}}}}') as t, min(ord) as o from ({_TOLD}) group by 1, 2) select doc_id, concat('[', string_agg(t, ', ' order by o), ']') as pred_annotation from t group by doc_id union all select distinct l_orderkey, '[]' from {{lineitem}} where l_orderkey % 8 in (5, 7)"
+_TOLD_TEXTS = f"select doc_id, ord, concat('{{{{', array_to_string(list_filter([ts, size, rec, '\"Treatment\": \"' || treat || '\"', case when unknown then '\"UnknownKey\": \"x\"' end], lambda x: x is not null), ', '), '}}}}') as t from ({_TOLD})"
+_CANONICAL = f"with t as (select doc_id, t, min(ord) as o from ({_TOLD_TEXTS}) group by 1, 2) select doc_id, concat('[', string_agg(t, ', ' order by o), ']') as pred_annotation from t group by doc_id union all select distinct l_orderkey, '[]' from {{lineitem}} where l_orderkey % 8 in (5, 7)"
 _CLEANED = f"select doc_id, concat('{{{{', array_to_string(list_filter([ts, size, rec, '\"Treatment\": \"' || case treat when '手術、放射線療法' then '手術, 放射線療法' when '手術, 化学療法' then treat end || '\"'], lambda x: x is not null), ', '), '}}}}') as t, ord, treat, unknown, times from ({_TOLD})"
 
 
@@ -349,6 +348,28 @@ def canonicalize_prediction(spark, d):
     return _damaged(spark, d).select("doc_id", lj.canonicalize_prediction(F.col("raw"), 64).alias("pred_annotation"))
 
 
+_CAPPED = f"with t as (select doc_id, t, min(ord) as o from ({_TOLD_TEXTS}) group by 1, 2), r as (select *, row_number() over (partition by doc_id order by o) as r from t) select doc_id, concat('[', string_agg(t, ', ' order by o), ']') as pred_annotation from r where r <= 2 group by doc_id union all select distinct l_orderkey, '[]' from {{lineitem}} where l_orderkey % 8 in (5, 7)"
+
+
+@query(_CAPPED)
+def canonicalize_capped(spark, d):
+    return _damaged(spark, d).select("doc_id", lj.canonicalize_prediction(F.col("raw"), 2).alias("pred_annotation"))
+
+
+_EVENT_ITEMS = (
+    f"with li as ({fx.LINES}), x as (select doc_id, ord, 'Timestamp' as key, 'str' as tag, [substr(cast(l_shipdate as varchar), 1, 10)] as atoms from li union all select doc_id, ord, 'TumorSize', 'num_int', [cast(cast(l_quantity as bigint) as varchar)] from li "
+    "union all select doc_id, ord, 'Recurrence', 'str', [case l_returnflag when 'R' then 'あり' else 'なし' end] from li union all select doc_id, ord, 'Treatment', 'str', case l_linenumber % 3 when 0 then ['手術', '化学療法'] when 1 then ['手術', '放射線療法'] else ['未知療法'] end from li "
+    "union all select doc_id, ord, 'UnknownKey', 'str', ['x'] from li where l_suppkey % 4 = 0) select doc_id as id, cast(ord - 1 as int) as ord, key, tag, unnest(atoms) as atom, cast(1 as bigint) as n from x"
+)
+
+
+@query(_EVENT_ITEMS)
+def event_items(spark, d):
+    """Entries of all events as normalised atoms."""
+    parsed = _annotations(spark, d).select(F.col("doc_id").alias("id"), lj.parse_events(F.col("annotation"))["events"].alias("events"))
+    return scoring.items(parsed)
+
+
 @query(f"with t as (select doc_id, t, min(ord) as o from ({_CLEANED}) group by 1, 2) select doc_id as id, '右上葉に結節' as progress_note, concat('[', string_agg(t, ', ' order by o), ']') as annotation from t group by doc_id")
 def clean_pipeline(spark, d):
     return cleaning.cleaned(_clean_stages(spark, d))
@@ -410,6 +431,12 @@ def infer_site(spark, d):
     return fx.spark_sql(spark, d, _SITE_NOTES).select("id", cleaning.infer_site(F.col("note"), "右").alias("site"))
 
 
+@query("select c_custkey as id, case c_custkey % 6 when 0 then '左肺上葉' when 2 then '左肺上葉' when 3 then '左肺下葉' when 4 then '左肺門部' end as site from {customer}")
+def infer_site_left(spark, d):
+    notes = fx.spark_sql(spark, d, _SITE_NOTES.replace("右", "左").replace("#10R", "#10L"))
+    return notes.select("id", cleaning.infer_site(F.col("note"), "左").alias("site"))
+
+
 @query(f"select id, concat('肺, ', case id % 6 when 0 then '右肺上葉' when 3 then '右肺下葉' when 4 then '右肺門部' else '' end) as site from ({_SITE_NOTES}) where id % 6 in (0, 3, 4) union all select id, '肺' from ({_SITE_NOTES}) where id % 6 not in (0, 3, 4)")
 def clean_site(spark, d):
     events = lj.parse_events(F.lit('[{"Site": "左肺, 右肺 , 左肺"}]'))["events"]
@@ -491,6 +518,11 @@ def final_channel(spark, d):
     return fx.spark_sql(spark, d, fx.CHANNELS).select("id", text.alias("final_text"), found.alias("found"))
 
 
+@query(f"select id, case when role = 'assistant' then {_STRIP.format(x='text')} else " + _STRIP.format(x="regexp_replace(raw_pred_annotation, '<\\|(start|end|message|channel|return|call|constrain|endoftext)\\|>', ' ', 'g')") + f" end as text from ({fx.CHANNELS})")
+def fallback_text(spark, d):
+    return fx.spark_sql(spark, d, fx.CHANNELS).select("id", tx.channel_text(F.col("raw_pred_annotation"))[0].alias("text"))
+
+
 @query(f"select id, {_STRIP.format(x='text')} as text from ({fx.CHANNELS})")
 def strip_thoughts(spark, d):
     raw = F.concat(F.lit("<think>a\nb</think> "), F.col("text"), F.lit("<thinking>"), F.col("role"), F.lit("</thinking>"))
@@ -517,6 +549,13 @@ def training_texts(spark, d):
     return _table(spark, d, "documents").select(F.col("doc_id").alias("id"), tx.training_text(GUIDELINE, F.col("text"), F.col("source"), "</s>").alias("training_text"), tx.chat_text(SYSTEM, F.col("text")).alias("chat_text"))
 
 
+@query("select doc_id as id, 'List every event as JSON.' || chr(10) || chr(10) || '### Input:' || chr(10) || coalesce(text, '') || chr(10) || chr(10) || '### Output:' || chr(10) as prompt, '【例1】' || chr(10) || lang || chr(10) || chr(10) || '【例2】' || chr(10) || coalesce(text, '') as examples, '【例1の入力】' || chr(10) || source as labelled from {documents}")
+def structured_prompts(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    told = [tx.render_structured(GUIDELINE, text).alias("prompt"), tx.render_examples(F.array("lang", text)).alias("examples"), tx.render_examples(F.array("source"), "入力").alias("labelled")]
+    return _table(spark, d, "documents").select(F.col("doc_id").alias("id"), *told)
+
+
 @query("select p_partkey as id, array_to_string(list_transform(range(1, cast(p_size as bigint) + 1), lambda x: case when p_size >= 8 and x <= 8 then -100 else x end), ',') as labels, array_to_string(list_transform(range(1, 33), lambda x: case when x <= p_size then x else -100 end), ',') as padded from {part}")
 def label_masks(spark, d):
     ids = F.sequence(F.lit(1), F.col("p_size"))
@@ -554,6 +593,14 @@ def resume_anti(spark, d):
     return align.unmatched(docs, _table(spark, d, "labels").select(F.col("doc_id").alias("id")))
 
 
+@query("select doc_id, lang, doc_id in (select doc_id from {labels}) as labelled from {documents}")
+def member_rows(spark, d):
+    """Rows whose id is in a set, and the others."""
+    docs, known = _table(spark, d, "documents").select("doc_id", "lang"), _table(spark, d, "labels").select("doc_id")
+    inside, outside = align.members(docs, known, "doc_id"), align.members(docs, known, "doc_id", keep=False)
+    return inside.withColumn("labelled", F.lit(True)).unionByName(outside.withColumn("labelled", F.lit(False)))
+
+
 @query("select o_orderkey, o_totalprice from {orders} order by o_orderkey limit 500 offset 250")
 def slice_range(spark, d):
     return align.slice_rows(_table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 250, 750)
@@ -828,6 +875,20 @@ def tsv_roundtrip(spark, d):
     return files.read_tsv(spark, path, "n_nationkey int, n_name string, region string", ("region",))
 
 
+@query(f"select cast(ord as bigint) as ord, cast(step as bigint) as step, train_loss, val_loss from ({fx.TRAIN_LOG})")
+def csv_losses(spark, d):
+    path = files.scratch(spark, "losses")
+    fx.spark_sql(spark, d, fx.TRAIN_LOG).select("ord", "step", "train_loss", "val_loss").write.option("header", True).csv(path)
+    return files.read_csv(spark, path, "ord bigint, step bigint, train_loss double, val_loss double")
+
+
+@query("select distinct doc_id from {labels}")
+def strict_done_ids(spark, d):
+    path = files.scratch(spark, "done")
+    files.write_jsonl(_table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), "quality"), path)
+    return files.read_done_ids(spark, path, strict=True).select(F.col("id").cast("bigint").alias("doc_id"))
+
+
 @query(f"select cast(seed as int) as seed, cast(fold as int) as fold, cast(count(*) as bigint) as n, cast(sum(tp) as bigint) as tp from ({fx.DOC_KEYS}) group by 1, 2")
 def partition_discovery(spark, d):
     path = files.scratch(spark, "runs")

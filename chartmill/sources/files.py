@@ -213,14 +213,14 @@ def load_candidates(schema_text: str | None = None, user: str | None = None) ->
 
 
 def read_contexts(spark: SparkSession, patterns: list[str]) -> DataFrame:
-    """path, text of context files of any pattern, once each; JSON files are laid out over lines."""
+    """path, text of context files of any pattern, once each and by path; JSON files are laid out over lines."""
 
     def laid_out(path: str, text: str) -> str:
         if path.lower().endswith(".json"):
             return json.dumps(json.loads(text), ensure_ascii=False, indent=2)
         return text.rstrip()
 
-    raw = spark.read.text(patterns, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").dropDuplicates(["path"])
+    raw = spark.read.text(patterns, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value").dropDuplicates(["path"]).orderBy("path")
     return raw.select("path", F.udf(laid_out, "string", useArrow=True)("path", "value").alias("text"))
 
 

@@ -216,6 +216,15 @@ def test_retries_preview_and_named_jobs(spark):
     assert made == dict.fromkeys(generation.JOBS, 3)
 
 
+def test_rows_that_must_be_there(spark):
+    df = spark.createDataFrame([("a",), (None,), ("b",)], "id string")
+    assert align.require_rows(df, "rows") is df
+    with pytest.raises(ValueError, match="no pairs left"):
+        align.require_rows(df.filter("false"), "pairs")
+    ids = spark.createDataFrame([("a",), ("a",), (None,)], "id string")
+    assert [r["id"] for r in align.members(df, ids).collect()] == ["a"] and {r["id"] for r in align.members(df, ids, keep=False).collect()} == {"b", None}
+
+
 def test_report_in_its_order(spark, tmp_path):
     df = spark.createDataFrame([("b", 1.0), ("a", 2.0), ("c", 0.5)], "k string, x double").repartition(3)
     files.write_report(df, str(tmp_path / "r"), ["k"])
