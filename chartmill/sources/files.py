@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import re
 import tomllib
@@ -33,7 +35,22 @@ def scratch(spark: SparkSession, name: str) -> str:
 
         base = tempfile.mkdtemp(prefix="chartmill-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/chartmill/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/chartmill/{name}-{uuid.uuid4().hex}"
+    _scratch.append((spark, path))
+    return path
+
+
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def remove_scratch() -> None:
+    """Remove what stands under paths that scratch gave; results that still read it must be written before."""
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        while _scratch:
+            spark, name = _scratch.pop()
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def version_key(name: Column) -> Column:
