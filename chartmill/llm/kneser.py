@@ -39,7 +39,7 @@ HELD_OUT = 4
 #: Bits a symbol that a text may cost beyond the quantile, as few held-out texts show it only roughly.
 SLACK_BITS = 0.4
 #: Symbols of the language's median cost that every text is judged with; they settle short texts.
-PRIOR_SYMBOLS = 32
+PRIOR_SYMBOLS = 128
 #: A symbol's cost travels beside its n-gram in one number: under 64 bits, in steps of 2^-17.
 COST_BITS, COST_STEPS = 23, 1 << 17
 

@@ -27,8 +27,9 @@ LEAST_COUNT = 8
 #: Bytes that are scored in step; each stretch begins MAX_ORDER bytes early.
 STRETCH = 256
 UNKNOWN = "und"
-#: Symbols at a language's usual cost that a text is judged with beside its own.
-PRIOR_SYMBOLS = 64
+#: Symbols at a language's usual cost that a text is judged with beside its own: one odd word, such as
+#: a key, must not turn a short clean text away.
+PRIOR_SYMBOLS = 256
 #: A text in no learned language costs more than the median of its nearest one's training texts by
 #: so many times the distance from their median to their upper quartile, and by LEAST_BITS at least.
 SPREAD, LEAST_BITS = 10.0, 1.5
