@@ -42,6 +42,10 @@ ALIKE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 STOPS = set("ul ol dl table article section div body main".split())
 
 
+#: Bytes of all hosts' winning paths that may be broadcast.
+MOST_BROADCAST = 32 << 20
+
+
 def path_number(above: int, kind: str) -> int:
     """A path by the number of what stands above and its last part: 64 bits, however deep it is."""
     return xxhash.xxh3_64_intdigest(kind, seed=above & (1 << 64) - 1) - (1 << 63)
@@ -258,11 +262,14 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Null or empty html, or html without text, gives an empty text; a null url votes with the empty
     host. Repeated rows repeat; other columns are ignored. The winning paths, a row per host, are
-    written first, so that Spark broadcasts them only if their size allows it.
+    written first and broadcast if they take at most MOST_BROADCAST bytes; else Spark deals pages by host.
     """
     prepare(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     winners = materialise(host_paths(pages.select("url", "html")), "host-paths")
     key = F.lower(F.coalesce(F.regexp_extract("url", HOST.pattern, 1), F.lit("")))
+    size = winners.agg(F.sum(64 + F.length("host") + 8 * F.coalesce(F.size("usual"), F.lit(0))).alias("bytes")).first()["bytes"]
+    if (size or 0) <= MOST_BROADCAST:
+        winners = F.broadcast(winners)
     joined = pages.withColumn("host", key).join(winners, "host", "left").select("page_id", "url", "html", "path", "usual")
     return joined.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
