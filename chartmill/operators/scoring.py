@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -210,10 +212,29 @@ def matched_items(items: DataFrame, hierarchical: bool = False, side: str = "sid
     """As matched_counts, from one relation of single items (id, ord, key, tag, atom) with a side, gold or
     pred: dealt by id once, which both groupings reuse, and without a join."""
     parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    events = items.repartition(parts, "id").groupBy("id", side, "ord").agg(F.collect_list(F.struct("key", "tag", "atom")).alias("atoms"))
-    of = lambda s: F.collect_list(F.when(F.col(side) == s, F.struct("ord", "atoms")))
-    both = events.groupBy("id").agg(of("gold").alias("g"), of("pred").alias("p")).filter((F.size("g") > 0) & (F.size("p") > 0))
-    return both.select("id", F.explode(match_arrays(F.col("g"), F.col("p"), hierarchical)).alias("c")).select("id", "c.*")
+    told = F.struct((F.col(side) == "gold").alias("gold"), F.col("ord").cast("bigint").alias("ord"), "key", "tag", "atom")
+    docs = items.repartition(parts, "id").groupBy("id").agg(F.collect_list(told).alias("items"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("items")
+            gold, order, key, tag, atom = (c.to_pylist() for c in lists.flatten().flatten())
+            ends = pa.compute.cumulative_sum(lists.value_lengths()).to_pylist()
+            out: list[tuple] = []
+            begin = 0
+            for name, end in zip(batch.column("id").to_pylist(), ends, strict=True):
+                sides: tuple[dict, dict] = {}, {}
+                for i in range(begin, end):
+                    own = sides[0 if gold[i] else 1].setdefault(order[i], {}).setdefault(key[i], {})
+                    own[tag[i], atom[i]] = own.get((tag[i], atom[i]), 0) + 1
+                begin = end
+                if sides[0] and sides[1]:
+                    g, p = ([side[o] for o in sorted(side)] for side in sides)
+                    out += [(name, k, *n) for k, n in sorted(match_document(g, p, hierarchical).items())]
+            kinds = [batch.schema.field("id").type, pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["id", "key", "tp", "fp", "fn"])
+
+    return docs.select(F.col("id").cast("string").alias("id"), "items").mapInArrow(run, PER_KEY)
 
 
 def score(gold: DataFrame, pred: DataFrame, hierarchical: bool = False) -> DataFrame:
