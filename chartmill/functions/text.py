@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ DATE_SHAPES = [
 ]
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: what a lambda names again is computed again."""
+    return F.transform(F.array(value), body)[0]
+
+
 def trim_u(c: Column) -> Column:
     """Without white space of any script at both ends."""
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
@@ -185,14 +192,31 @@ def render_examples(texts: Column, label: str | None = None) -> Column:
 
 
 def mask_labels(ids: Column, needles: list[list[int]], ignore: int = -100) -> Column:
-    """Labels: ids after the first needle found, the needles tried in turn; before it `ignore`."""
-    cut = F.lit(0)
-    for needle in reversed(needles):
-        k = len(needle)
-        want = F.array(*(F.lit(x) for x in needle))
-        at = F.array_position(F.transform(F.when(F.size(ids) >= k, F.sequence(F.lit(1), F.size(ids) - (k - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.slice(ids, i, F.lit(k)) == want), True)
-        cut = F.when(at > 0, at - 1 + k).otherwise(cut)
-    return F.transform(ids, lambda x, i: F.when(i < cut, F.lit(ignore)).otherwise(x))
+    """Labels: ids after the first needle found, the needles tried in turn; before it `ignore`.
+
+    ids and the cut are computed once, so a row takes time in proportion to its ids.
+    """
+
+    def place(held: Column, needle: list[int]) -> Column:
+        begins = F.when(F.size(held) >= len(needle), F.sequence(F.lit(0), F.size(held) - len(needle))).otherwise(F.array().cast("array<int>"))
+
+        def fits(i: Column) -> Column:
+            out = F.lit(True)
+            for j, x in enumerate(needle):
+                out = out & F.get(held, i + j).eqNullSafe(F.lit(x))
+            return out
+
+        return F.array_position(F.transform(begins, fits), True)
+
+    def cut(held: Column, left: list[list[int]]) -> Column:
+        if not left:
+            return F.lit(0)
+        return bound(place(held, left[0]), lambda at: F.when(at > 0, at - 1 + len(left[0])).otherwise(cut(held, left[1:])))
+
+    def masked(held: Column) -> Column:
+        return bound(cut(held, needles).cast("int"), lambda n: F.concat(F.array_repeat(F.lit(ignore), n), F.slice(held, n + 1, F.size(held))))
+
+    return bound(ids, masked)
 
 
 def pad_labels(labels: Column, length: Column, ignore: int = -100) -> Column:

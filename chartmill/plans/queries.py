@@ -310,9 +310,9 @@ def permutation_test(spark, d):
 
 
 # ---- event lists ------------------------------------------------------------------------------
-def _spread(df: DataFrame) -> DataFrame:
-    """Texts dealt over all tasks, as files would be: parsing them costs far more than moving them."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+def _spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows dealt over all tasks, as files would be: what is done with them costs far more than moving them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def _annotations(spark, d):
@@ -560,7 +560,7 @@ def structured_prompts(spark, d):
 def label_masks(spark, d):
     ids = F.sequence(F.lit(1), F.col("p_size"))
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
-    return _table(spark, d, "part").select(F.col("p_partkey").alias("id"), text(tx.mask_labels(ids, [[7, 8]])).alias("labels"), text(tx.pad_labels(ids, F.lit(32))).alias("padded"))
+    return _spread(_table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").select(F.col("p_partkey").alias("id"), text(tx.mask_labels(ids, [[7, 8]])).alias("labels"), text(tx.pad_labels(ids, F.lit(32))).alias("padded"))
 
 
 # ---- rows, joins and slices -------------------------------------------------------------------
