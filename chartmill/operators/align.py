@@ -105,7 +105,15 @@ def with_rank(df: DataFrame, order: str, name: str = "rank") -> DataFrame:
         some = [r["_k"] for r in cuts.filter(F.pmod(F.xxhash64("_k"), F.lit(share)) == 0).distinct().orderBy("_k").collect()]
         edges = some[:: max(1, len(some) // int(parts))][1:]
         own = F.col(order)
-        dealt = df.withColumn("_b", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= own)) if edges else F.lit(0))
+
+        def upto(low: int, high: int) -> Column:
+            """How many of the edges are not past a value, by halving."""
+            if low == high:
+                return F.lit(low)
+            mid = (low + high) // 2
+            return F.when(own < F.lit(edges[mid]), upto(low, mid)).otherwise(upto(mid + 1, high))
+
+        dealt = df.withColumn("_b", F.when(own.isNull(), F.lit(-1)).otherwise(upto(0, len(edges))))
     dealt = dealt.withColumn("_b", F.coalesce(F.col("_b"), F.lit(-1)).cast("int"))  # nulls come first
     sizes = {r["_b"]: r["n"] for r in dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per range
     before, total = {}, 0
