@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,50 @@ def counts(joint: DataFrame, by: list[str]) -> DataFrame:
     return joint.groupBy(*by).agg(F.sum("tp").alias("tp"), (F.sum("pred_n") - F.sum("tp")).alias("fp"), (F.sum("gold_n") - F.sum("tp")).alias("fn"))
 
 
+#: Up to so many rows or columns plain lists are faster than arrays.
+SMALL = 32
+
+
+def _small_assignment(score: list[list[int]]) -> list[int]:
+    """What best_assignment gives, step by step the same, on lists."""
+    n, m = len(score), len(score[0])
+    nearest = [row.index(max(row)) for row in score]
+    if len(set(nearest)) == n:
+        return nearest
+    width, most = max(n, m), max(map(max, score))
+    cost = [[most - x for x in row] + [most] * (width - m) for row in score]
+    row_price, column_price, owner = [0] * n, [0] * width, [-1] * width
+    far = np.iinfo(np.int64).max // 4
+    for begin in range(n):
+        reach, via, open_ = [far] * width, [-1] * width, list(range(width))
+        settled: list[int] = []
+        row, base, last = begin, 0, -1
+        while row >= 0:
+            own, ahead, least, pick = cost[row], base - row_price[row], far + 1, -1
+            for j in open_:
+                through = ahead + own[j] - column_price[j]
+                if through < reach[j]:
+                    reach[j], via[j] = through, last
+                if reach[j] < least:
+                    least, pick = reach[j], j
+            last, base, row = pick, least, owner[pick]
+            settled.append(pick)
+            open_.remove(pick)
+        row_price[begin] += base
+        for j in settled[:-1]:
+            row_price[owner[j]] += base - reach[j]
+            column_price[j] -= base - reach[j]
+        while last >= 0:
+            before = via[last]
+            owner[last] = owner[before] if before >= 0 else begin
+            last = before
+    out = [-1] * n
+    for j, i in enumerate(owner):
+        if i >= 0:
+            out[i] = j
+    return out
+
+
 def best_assignment(score: np.ndarray) -> np.ndarray:
     """Column of each row in an assignment of the greatest total, by shortest augmenting paths.
 
@@ -78,6 +123,8 @@ def best_assignment(score: np.ndarray) -> np.ndarray:
     n, m = score.shape
     if not n or not m:
         return np.full(n, -1)
+    if max(n, m) <= SMALL:
+        return np.array(_small_assignment(score.tolist()), np.int64)
     padded = np.zeros((n, max(n, m)), np.int64)
     padded[:, :m] = score
     cost = padded.max() - padded
@@ -115,9 +162,22 @@ def best_assignment(score: np.ndarray) -> np.ndarray:
 def _label_pairs(gold: dict, pred: dict) -> int:
     """Most diagnosis units that can be paired where the predicted one refines the other."""
     g, p = ([a for a, k in side.items() for _ in range(k)] for side in (gold, pred))
-    fit = np.array([[int(refines_text(b[1], a[1])) for b in p] for a in g], np.int64).reshape(len(g), len(p))
-    chosen = best_assignment(fit)
-    return int(sum(fit[i, j] for i, j in enumerate(chosen) if 0 <= j < len(p)))
+    fit = [[int(_refines(b[1], a[1])) for b in p] for a in g]
+    if not any(map(any, fit)):
+        return 0
+    if len(g) == 1 or len(p) == 1:
+        return 1
+    chosen = _assigned(fit)
+    return sum(fit[i][j] for i, j in enumerate(chosen) if 0 <= j < len(p))
+
+
+_refines = lru_cache(1 << 14)(refines_text)
+
+
+def _assigned(score: list[list[int]]) -> list[int]:
+    if max(len(score), len(score[0])) <= SMALL:
+        return _small_assignment(score)
+    return best_assignment(np.array(score, np.int64)).tolist()
 
 
 def key_matches(key: str, gold: dict, pred: dict, hierarchical: bool) -> int:
@@ -155,9 +215,9 @@ def match_document(gold: list[dict[str, dict]], pred: list[dict[str, dict]], hie
             for j, p in enumerate(pred):
                 if DIAGNOSIS in p:
                     row[j] += _label_pairs(g[DIAGNOSIS], p[DIAGNOSIS])
-    chosen = best_assignment(np.array(score, np.int64)) if gold and pred else np.full(len(gold), -1)
+    chosen = _assigned(score) if gold and pred else [-1] * len(gold)
     left = set(range(len(pred)))
-    for i, j in enumerate(chosen.tolist()):
+    for i, j in enumerate(chosen):
         p = pred[j] if 0 <= j < len(pred) else {}
         left.discard(j)
         for k in gold[i].keys() | p.keys():
@@ -169,26 +229,40 @@ def match_document(gold: list[dict[str, dict]], pred: list[dict[str, dict]], hie
     return out
 
 
-def _multisets(events: Iterable) -> list[dict[str, dict]]:
-    """Event multisets {key: {(tag, atom): n}} in event order; events without items keep their place."""
-    out: list[dict[str, dict]] = []
-    for _, atoms in sorted(events, key=lambda e: e[0]):
-        held: dict[str, dict] = {}
-        for key, tag, atom in atoms:
-            own = held.setdefault(key, {})
-            own[tag, atom] = own.get((tag, atom), 0) + 1
-        out.append(held)
-    return out
+def _multisets(lists: pa.Array) -> Iterator[list[dict[str, dict]]]:
+    """Event multisets {key: {(tag, atom): n}} of each document, in event order; events without items keep their place."""
+    events = lists.flatten()
+    order, atoms = events.field("ord").to_pylist(), events.field("atoms")
+    key, tag, atom = (c.to_pylist() for c in atoms.flatten().flatten())
+    ends, begin, at = pa.compute.cumulative_sum(pa.compute.fill_null(atoms.value_lengths(), 0)).to_pylist(), 0, 0
+    for n in lists.value_lengths().to_pylist():
+        told = []
+        for i in range(begin, begin + (n or 0)):
+            held: dict[str, dict] = {}
+            for j in range(at, ends[i]):
+                own = held.setdefault(key[j], {})
+                own[tag[j], atom[j]] = own.get((tag[j], atom[j]), 0) + 1
+            at = ends[i]
+            told.append((order[i], held))
+        begin += n or 0
+        yield [held for _, held in sorted(told, key=lambda x: x[0])]
+
+
+_FOUND = pa.struct([("key", pa.string()), ("tp", pa.int64()), ("fp", pa.int64()), ("fn", pa.int64())])
 
 
 def match_arrays(gold: Column, pred: Column, hierarchical: bool = False) -> Column:
     """array<struct<key, tp, fp, fn>> of one document's event atoms, by optimal alignment."""
 
-    def one(g: list, p: list) -> list[dict]:
-        found = match_document(_multisets(g), _multisets(p), hierarchical)
-        return [{"key": k, "tp": t, "fp": a, "fn": b} for k, (t, a, b) in sorted(found.items())]
+    def matched(gold: pa.Array, pred: pa.Array) -> pa.Array:
+        rows, ends = [], [0]
+        for g, p in zip(_multisets(gold), _multisets(pred), strict=True):
+            rows += [(k, *n) for k, n in sorted(match_document(g, p, hierarchical).items())]
+            ends.append(len(rows))
+        found = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_FOUND)], fields=list(_FOUND))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found, type=pa.list_(pa.field("element", _FOUND)))
 
-    return F.udf(one, "array<struct<key: string, tp: bigint, fp: bigint, fn: bigint>>", useArrow=True)(gold, pred)
+    return F.arrow_udf(matched, "array<struct<key: string, tp: bigint, fp: bigint, fn: bigint>>")(gold, pred)
 
 
 def matched_counts(gold: DataFrame, pred: DataFrame, hierarchical: bool = False) -> DataFrame:

@@ -201,8 +201,9 @@ def score_hierarchical(spark, d):
     """Documents of several diagnosis units per event, matched by refinement."""
     labels = F.array(*(F.lit(x) for x in schema.DIAGNOSES))
     li = fx.spark_sql(spark, d, fx.LINES).select(F.col("doc_id").cast("string").alias("id"), F.col("ord"), labels[(F.col("l_partkey") % 53).cast("int")].alias("g"), labels[((F.col("l_partkey") + F.col("l_linenumber") % 3 * 10) % 53).cast("int")].alias("p"))
-    side = lambda c: li.groupBy("id", F.floor((F.col("ord") + 1) / 2).cast("int").alias("ord"), F.lit(scoring.DIAGNOSIS).alias("key"), F.lit("str").alias("tag"), F.col(c).alias("atom")).agg(F.count(F.lit(1)).alias("n"))
-    return scoring.per_key(scoring.matched_counts(side("g"), side("p"), hierarchical=True), digits=9)
+    told = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), F.col(c).alias("atom")) for side, c in (("gold", "g"), ("pred", "p")))))
+    units = li.select("id", F.floor((F.col("ord") + 1) / 2).cast("int").alias("ord"), F.lit(scoring.DIAGNOSIS).alias("key"), F.lit("str").alias("tag"), told.alias("x"))
+    return scoring.per_key(scoring.matched_items(units.select("id", "ord", "key", "tag", "x.atom", "x.side"), hierarchical=True), digits=9)
 
 
 # ---- seeds, folds and resampling --------------------------------------------------------------

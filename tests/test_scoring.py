@@ -9,6 +9,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from chartmill.functions import schema
 from chartmill.functions.lenient_json import parse_events
 from chartmill.operators import align, analytics, cleaning, generation, resampling, scoring, splits
 from chartmill.sources import files
@@ -230,3 +231,39 @@ def test_report_in_its_order(spark, tmp_path):
     files.write_report(df, str(tmp_path / "r"), ["k"])
     lines = files.with_line_numbers(spark, str(tmp_path / "r")).orderBy("line_no").collect()
     assert [r["value"].split("\t")[0] for r in lines if not r["value"].startswith("k\t")] == ["a", "b", "c"]
+
+
+def test_line_numbers_of_many_blocks(spark, tmp_path):
+    """Files cut into blocks of some lines, numbered where they lie: no line is sorted or moved."""
+    (tmp_path / "b").mkdir()
+    for k in (10, 2, 1):
+        (tmp_path / "b" / f"part_{k}.txt").write_text("".join(f"{k}-{i}\n" for i in range(300)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256b")
+    try:
+        lines = files.with_line_numbers(spark, str(tmp_path / "b"))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "hashpartitioning" not in plan
+        rows = lines.orderBy("line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["line_no"], r["value"]) for r in rows] == list(enumerate(f"{k}-{i}" for k in (1, 2, 10) for i in range(300)))
+
+
+def test_small_assignments_are_those_of_arrays(monkeypatch):
+    """Lists and arrays choose the same columns, ties too."""
+    rng = np.random.default_rng(5)
+    for _ in range(500):
+        score = rng.integers(0, rng.integers(1, 6), rng.integers(1, 9, 2))
+        small = scoring.best_assignment(score).tolist()
+        monkeypatch.setattr(scoring, "SMALL", 0)
+        assert scoring.best_assignment(score).tolist() == small
+        monkeypatch.undo()
+
+
+def test_hierarchical_units_of_many_events(spark):
+    """Seventeen events a side with two units each, in turned order: every unit finds its partner."""
+    labels = list(schema.DIAGNOSES)
+    rows = [("d", o if side == "gold" else -o, scoring.DIAGNOSIS, "str", labels[(2 * o + u) % len(labels)], side) for side in ("gold", "pred") for o in range(17) for u in range(2)]
+    out = scoring.matched_items(spark.createDataFrame(rows, "id string, ord int, key string, tag string, atom string, side string"), hierarchical=True).first()
+    assert (out["tp"], out["fp"], out["fn"]) == (34, 0, 0)
