@@ -64,3 +64,14 @@ def test_events_column(spark):
     assert [out[i]["status"] for i in (1, 2, 3, 4)] == ["ok", "null", "scalar", "failed"]
     (event,) = out[1]["events"]
     assert [(e["key"], e["jtype"], e["raw"], e["items"], e["tenth"]) for e in event["entries"]] == [("a", "list", "[1, 'x']", ["1", "x"], None), ("b", "null", None, None, None), ("c", "float", "1.25", None, "1.2"), ("d", "bool", "True", None, "1.0")]
+
+
+def test_values_that_are_equal_stay_apart(spark):
+    """1, 1.0, true, 0.0 and -0.0 in one batch keep their own texts; repeated values are told alike in every row."""
+    text = '[{"b": 1, "a": 1.0, "c": true}, {"a": 0.0, "b": -0.0, "c": false, "d": 0, "e": {"z": [1], "a": 1}}, 5, {}]'
+    out = spark.createDataFrame([(i, text) for i in range(3)] + [(3, None)], "i int, t string").select("i", lj.parse_events("t")["events"].alias("e")).orderBy("i").collect()
+    for r in out[:3]:
+        assert [[e["json"] for e in ev["entries"]] for ev in r["e"]] == [["1", "1.0", "true"], ["0.0", "-0.0", "false", "0", '{"z": [1], "a": 1}'], []]
+        assert [ev["sig"] for ev in r["e"]] == ['{"a":1.0,"b":1,"c":true}', '{"a":0.0,"b":-0.0,"c":false,"d":0,"e":{"a":1,"z":[1]}}', "{}"]
+        assert [ev["ord"] for ev in r["e"]] == [0, 1, 2]
+    assert out[3]["e"] == []
