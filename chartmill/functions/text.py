@@ -12,6 +12,7 @@ from .lenient_json import tenth
 
 # White space that is trimmed, separators and digits that are folded.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WHITE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"  # the same, one by one
 FOLD_FROM, FOLD_TO = "、，＋､", ",,+,"
 DIGITS = "０１２３４５６７８９"
 SPECIAL_TOKEN = r"<\|(?:start|end|message|channel|return|call|constrain|endoftext)\|>"
@@ -25,6 +26,7 @@ DATE_SHAPES = [
     (r"^\s*(\d{4})年\s*(\d{1,2})月\s*$", 2),
     (r"^\s*(\d{4})\s*$", 1),
 ]
+ISO_DATE = r"^\d{4}-\d\d-\d\d\z"  # what stays as it is
 
 
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -34,7 +36,7 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trim_u(c: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def is_blank(c: Column) -> Column:
@@ -47,14 +49,17 @@ def fold_separators(c: Column) -> Column:
 
 def normalize_date(c: Column) -> Column:
     """Zero-padded partial ISO date of six accepted shapes; other text folded; null and blank empty."""
-    text = fold_separators(trim_u(c))
-    plain = F.translate(text, DIGITS, "0123456789")
-    out = text
-    for pattern, parts in reversed(DATE_SHAPES):
-        whole = pattern.replace(r"\s", SPACE)
-        padded = [F.lpad(F.regexp_extract(plain, whole, i + 1), 4 if i == 0 else 2, "0") for i in range(parts)]
-        out = F.when(plain.rlike(whole), F.concat_ws("-", *padded)).otherwise(out)
-    return F.when(c.isNull(), F.lit("")).otherwise(out)
+
+    def told(text: Column, plain: Column) -> Column:
+        out = text
+        for pattern, parts in reversed(DATE_SHAPES):
+            whole = pattern.replace(r"\s", SPACE)
+            padded = [F.lpad(F.regexp_extract(plain, whole, i + 1), 4 if i == 0 else 2, "0") for i in range(parts)]
+            out = F.when(plain.rlike(whole), F.concat_ws("-", *padded)).otherwise(out)
+        return out
+
+    shaped = bound(fold_separators(trim_u(c)), lambda text: bound(F.translate(text, DIGITS, "0123456789"), lambda plain: told(text, plain)))
+    return F.when(c.isNull(), F.lit("")).when(c.rlike(ISO_DATE), c).otherwise(shaped)
 
 
 def _tokens(c: Column, pattern: str) -> Column:
@@ -63,12 +68,12 @@ def _tokens(c: Column, pattern: str) -> Column:
 
 def split_list_tokens(c: Column) -> Column:
     """Tokens between commas and plus signs of either width; null gives none."""
-    return F.coalesce(_tokens(fold_separators(trim_u(c)), "[,+]+"), F.array().cast("array<string>"))
+    return F.coalesce(_tokens(fold_separators(c), "[,+]+"), F.array().cast("array<string>"))
 
 
 def split_value_tokens(c: Column) -> Column:
     """Tokens between commas only; plus signs and half-width commas stay."""
-    return F.coalesce(_tokens(trim_u(c), "[,、，]+"), F.array().cast("array<string>"))
+    return F.coalesce(_tokens(c, "[,、，]+"), F.array().cast("array<string>"))
 
 
 def normalize_token(key: Column, token: Column) -> Column:
@@ -92,8 +97,8 @@ def number_atom(key: Column, value: Column, decimal: Column) -> Column:
     return F.when(key.isin(*schema.INTEGER_KEYS), whole).otherwise(F.struct(F.lit("num_float").alias("tag"), decimal.alias("atom")))
 
 
-def _texts(values: Column) -> Column:
-    return F.transform(values, lambda t: F.struct(F.lit("str").alias("tag"), t.alias("atom")))
+def _text(value: Column) -> Column:
+    return F.struct(F.lit("str").alias("tag"), value.alias("atom"))
 
 
 def normalize_atoms(key: Column, jtype: Column, raw: Column, items: Column, decimal: Column) -> Column:
@@ -104,27 +109,25 @@ def normalize_atoms(key: Column, jtype: Column, raw: Column, items: Column, deci
     """
     none = F.array().cast("array<struct<tag: string, atom: string>>")
     silent = key.isin(*schema.SILENT_KEYS)
-    blank = F.when(silent, none).otherwise(_texts(F.array(F.lit(""))))
-    date = normalize_date(raw)
-    dates = F.when(date == "", none).otherwise(_texts(F.array(date)))
-    text = fold_separators(trim_u(raw))
+    blank = F.when(silent, none).otherwise(F.array(_text(F.lit(""))))
+    dates = bound(normalize_date(raw), lambda date: F.when(date == "", none).otherwise(F.array(_text(date))))
     told = F.when(jtype.isin("int", "float"), raw.try_cast("double")).when(jtype == "bool", (raw == "True").cast("double"))
-    numbers = (
-        F.when(told.isNotNull(), F.array(number_atom(key, told, decimal)))
-        .when(jtype != "str", _texts(F.array(trim_u(raw))))
-        .when(text == "", blank)
-        .when(is_numeric(text), F.array(number_atom(key, F.translate(text, DIGITS, "0123456789").try_cast("double"), decimal)))
-        .otherwise(_texts(F.array(text)))
+    spelt = bound(
+        fold_separators(trim_u(raw)),
+        lambda text: F.when(text == "", blank).when(is_numeric(text), F.array(number_atom(key, F.translate(text, DIGITS, "0123456789").try_cast("double"), decimal))).otherwise(F.array(_text(text))),
+    )
+    numbers = bound(told, lambda n: F.when(n.isNotNull(), F.array(number_atom(key, n, decimal))).when(jtype != "str", F.array(_text(trim_u(raw)))).otherwise(spelt))
+    lists = bound(
+        F.when(jtype == "list", F.flatten(F.transform(items, split_list_tokens))).otherwise(split_list_tokens(raw)),
+        lambda tokens: F.when(F.size(tokens) > 0, F.transform(tokens, lambda t: _text(normalize_token(key, t)))).when(trim_u(raw) == "", blank).otherwise(F.array(_text(normalize_token(key, raw)))),
     )
-    tokens = F.when(jtype == "list", F.flatten(F.transform(items, split_list_tokens))).otherwise(split_list_tokens(raw))
-    lists = F.when(F.size(tokens) > 0, _texts(F.transform(tokens, lambda t: normalize_token(key, t)))).when(trim_u(raw) == "", blank).otherwise(_texts(F.array(normalize_token(key, raw))))
-    nulls = F.when(silent, none).otherwise(_texts(F.array(F.lit("None"))))
+    nulls = F.when(silent, none).otherwise(F.array(_text(F.lit("None"))))
     return (
         F.when(jtype == "null", nulls)
         .when(key.isin(*schema.DATE_KEYS), dates)
         .when(key.isin(*schema.NUMBER_KEYS), numbers)
         .when(key.isin(*schema.LIST_KEYS), lists)
-        .otherwise(_texts(F.array(trim_u(raw))))
+        .otherwise(F.array(_text(trim_u(raw))))
     )
 
 

@@ -29,6 +29,14 @@ def test_dates(spark):
     assert spark.range(1).select(text.normalize_date(F.lit(None).cast("string"))).first()[0] == ""
 
 
+def test_trimming_is_that_of_the_pattern(spark):
+    """Every character of the Basic Multilingual Plane at both ends, against the class of white space."""
+    texts = [f"{c}a{c}b{c}{c}" for c in (chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000)] + ["", " ", "\u3000 \n", "a \n", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.filter(~text.trim_u(F.col("t")).eqNullSafe(F.regexp_replace("t", rf"^{text.SPACE}+|{text.SPACE}+$", ""))).count() == 0
+    assert spark.range(1).select(text.normalize_date(F.lit("2025-06-01\n"))).first()[0] == "2025-06-01"
+
+
 def test_atoms(spark):
     rows = [(i, json.dumps([{k: v}], ensure_ascii=False)) for i, (k, v, _) in enumerate(ATOMS)]
     e = parse_events(F.col("t"))["events"][0]["entries"][0]
