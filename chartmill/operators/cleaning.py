@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lenient_json as lj
-from ..functions.text import split_value_tokens, trim_u
+from ..functions.text import bound, split_value_tokens, trim_u
 
 # Phrases that name a site, by side, and the sites of bronchial segments.
 SITE_PHRASES = {
@@ -31,13 +31,20 @@ def infer_site(text: Column, side: str) -> Column:
 
 def _rebuild(event: Column, entries: Column) -> Column:
     """An event with other entries; its signature is told anew from keys in order."""
-    pairs = F.array_sort(F.transform(entries, lambda e: F.concat(e["name"], F.lit(":"), e["json"])))
-    return F.struct(event["ord"].alias("ord"), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("sig"), entries.alias("entries"))
+
+    def built(held: Column) -> Column:
+        pairs = F.array_sort(F.transform(held, lambda e: F.concat(e["name"], F.lit(":"), e["json"])))
+        return F.struct(event["ord"].alias("ord"), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("sig"), held.alias("entries"))
+
+    return bound(entries, built)
 
 
 def _text_entry(entry: Column, text: Column) -> Column:
-    quoted = F.concat(F.lit('"'), F.regexp_replace(text, r'(["\\\\])', r"\\$1"), F.lit('"'))
-    return F.struct(entry["key"].alias("key"), entry["name"].alias("name"), F.lit(None).cast("string").alias("tenth"), F.lit("str").alias("jtype"), text.alias("raw"), F.lit(None).cast("array<string>").alias("items"), quoted.alias("json"))
+    def built(told: Column) -> Column:
+        quoted = F.concat(F.lit('"'), F.regexp_replace(told, r'(["\\\\])', r"\\$1"), F.lit('"'))
+        return F.struct(entry["key"].alias("key"), entry["name"].alias("name"), F.lit(None).cast("string").alias("tenth"), F.lit("str").alias("jtype"), told.alias("raw"), F.lit(None).cast("array<string>").alias("items"), quoted.alias("json"))
+
+    return bound(text, built)
 
 
 def _nonempty(events: Column) -> Column:
@@ -98,10 +105,9 @@ def drop_timestamp_only(events: Column) -> Column:
 
 
 def dedupe(events: Column) -> Column:
-    """The first of the events with one signature, in one fold over the list."""
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast(lj.EVENTS.replace(": ", ":")).alias("kept"))
-    more = lambda acc, ev: F.struct(F.array_append(acc["seen"], ev["sig"]).alias("seen"), F.array_append(acc["kept"], ev).alias("kept"))
-    return F.aggregate(events, start, lambda acc, ev: F.when(F.array_contains(acc["seen"], ev["sig"]), acc).otherwise(more(acc, ev)), lambda acc: acc["kept"])
+    """The first of the events with one signature; no event is copied before it is known to stay."""
+    first = lambda sigs: lambda ev, i: ev["sig"].isNull() | (F.array_position(sigs, ev["sig"]) == i + 1)
+    return bound(F.transform(events, lambda ev: ev["sig"]), lambda sigs: F.filter(events, first(sigs)))
 
 
 def clean(notes: DataFrame, annotations: DataFrame, allowed_keys: list[str] | None = None, allowed_values: dict[str, list[str]] | None = None, sites: bool = True, timestamp_only: bool = True, deduplicate: bool = True) -> DataFrame:
