@@ -30,7 +30,7 @@ UNKNOWN = "und"
 #: Symbols at a language's usual cost that a text is judged with beside its own: one odd word, such as
 #: a key, must not turn a short clean text away.
 PRIOR_SYMBOLS = 256
-#: A text in no learned language costs more than the median of its nearest one's training texts by
+#: A text in no learned language costs more than the median of its nearest one's labelled texts by
 #: so many times the distance from their median to their upper quartile, and by LEAST_BITS at least.
 SPREAD, LEAST_BITS = 10.0, 1.5
 
@@ -150,7 +150,7 @@ class Model:
                 while longest not in kept:
                     longest = longest[1:]
                 self.next[at, i] = kept[longest]
-        #: Usual bits per symbol of a language's training texts, and what a text may reach.
+        #: Usual bits per symbol of a language's labelled texts, all of them, and what a text may reach.
         self.usual: dict[str, float] = {}
         self.most: dict[str, float] = {}
 
@@ -195,8 +195,9 @@ class Model:
 def train(docs: DataFrame) -> Model | None:
     """A model from about TRAIN_TEXTS texts of each non-null lang, chosen by hash of doc_id.
 
-    The counts are summed in Spark; the driver gets the n-grams of that bounded sample. Rows
-    without text, doc_id or lang teach nothing; without any others there is no model.
+    The counts are summed in Spark; the driver gets the n-grams of that bounded sample. What a text
+    may cost (Model.odd) is told by all labelled texts, scored once. Rows without text, doc_id or
+    lang teach nothing; without any others there is no model.
     """
     labelled = docs.filter("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     share = {r["lang"]: TRAIN_TEXTS / r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -215,7 +216,7 @@ def train(docs: DataFrame) -> Model | None:
             pick = np.argsort(gram[at])
             counts.setdefault(name, {})[k] = (gram[at][pick], n[at][pick])
     model = Model(counts)
-    rates = _identify_rows(chosen, model, "lang").filter("score > 0").groupBy("lang_pred").agg(F.percentile_approx("bits_per_symbol", [0.5, 0.75], 1000).alias("q")).collect()
+    rates = _identify_rows(labelled.select("text", "lang"), model, "lang").filter("score > 0").groupBy("lang_pred").agg(F.percentile_approx("bits_per_symbol", [0.5, 0.75], 1000).alias("q")).collect()
     for r in rates:
         middle, upper = r["q"]
         model.usual[r["lang_pred"]], model.most[r["lang_pred"]] = middle, middle + max(LEAST_BITS, SPREAD * (upper - middle))

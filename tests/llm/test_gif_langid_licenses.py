@@ -355,3 +355,19 @@ def test_base_phrases_come_from_the_index(spark, monkeypatch):
     monkeypatch.setattr(licenses, "document_frequencies", lambda d, templates: seen.extend(templates) or frequencies(d, templates))
     out = {r["doc_id"]: (r["n_base"], r["first_word"], r["last_word"]) for r in licenses.scan(docs, []).collect()}
     assert set(licenses.BASE) <= set(seen) and out == {0: (3, 0, 5), 1: (1, 0, 0), 2: (0, None, None)}
+
+
+def test_thresholds_come_from_all_labelled_texts(spark, monkeypatch):
+    """With few training texts a language's usual cost is still the median over all of its labelled texts."""
+    monkeypatch.setattr(langid, "TRAIN_TEXTS", 12)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("text is not null and lang is not null")
+    model = langid.train(docs)
+    rates = {}
+    for r in langid.identify(docs, model).filter("score > 0").collect():
+        rates.setdefault(r["lang_pred"], []).append(r["bits_per_symbol"])
+    assert set(model.usual) == set(rates)
+    for lang, told in rates.items():
+        told.sort()
+        assert model.usual[lang] == told[(len(told) + 1) // 2 - 1]
+        upper = told[-(-3 * len(told) // 4) - 1]
+        assert abs(model.most[lang] - (model.usual[lang] + max(langid.LEAST_BITS, langid.SPREAD * (upper - model.usual[lang])))) < 1e-9
