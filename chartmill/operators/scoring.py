@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -11,6 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.atoms import Multisets
 from ..functions.hierarchy import refines_text
 from ..functions.text import eval_key, normalize_atoms
 
@@ -251,18 +252,36 @@ def _multisets(lists: pa.Array) -> Iterator[list[dict[str, dict]]]:
 _FOUND = pa.struct([("key", pa.string()), ("tp", pa.int64()), ("fp", pa.int64()), ("fn", pa.int64())])
 
 
+FOUND = "array<struct<key: string, tp: bigint, fp: bigint, fn: bigint>>"
+
+
+def _found(documents: Iterable[tuple[list, list]], hierarchical: bool) -> pa.Array:
+    """What match_document tells of each document, as an Arrow list."""
+    rows, ends = [], [0]
+    for g, p in documents:
+        rows += [(k, *n) for k, n in sorted(match_document(g, p, hierarchical).items())]
+        ends.append(len(rows))
+    found = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_FOUND)], fields=list(_FOUND))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found, type=pa.list_(pa.field("element", _FOUND)))
+
+
 def match_arrays(gold: Column, pred: Column, hierarchical: bool = False) -> Column:
     """array<struct<key, tp, fp, fn>> of one document's event atoms, by optimal alignment."""
 
     def matched(gold: pa.Array, pred: pa.Array) -> pa.Array:
-        rows, ends = [], [0]
-        for g, p in zip(_multisets(gold), _multisets(pred), strict=True):
-            rows += [(k, *n) for k, n in sorted(match_document(g, p, hierarchical).items())]
-            ends.append(len(rows))
-        found = pa.StructArray.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_FOUND)], fields=list(_FOUND))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found, type=pa.list_(pa.field("element", _FOUND)))
+        return _found(zip(_multisets(gold), _multisets(pred), strict=True), hierarchical)
+
+    return F.arrow_udf(matched, FOUND)(gold, pred)
 
-    return F.arrow_udf(matched, "array<struct<key: string, tp: bigint, fp: bigint, fn: bigint>>")(gold, pred)
+
+def match_texts(gold: Column, pred: Column, hierarchical: bool = False) -> Column:
+    """As match_arrays, from one document's texts: parsed, normalised and aligned where they lie."""
+
+    def matched(gold: pa.Array, pred: pa.Array) -> pa.Array:
+        told = Multisets()
+        return _found(((told.events(g), told.events(p)) for g, p in zip(gold.to_pylist(), pred.to_pylist(), strict=True)), hierarchical)
+
+    return F.arrow_udf(matched, FOUND)(gold, pred)
 
 
 def matched_counts(gold: DataFrame, pred: DataFrame, hierarchical: bool = False) -> DataFrame:
@@ -318,6 +337,12 @@ def score(gold: DataFrame, pred: DataFrame, hierarchical: bool = False) -> DataF
     return joined.select("id", F.explode(match_arrays(F.col("g"), F.col("p"), hierarchical)).alias("c")).select("id", "c.*")
 
 
+def score_texts(gold: DataFrame, pred: DataFrame, hierarchical: bool = False) -> DataFrame:
+    """As score, from documents (id, text) not parsed yet: only texts are joined, and the plan holds one UDF."""
+    joined = gold.select("id", F.col("text").alias("g")).join(pred.select("id", F.col("text").alias("p")), "id")
+    return joined.select("id", F.explode(match_texts(F.col("g"), F.col("p"), hierarchical)).alias("c")).select("id", "c.*")
+
+
 def per_key(doc_key: DataFrame, by: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """Metrics per key (and further columns), pooled over documents."""
     pooled = doc_key.groupBy(*(by or []), "key").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))

@@ -76,10 +76,17 @@ LISTS = (
 )
 
 
-def spark_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run fixture SQL over the Parquet tables of a folder; the views are temporary to the text."""
-    used = [name for name in TABLES if f"{{{name}}}" in sql]
-    return spark.sql(sql, **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in used})
+def spark_sql(spark: SparkSession, sf_dir: str, sql: str, deal: str | None = None) -> DataFrame:
+    """Run fixture SQL over the Parquet tables of a folder; the views are temporary to the text.
+
+    deal names a column by which the rows are dealt over all tasks before anything else; windows, groups and
+    joins by it then move nothing more.
+    """
+    used = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in TABLES if f"{{{name}}}" in sql}
+    if deal is not None:
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        used = {name: df.repartition(parts, deal) for name, df in used.items()}
+    return spark.sql(sql, **used)
 
 
 def duckdb_sql(sql: str) -> str:

@@ -56,16 +56,12 @@ def paired_dataset(spark: SparkSession, notes: str, annotations: str, id_key: st
     return align.pair_by_id(*sides, limit=limit)
 
 
-def _events(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
-    return _last_of_file(spark, path, key, value, "text").select("id", lj.parse_events(F.col("text"))["events"].alias("events"))
-
-
 def score_files(spark: SparkSession, gold: str, pred: str, gold_key: str = "annotation", pred_key: str = "pred_annotation", id_key: str = "id", hierarchical: bool = False, strict: bool = False) -> DataFrame:
     """id, key, tp, fp, fn of predictions against references; strict raises when ids differ."""
-    g, p = _events(spark, gold, id_key, gold_key), _events(spark, pred, id_key, pred_key)
+    g, p = (_last_of_file(spark, path, id_key, value, "text") for path, value in ((gold, gold_key), (pred, pred_key)))
     if strict:
         align.aligned(g.select("id"), p.select("id"), strict=True).count()
-    return scoring.score(g, p, hierarchical)
+    return scoring.score_texts(g, p, hierarchical)
 
 
 def score_summary(doc_key: DataFrame) -> dict[str, DataFrame]:

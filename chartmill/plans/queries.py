@@ -316,12 +316,13 @@ def _spread(df: DataFrame, key: str = "doc_id") -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+# Lines are dealt once, by document and over all tasks: what is done with event lists costs far more than moving lines.
 def _annotations(spark, d):
-    return _spread(fx.spark_sql(spark, d, fx.ANNOTATIONS["spark"]))
+    return fx.spark_sql(spark, d, fx.ANNOTATIONS["spark"], deal="l_orderkey")
 
 
 def _damaged(spark, d):
-    return _spread(fx.spark_sql(spark, d, f"{fx.DAMAGE} ({fx.ANNOTATIONS['spark']})"))
+    return fx.spark_sql(spark, d, f"{fx.DAMAGE} ({fx.ANNOTATIONS['spark']})", deal="l_orderkey")
 
 
 def _clean_stages(spark, d):
@@ -466,9 +467,9 @@ def item_document_counts(spark, d):
 @query()
 def score_events(spark, d):
     """Parsed, damaged predictions against whole references, with optimal alignment."""
-    gold = _annotations(spark, d).select(F.col("doc_id").cast("string").alias("id"), lj.parse_events(F.col("annotation"))["events"].alias("events"))
-    pred = _damaged(spark, d).select(F.col("doc_id").cast("string").alias("id"), lj.parse_events(F.col("raw"))["events"].alias("events"))
-    return scoring.per_key(scoring.score(gold, pred, hierarchical=True), digits=9)
+    gold = _annotations(spark, d).select(F.col("doc_id").alias("id"), F.col("annotation").alias("text"))
+    pred = _damaged(spark, d).select(F.col("doc_id").alias("id"), F.col("raw").alias("text"))
+    return scoring.per_key(scoring.score_texts(gold, pred, hierarchical=True), digits=9)
 
 
 # ---- scalar functions -------------------------------------------------------------------------
