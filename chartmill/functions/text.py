@@ -62,18 +62,19 @@ def normalize_date(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("")).when(c.rlike(ISO_DATE), c).otherwise(shaped)
 
 
-def _tokens(c: Column, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(c, pattern), trim_u), lambda t: t != "")
+def _tokens(c: Column, separators: str) -> Column:
+    """What any of the separators part; a split at one character takes no pattern."""
+    return F.filter(F.transform(F.split(F.translate(c, separators, "," * len(separators)), ","), trim_u), lambda t: t != "")
 
 
 def split_list_tokens(c: Column) -> Column:
     """Tokens between commas and plus signs of either width; null gives none."""
-    return F.coalesce(_tokens(fold_separators(c), "[,+]+"), F.array().cast("array<string>"))
+    return F.coalesce(_tokens(c, FOLD_FROM + "+"), F.array().cast("array<string>"))
 
 
 def split_value_tokens(c: Column) -> Column:
     """Tokens between commas only; plus signs and half-width commas stay."""
-    return F.coalesce(_tokens(c, "[,、，]+"), F.array().cast("array<string>"))
+    return F.coalesce(_tokens(c, "、，"), F.array().cast("array<string>"))
 
 
 def normalize_token(key: Column, token: Column) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lenient_json as lj
-from ..functions.text import bound, split_value_tokens, trim_u
+from ..functions.text import SPACE, bound, split_value_tokens, trim_u
 
 # Phrases that name a site, by side, and the sites of bronchial segments.
 SITE_PHRASES = {
@@ -18,6 +20,8 @@ SEGMENTS = {
     "左": {"左肺上葉": ["1", "1+2", "2", "3", "4", "5"], "左肺下葉": ["6", "7", "8", "9", "10"]},
 }
 ANY_SITE = "肺"
+#: What makes a candidate more or less than one token, or its JSON more than the text in quotes; an empty one is no token.
+SEPARATED = re.compile(rf'^{SPACE}|{SPACE}\Z|[,、，"\\\x00-\x1f]|^\Z')
 
 
 def infer_site(text: Column, side: str) -> Column:
@@ -33,7 +37,7 @@ def _rebuild(event: Column, entries: Column) -> Column:
     """An event with other entries; its signature is told anew from keys in order."""
 
     def built(held: Column) -> Column:
-        pairs = F.array_sort(F.transform(held, lambda e: F.concat(e["name"], F.lit(":"), e["json"])))
+        pairs = F.sort_array(F.transform(held, lambda e: F.concat(e["name"], F.lit(":"), e["json"])))
         return F.struct(event["ord"].alias("ord"), F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}")).alias("sig"), held.alias("entries"))
 
     return bound(entries, built)
@@ -41,7 +45,7 @@ def _rebuild(event: Column, entries: Column) -> Column:
 
 def _text_entry(entry: Column, text: Column) -> Column:
     def built(told: Column) -> Column:
-        quoted = F.concat(F.lit('"'), F.regexp_replace(told, r'(["\\\\])', r"\\$1"), F.lit('"'))
+        quoted = F.concat(F.lit('"'), F.replace(F.replace(told, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
         return F.struct(entry["key"].alias("key"), entry["name"].alias("name"), F.lit(None).cast("string").alias("tenth"), F.lit("str").alias("jtype"), told.alias("raw"), F.lit(None).cast("array<string>").alias("items"), quoted.alias("json"))
 
     return bound(text, built)
@@ -92,12 +96,20 @@ def keep_candidates(entry: Column, allowed: dict[str, list[str]]) -> Column:
 def drop_other_values(events: Column, allowed: dict[str, list[str]]) -> Column:
     """Values outside their key's candidates go; then keys without values and events without keys."""
     limited = lambda e: e["key"].isin(*[k for k, v in allowed.items() if v])
+    plain = {k: told for k, v in allowed.items() if (told := [x for x in v if not SEPARATED.search(x)])}
+
+    def is_touched(e: Column) -> Column:
+        """Whether an entry is limited and its value is not one candidate as it is, of which nothing changes."""
+        if not plain:
+            return limited(e)
+        stays = (e["jtype"] == "str") & e["tenth"].isNull() & F.coalesce(F.array_contains(_candidates(plain)[e["key"]], e["raw"]), F.lit(False))
+        return limited(e) & ~stays
 
     def entries(ev: Column) -> Column:
-        told = F.transform(ev["entries"], lambda e: F.when(limited(e), _text_entry(e, F.array_join(keep_candidates(e, allowed), ", "))).otherwise(e))
+        told = F.transform(ev["entries"], lambda e: F.when(is_touched(e), _text_entry(e, F.array_join(keep_candidates(e, allowed), ", "))).otherwise(e))
         return F.filter(told, lambda e: ~(limited(e) & (e["raw"] == "")))
 
-    return _nonempty(F.transform(events, lambda ev: F.when(F.exists(ev["entries"], limited), _rebuild(ev, entries(ev))).otherwise(ev)))
+    return _nonempty(F.transform(events, lambda ev: F.when(F.exists(ev["entries"], is_touched), _rebuild(ev, entries(ev))).otherwise(ev)))
 
 
 def drop_timestamp_only(events: Column) -> Column:
@@ -128,7 +140,9 @@ def clean(notes: DataFrame, annotations: DataFrame, allowed_keys: list[str] | No
 
 def cleaned(stages: DataFrame) -> DataFrame:
     """id, progress_note and the cleaned annotation as JSON; rows without events go."""
-    return stages.filter(F.size("e5") > 0).select("id", "progress_note", lj.events_json(F.col("e5")).alias("annotation"))
+    # A filter would be pushed through the stages and the join, and all of them computed again for it.
+    kept = F.explode(F.filter(F.array("e5"), lambda e: F.size(e) > 0)).alias("e")
+    return stages.select("id", "progress_note", kept).select("id", "progress_note", lj.events_json(F.col("e")).alias("annotation"))
 
 
 def counters(stages: DataFrame, allowed_values: dict[str, list[str]]) -> DataFrame:
