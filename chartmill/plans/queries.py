@@ -500,10 +500,10 @@ def normalize_number(spark, d):
 
 @query("select format('{{:.1f}}', cast(l_discount as double) * cast(l_quantity as double)) as atom, count(*) as n from {lineitem} group by 1")
 def normalize_number_float(spark, d):
-    li = _table(spark, d, "lineitem")
-    raw = (F.col("l_discount") * F.col("l_quantity")).cast("string")
-    atoms = tx.normalize_atoms(F.lit("PDL1"), F.lit("str"), raw, F.lit(None).cast("array<string>"), tx.round_tenth(raw))
-    return li.groupBy(atoms[0]["atom"].alias("atom")).agg(F.count(F.lit(1)).alias("n"))
+    raw = _table(spark, d, "lineitem").select((F.col("l_discount") * F.col("l_quantity")).cast("string").alias("raw"))
+    told = raw.select("raw", tx.round_tenth(F.col("raw")).alias("tenth"))  # Python's part goes before: no lambda may hold it
+    atoms = tx.normalize_atoms(F.lit("PDL1"), F.lit("str"), F.col("raw"), F.lit(None).cast("array<string>"), F.col("tenth"))
+    return told.groupBy(atoms[0]["atom"].alias("atom")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select doc_id as id, cast(xor(42, cast(('0x' || substr(md5(cast(doc_id as varchar)), 1, 8)) as bigint)) as bigint) as seed from {documents}")

@@ -9,6 +9,7 @@ from chartmill.functions import schema, text
 from chartmill.functions.atoms import Multisets, atoms_of
 from chartmill.functions.lenient_json import parse_events
 from chartmill.operators import scoring
+from chartmill.plans.registry import QUERIES
 from tests.test_text import ATOMS, DATES
 
 KEYS = [*schema.DATE_KEYS, *schema.NUMBER_KEYS, "ProcedureDiagnosis", "Site", "Stage", "TBB", "TBLB", "Other"]
@@ -60,3 +61,13 @@ def test_scored_texts_have_a_small_plan(spark):
     df = spark.createDataFrame([("1", "[]")], "id string, text string")
     plan = lambda x: len(x._jdf.queryExecution().optimizedPlan().toString())
     assert plan(scoring.score_texts(df, df, True)) < 2000
+
+
+def test_decimals_of_the_query(spark):
+    """It failed in analysis while Python's rounding stood within a lambda."""
+    d = "/root/testdata/sf0.001"
+    want: dict[str, int] = {}
+    for r in spark.read.parquet(f"{d}/lineitem.parquet").select("l_discount", "l_quantity").collect():
+        atom = f"{r[0] * r[1]:.1f}"
+        want[atom] = want.get(atom, 0) + 1
+    assert {r["atom"]: r["n"] for r in QUERIES["normalize_number_float"](spark, d).collect()} == want
