@@ -109,7 +109,8 @@ def drop_other_values(events: Column, allowed: dict[str, list[str]]) -> Column:
         told = F.transform(ev["entries"], lambda e: F.when(is_touched(e), _text_entry(e, F.array_join(keep_candidates(e, allowed), ", "))).otherwise(e))
         return F.filter(told, lambda e: ~(limited(e) & (e["raw"] == "")))
 
-    return _nonempty(F.transform(events, lambda ev: F.when(F.exists(ev["entries"], is_touched), _rebuild(ev, entries(ev))).otherwise(ev)))
+    # Events with a limited key all get a new signature, touched or not: those that are equal now must have the same.
+    return _nonempty(F.transform(events, lambda ev: F.when(F.exists(ev["entries"], limited), _rebuild(ev, entries(ev))).otherwise(ev)))
 
 
 def drop_timestamp_only(events: Column) -> Column:

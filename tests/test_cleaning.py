@@ -34,6 +34,15 @@ def test_values_are_those_among_candidates(spark):
             assert got[i] == ([told] if told else []), e
 
 
+def test_events_made_equal_by_cleaning_are_one(spark):
+    """One lost an unknown key or a value, the other is as it was; both hold a list."""
+    notes = spark.createDataFrame([(1, "")], "id int, progress_note string")
+    events = [{"Treatment": "手術", "Stage": ["x", "y"]}, {"Treatment": "手術", "Stage": ["x", "y"], "Bad": 1}, {"Treatment": "未知、手術", "Stage": ["x", "y"]}]
+    raw = spark.createDataFrame([(1, json.dumps(events, ensure_ascii=False))], "id int, annotation string")
+    out = cleaning.cleaned(cleaning.clean(notes, raw, ["Treatment", "Stage"], ALLOWED)).collect()
+    assert [json.loads(r["annotation"]) for r in out] == [events[:1]]
+
+
 def test_cleaning_is_computed_once(spark):
     """One pass of Python and one move of the lines of each side; the filter of empty rows repeats nothing."""
     plan = QUERIES["clean_pipeline"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
